@@ -410,7 +410,7 @@ from model window w as (partition by site order by dt rows between 3 preceding a
     "month_day_key": "select o_orderkey, strftime(o_orderdate, '%m-%d') as md from orders",
     "date_plus": "select o_orderkey, cast(cast(o_orderdate as date) + 7 as date) as later from orders",
     "norm_name": """select doc_id, md5(array_to_string(list_transform(regexp_extract_all(trim(text, ' '), '\\p{L}+|[^\\p{L}]+'),
-  lambda e: upper(e[1]) || lower(e[2:])), '')) as name_hash from documents""",
+  lambda e: replace(upper(e[1]), 'ẞ', 'Ss') || lower(e[2:])), '')) as name_hash from documents""",
     "fill_group_mean": f"""select event_id, {each("round(coalesce(r.{c}, w.{c}), 6) as {c}", POLLUTANTS)}
 from readings r left join weeks w on r.site = w.site and r.yr = w.yr and r.wk = w.wk""",
     "classify_nearest": f"select reading_id, {GRADES} from cohort_rows",
