@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skygrade.models.bayes import as_vector
-from skygrade.operators.folds import with_position
+from skygrade.operators.folds import with_test_fold
 
 BLOCK_ROWS = 256
 CLASSES = 5
@@ -75,22 +75,15 @@ def cls_knn(
     only and are found once for all targets.
     """
     keys = list(k)
-    size = (F.col("_n") / F.lit(n_folds + 1)).cast("long")
-    first = F.col("_n") - n_folds * size
-    fold = F.when(F.col("_rn") >= first, F.floor((F.col("_rn") - first) / size)).cast("int")
-    rows = (
-        with_position(frame.select(*k, *o, *features, *targets), k, o)
-        .withColumn("fold", fold)
-        .select(
-            *k,
-            *o,
-            "fold",
-            F.col("_rn").alias("rn"),
-            (first + F.col("fold") * size).alias("start"),
-            F.floor(F.col("_rn") / block_rows).alias("block"),
-            as_vector(features).alias("x"),
-            F.array(*targets).alias("labels"),
-        )
+    rows = with_test_fold(frame.select(*k, *o, *features, *targets), k, o, n_folds).select(
+        *k,
+        *o,
+        "fold",
+        "start",
+        F.col("_rn").alias("rn"),
+        F.floor(F.col("_rn") / block_rows).alias("block"),
+        as_vector(features).alias("x"),
+        F.array(*targets).alias("labels"),
     )
     asked = pack(rows.where("fold is not null"), keys, "q", ["start"])
     known = pack(rows, keys, "t", ["labels"]).withColumn("t_labels", F.flatten("t_labels"))

@@ -65,6 +65,12 @@ def fit_classifier(train, test, target, model, features, params, site_buckets=SI
     return predictions(answered.withColumn("p", F.element_at(classes, F.col("p").cast("int") + 1)), target, model)
 
 
+def fit_targets(fit, train, test, targets, model, features, params, workers=4) -> DataFrame:
+    """Predictions of one model for several targets, fitted side by side."""
+    jobs = [lambda t=t: fit(train, test, t, model, features, params) for t in targets]
+    return union_all([pred for pred in in_parallel(train.sparkSession, jobs, workers) if pred is not None])
+
+
 def validation_parts(train: DataFrame, expanding, n):
     """(train, validation) pairs cut inside the training rows."""
     if expanding:

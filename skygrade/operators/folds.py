@@ -43,6 +43,16 @@ def fold_expanding(df: DataFrame, k, o, n=5) -> DataFrame:
     return with_position(df, k, o).select(*df.columns, F.inline(used))
 
 
+def with_test_fold(df: DataFrame, k, o, n=5) -> DataFrame:
+    """Each row once, with the expanding ``fold`` that tests it (null for the head) and
+    ``start``, the position where that test slice begins; ``_rn`` is kept."""
+    size = (F.col("_n") / F.lit(n + 1)).cast("long")
+    first = F.col("_n") - n * size
+    fold = F.floor(F.try_divide(F.col("_rn") - first, size)).cast("int")
+    placed = with_position(df, k, o).withColumn("fold", F.when(F.col("_rn") >= first, fold))
+    return placed.withColumn("start", (first + F.col("fold") * size).cast("int")).drop("_n")
+
+
 def fold_skip_single_class(folds: DataFrame, label, k=("site",)) -> DataFrame:
     """Rows of the folds whose training part has at least two classes.
 

@@ -20,19 +20,18 @@ def pearson(x, y):
 
 
 def correlate(df: DataFrame, pairs) -> DataFrame:
-    """(a, b, r, n) for the given column pairs, from one pass without a shuffle of rows."""
-    both = lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
-    wide = df.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(a, b).alias("r"), both(a, b).alias("n")
-                )
-                for a, b in pairs
-            ]
-        ).alias("cells")
+    """(a, b, r, n) for the given column pairs.
+
+    Each row is spread over its pairs and combined map-side into one line per
+    pair, so only a line per pair and task is shuffled. Four aggregates by key
+    compile far faster than four for every pair.
+    """
+    cell = lambda a, b: F.struct(
+        F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")
     )
-    return wide.select(F.inline("cells"))
+    both = F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1))
+    long = df.select(F.inline(F.array(*[cell(a, b) for a, b in pairs])))
+    return long.groupBy("a", "b").agg(pearson("x", "y").alias("r"), both.alias("n"))
 
 
 def corr_complete(df: DataFrame, cols) -> DataFrame:

@@ -258,10 +258,10 @@ where place = 1"""
     return with_more(body)
 
 
-def with_more(body):
+def with_more(body, recursive=False):
     """A statement whose body starts with further tables of its own."""
     ctes = ",\n".join(f"{n} as ({TABLES[n]})" for n in needs(body, list(TABLES)))
-    return f"with {ctes},{body}"
+    return f"with {'recursive ' if recursive else ''}{ctes},{body}"
 
 
 def knn_sql():
@@ -296,16 +296,70 @@ where {full})""".format(
 )
 
 
+NEWEST = """newest as (select site, max(dt) as dt, list(class_mean order by dt desc)[1:7] as h
+  from model group by site having count(*) >= 7)"""
+
+
 def forecast_sql():
     step = " + ".join(f"{w}e0 * h[{i}]" for i, w in enumerate(GIVEN_WEIGHTS) if i)
-    return (
-        "with recursive "
-        + ",\n".join(f"{n} as ({TABLES[n]})" for n in needs("model", list(TABLES)))
-        + f""",
-newest as (select site, max(dt) as dt, list(class_mean order by dt desc)[1:7] as h from model group by site having count(*) >= 7),
+    return with_more(
+        f"""
+{NEWEST},
 ahead as (select site, dt, 0 as step, h from newest
   union all select site, dt, step + 1, list_prepend({GIVEN_WEIGHTS[0]}e0 + {step}, h) from ahead where step < 7)
-select site, cast(dt + step as date) as dt, step, round(h[1], 6) as p from ahead where step > 0"""
+select site, cast(dt + step as date) as dt, step, round(h[1], 6) as p from ahead where step > 0""",
+        recursive=True,
+    )
+
+
+def solved():
+    """Normal equations of every site, solved by elimination; SPD, so pivots need no search."""
+    x = ["1e0", *[f"lag{i}" for i in range(1, 8)]]
+    rows = [
+        "[" + ", ".join([f"sum({a} * {b}){' + 1e-3' if i and i == j else ''}" for j, b in enumerate(x)] + [f"sum({a} * class_mean)"]) + "]"
+        for i, a in enumerate(x)
+    ]
+    return f"""
+{AR},
+steps as (select site, n_rows, 0 as j, m from (select site, count(*) as n_rows, [{", ".join(rows)}] as m from ar group by site)
+  union all select site, n_rows, j + 1, list_transform(m, lambda r, i: case when i = j + 1
+    then list_transform(r, lambda v: v / r[j + 1])
+    else list_transform(r, lambda v, c: v - r[j + 1] / m[j + 1][j + 1] * m[j + 1][c]) end) from steps where j < 8),
+weights as (select site, n_rows, list_transform(m, lambda r: r[9]) as w from steps where j = 8),
+{NEWEST}"""
+
+
+FITTED = "w[1] + list_dot_product(w[2:8], {values})"
+
+
+def fit_sql():
+    return with_more(
+        f"{solved()}\nselect site, n_rows, unnest(range(8))::int as lag, round(unnest(w), 6) as weight from weights", recursive=True
+    )
+
+
+def forecast_fitted_sql():
+    return with_more(
+        f"""{solved()},
+ahead as (select n.site, dt, 0 as step, h, w from newest n join weights using (site)
+  union all select site, dt, step + 1, list_prepend({FITTED.format(values="h[1:7]")}, h), w from ahead where step < 7)
+select site, cast(dt + step as date) as dt, step, round(h[1], 6) as p from ahead where step > 0""",
+        recursive=True,
+    )
+
+
+def fit_scores_sql():
+    lags = ", ".join(f"lag{i}" for i in range(1, 8))
+    return with_more(
+        f"""{solved()},
+pred as (select site, class_mean as y, {FITTED.format(values=f"[{lags}]")} as p, avg(class_mean) over (partition by site) as mean
+  from ar join weights using (site)),
+scores as (select site, avg(abs(y - p)) as mae, sqrt(avg((y - p) ** 2)) as rmse,
+  case when sum((y - mean) ** 2) = 0 then case when sum((y - p) ** 2) = 0 then 1 else 0 end
+    else 1 - sum((y - p) ** 2) / sum((y - mean) ** 2) end as r2 from pred group by site)
+select site, 'mae' as metric, round(mae, 6) as value from scores union all
+select site, 'rmse', round(rmse, 6) from scores union all select site, 'r2', round(r2, 6) from scores""",
+        recursive=True,
     )
 
 
@@ -473,4 +527,7 @@ def oracles():
     out["cls_naive_bayes"] = bayes_sql()
     out["cls_knn"] = knn_sql()
     out["forecast_recursive"] = forecast_sql()
+    out["ar_fit"] = fit_sql()
+    out["forecast_fitted"] = forecast_fitted_sql()
+    out["ar_scores"] = fit_scores_sql()
     return out

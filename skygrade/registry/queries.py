@@ -19,6 +19,7 @@ from skygrade.models.training import (
     cross_validate,
     fit_classifier,
     fit_regressor,
+    fit_targets,
     regression_results,
     train_regressors,
     union_all,
@@ -728,13 +729,12 @@ def hold_out(frame):
 
 def regress(spark, d, name, params):
     train, test = hold_out(prepared(Q.regression_frame(model(spark, d))))
-    return union_all([fit_regressor(train, test, t, name, ADV, params) for t in TARGETS])
+    return fit_targets(fit_regressor, train, test, TARGETS, name, ADV, params)
 
 
 def classify(spark, d, name, params):
     train, test = hold_out(prepared(Q.classification_frame(model(spark, d))))
-    fitted = [fit_classifier(train, test, t, name, ADV, params) for t in CLASS_COLUMNS]
-    return union_all([pred for pred in fitted if pred is not None])
+    return fit_targets(fit_classifier, train, test, CLASS_COLUMNS, name, ADV, params)
 
 
 @query
