@@ -1,0 +1,105 @@
+"""Skew: one key holds a large share of the rows, many rows are equal copies."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skygrade.operators.select import rank_variation
+from skygrade.operators.spread import block_offsets, hot_keys, lookup_join, number_rows, ordered_blocks, salted_join
+from skygrade.operators.stats import QUARTILES, box_outliers, box_stats, exact_quantiles, value_counts
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """20,000 rows: four tenths on one key, a third of those equal copies; some keys unknown."""
+    k = F.when(F.col("id") % 10 < 4, "hot").when(F.col("id") % 997 == 0, None)
+    v = F.when((F.col("id") % 10 < 4) & (F.col("id") % 3 == 0), 7.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)) / 8.0)
+    return spark.range(20_000).select(k.otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("k"), v.alias("v"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_plain_join(spark, skewed, how):
+    small = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 700, 2)]], "k string, n int")
+    bag = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    want = bag(skewed.join(small, ["k"], how))
+    assert bag(salted_join(skewed, small, ["k"], how, salts=8)) == want
+    assert bag(lookup_join(skewed, small, ["k"], how, max_rows=10)) == want
+    assert bag(lookup_join(skewed, small, ["k"], how)) == want
+
+
+def test_hot_rows_are_spread_over_salts(spark, skewed):
+    small = spark.createDataFrame([("hot", 1)], "k string, n int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = salted_join(skewed.repartition(8), small, ["k"], "inner", salts=16)
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 0.6 * sum(r["count"] for r in sizes)
+
+
+def test_hot_keys_are_few(skewed):
+    assert [r.k for r in hot_keys(skewed, ["k"], 0.1).collect()] == ["hot"]
+
+
+def in_blocks(spark, df, by, order):
+    """Blocks as a cluster would cut them: adaptive merging of small ranges is off."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return ordered_blocks(df, by, order)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_large_group_is_cut_into_blocks(spark, skewed):
+    rows = skewed.where("k is not null").withColumn("id", F.monotonically_increasing_id())
+    blocks = in_blocks(spark, rows, ["k"], ["v", "id"])
+    hot = block_offsets(blocks, ["k"]).where("k = 'hot'").orderBy("_block").collect()
+    assert len(hot) >= 3
+    assert hot[0]._before == 0 and hot[-1]._before + hot[-1]._inside == hot[0]._total == 8000
+
+
+def test_quantiles_across_blocks(spark, skewed):
+    counts = value_counts(skewed.where("k is not null"), ["v"], ["k"])
+    blocks = in_blocks(spark, counts, ["k", "col"], ["value"])
+    got = {r.k: r for r in exact_quantiles(blocks, ["k", "col"], QUARTILES).collect()}
+    frame = skewed.where("k is not null").toPandas()
+    want = frame.groupby("k").v.quantile([0.25, 0.5, 0.75]).unstack()
+    assert set(got) == set(want.index)
+    for k, row in want.iterrows():
+        assert (got[k].q1, got[k].median, got[k].q3) == pytest.approx(tuple(row))
+
+
+def test_row_numbers_of_large_groups(spark, skewed):
+    rows = skewed.where("k is not null").withColumn("id", F.monotonically_increasing_id())
+    numbered = number_rows(rows, ["k"], [F.col("v").desc(), F.col("id").asc()]).toPandas()
+    for _, group in numbered.groupby("k"):
+        ordered = group.sort_values(["v", "id"], ascending=[False, True])
+        assert list(ordered["rank"]) == list(range(1, len(group) + 1))
+
+
+def test_boxes_match_numpy(spark, skewed):
+    frame = skewed.toPandas()
+    spiked = skewed.unionByName(spark.createDataFrame([("hot", 900.0), ("hot", -50.0), ("hot", None)], "k string, v double"))
+    values = np.append(frame.v.to_numpy(), [900.0, -50.0])
+    q1, median, q3 = np.percentile(values, [25, 50, 75])
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    row = box_stats(spiked, ["v"]).first()
+    assert (row.q1, row.median, row.q3) == pytest.approx((q1, median, q3))
+    assert row.lo_whisker == values[values >= lo].min() and row.hi_whisker == values[values <= hi].max()
+    assert row.n_out == ((values < lo) | (values > hi)).sum()
+    assert box_outliers(spiked, ["v"], ["k"]).count() == row.n_out
+
+
+def test_whisker_is_never_inside_the_box(spark):
+    df = spark.createDataFrame([(v,) for v in (1.0, 1.0, 1.0, 100.0)], "v double")
+    row = box_stats(df, ["v"]).first()
+    assert (row.q3, row.hi_whisker, row.n_out) == (25.75, 25.75, 1)
+
+
+def test_unknown_change_ranks_last(spark):
+    wide = spark.createDataFrame([("A", 1.0), ("B", None), ("C", 3.0), ("D", 3.0)], "site string, no2 double")
+    got = {r.site: r["rank"] for r in rank_variation(wide, ["no2"]).collect()}
+    assert got == {"C": 1, "D": 2, "A": 3, "B": 4}
