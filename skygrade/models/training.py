@@ -18,6 +18,7 @@ from skygrade.operators.folds import fold_contiguous, fold_expanding
 from skygrade.operators.metrics import m_accuracy, m_f1_weighted, m_mae, r2_column
 from skygrade.operators.search import grid_search, results_table
 from skygrade.schema import class_name
+from skygrade.session import materialise
 
 SERIES, ORDER = ["site"], ["dt"]
 SCORE_FIELDS = "target string, model string, params string, candidate int, fold int, mae double"
@@ -72,28 +73,26 @@ def fit_targets(fit, train, test, targets, model, features, params, workers=4) -
 
 
 def validation_parts(train: DataFrame, expanding, n):
-    """(train, validation) pairs cut inside the training rows."""
+    """(train, validation) pairs cut inside the training rows, from folds written out once."""
     if expanding:
-        folds = fold_expanding(train, SERIES, ORDER, n)
+        folds = materialise(fold_expanding(train, SERIES, ORDER, n), "folds")
         part = lambda i, role: folds.where((F.col("fold") == i) & (F.col("role") == role))
         return [(part(i, "train"), part(i, "test")) for i in range(n)]
-    folds = fold_contiguous(train, SERIES, ORDER, n)
+    folds = materialise(fold_contiguous(train, SERIES, ORDER, n), "folds")
     return [(folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)) for i in range(n)]
 
 
-def search_regressor(train, target, model, features, grid, expanding, n=3, workers=4, site_buckets=SITE_BUCKETS):
-    """Scores (target, model, params, candidate, fold, mae) of every candidate and fold."""
-    spark = train.sparkSession
+def search_regressor(spark, parts, target, model, features, grid, workers=4, site_buckets=SITE_BUCKETS):
+    """Scores (target, model, params, candidate, fold, mae) of every candidate on every (train, validation) pair."""
 
-    def job(number, params, fold, parts):
+    def job(number, params, fold, part):
         def run():
-            pred = fit_regressor(*parts, target, model, features, params, site_buckets)
+            pred = fit_regressor(*part, target, model, features, params, site_buckets)
             mae = m_mae(pred, ["target"]).first()
             return (target, model, json.dumps(params), number, fold, mae["value"] if mae else None)
 
         return run
 
-    parts = validation_parts(train, expanding, n)
     jobs = [job(c, params, i, part) for c, params in enumerate(grid) for i, part in enumerate(parts)]
     return spark.createDataFrame(in_parallel(spark, jobs, workers), SCORE_FIELDS)
 
@@ -105,11 +104,12 @@ def train_regressors(split, targets, grids, features, expanding, n=3, workers=4,
     Returns (predictions or None, chosen parameters by (target, model), failures).
     """
     train, test = split.where("role = 'train'").drop("role"), split.where("role = 'test'").drop("role")
+    parts = validation_parts(train, expanding, n)
     frames, chosen, failed = [], {}, []
     for target in targets:
         for model, grid in grids.items():
             try:
-                scores = search_regressor(train, target, model, features, grid, expanding, n, workers, site_buckets)
+                scores = search_regressor(train.sparkSession, parts, target, model, features, grid, workers, site_buckets)
                 best = grid_search(scores).first()
                 frames.append(fit_regressor(train, test, target, model, features, json.loads(best["params"]), site_buckets))
                 chosen[target, model] = best["params"]
@@ -136,7 +136,7 @@ def cross_validate(frame, targets, models, features, n=5, workers=4, site_bucket
     A fold with a single class is left out. ``models`` maps a name to its parameters.
     """
     spark = frame.sparkSession
-    folds = fold_expanding(frame, SERIES, ORDER, n)
+    folds = materialise(fold_expanding(frame, SERIES, ORDER, n), "folds")
 
     def job(target, model, params, i):
         def run():

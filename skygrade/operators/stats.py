@@ -1,11 +1,12 @@
 """Box statistics and Pearson correlations."""
 
-from itertools import product
+from itertools import combinations_with_replacement, product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skygrade.operators.spread import block_offsets, lookup_join, ordered_blocks
+from skygrade.session import materialise
 
 # Quartiles, and the whisker reach in interquartile ranges.
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -34,9 +35,16 @@ def correlate(df: DataFrame, pairs) -> DataFrame:
     return long.groupBy("a", "b").agg(pearson("x", "y").alias("r"), both.alias("n"))
 
 
+def mirrored(half: DataFrame) -> DataFrame:
+    """Both triangles of a symmetric matrix, given one with its diagonal."""
+    cells = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return half.select(F.inline(F.array_distinct(cells)), "r", "n")
+
+
 def corr_complete(df: DataFrame, cols) -> DataFrame:
     """Square matrix over the rows where every column is present."""
-    return correlate(df.select(*cols).na.drop(), list(product(cols, cols)))
+    half = correlate(df.select(*cols).na.drop(), list(combinations_with_replacement(cols, 2)))
+    return mirrored(half)
 
 
 def corr_pairwise(df: DataFrame, left, right) -> DataFrame:
@@ -44,6 +52,75 @@ def corr_pairwise(df: DataFrame, left, right) -> DataFrame:
     return correlate(df.select(*left, *right), list(product(left, right)))
 
 
+def key_moments(rows: DataFrame, k, cols, pairs) -> DataFrame:
+    """Per key: count, mean, spread and extremes of each column, co-spread of each pair."""
+    return rows.groupBy(*k).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[
+            F.struct(
+                F.count(c).alias("n"),
+                F.avg(c).alias("mean"),
+                (F.var_pop(c) * F.count(c)).alias("spread"),
+                F.min(c).alias("lo"),
+                F.max(c).alias("hi"),
+            ).alias(c)
+            for c in cols
+        ],
+        *[(F.covar_pop(a, b) * F.count(F.lit(1))).alias(f"{a}*{b}") for a, b in pairs],
+    )
+
+
+def corr_fan_out(one: DataFrame, many: DataFrame, k, pairs) -> DataFrame:
+    """(a, b, r, n) over the join of ``one`` (a row per key) with ``many`` (any number per key).
+
+    Columns of ``many`` enter as their moments per key, so its rows are combined
+    map-side and never joined, and a key with very many rows is one row like any
+    other. Moments are taken about the common means, in a second pass over the
+    keys. A pair with both columns in ``many`` needs rows complete in all of them.
+    """
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    inner = [c for c in names if c in many.columns]
+    outer = [c for c in names if c not in inner]
+    within = [(a, b) for a, b in pairs if a in inner and b in inner and a != b]
+    keyed = key_moments(many.select(*k, *inner), k, inner, within).join(one.select(*k, *outer), list(k))
+    keyed = materialise(keyed, "moments")
+
+    def side(c):
+        if c in inner:
+            return [F.col(c)[f].alias(f"{f}_") for f in ("mean", "spread", "lo", "hi")]
+        value = F.col(c).cast("double")
+        return [value.alias("mean_"), F.lit(0.0).alias("spread_"), value.alias("lo_"), value.alias("hi_")]
+
+    def cell(a, b):
+        n = next((F.col(c)["n"] for c in (a, b) if c in inner), F.col("_rows"))
+        together = F.col(a)["spread"] if a == b and a in inner else F.col(f"`{a}*{b}`") if (a, b) in within else F.lit(0.0)
+        return F.struct(
+            F.lit(a).alias("a"),
+            F.lit(b).alias("b"),
+            n.alias("n"),
+            F.struct(*side(a)).alias("x"),
+            F.struct(*side(b)).alias("y"),
+            together.alias("together"),
+        )
+
+    long = keyed.select(F.inline(F.array(*[cell(a, b) for a, b in pairs])))
+    long = long.where("n > 0 and x.mean_ is not null and y.mean_ is not null")
+    centre = lambda v: (F.sum(F.col("n") * F.col(f"{v}.mean_")) / F.sum("n")).alias(f"{v}_mean")
+    flat = lambda v: (F.min(f"{v}.lo_") == F.max(f"{v}.hi_")).alias(f"{v}_flat")
+    centres = long.groupBy("a", "b").agg(*[f(v) for v in "xy" for f in (centre, flat)])
+    gap = lambda v: F.col(f"{v}.mean_") - F.col(f"{v}_mean")
+    spread = lambda v: F.sum(F.col(f"{v}.spread_") + F.col("n") * F.pow(gap(v), 2))
+    # One row per pair of columns, hence the broadcast.
+    sums = long.join(F.broadcast(centres), ["a", "b"]).groupBy("a", "b", "x_flat", "y_flat").agg(
+        F.sum(F.col("together") + F.col("n") * gap("x") * gap("y")).alias("xy"),
+        spread("x").alias("xx"),
+        spread("y").alias("yy"),
+        F.sum("n").alias("n"),
+    )
+    r = F.when(~F.col("x_flat") & ~F.col("y_flat"), F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")))
+    return sums.select("a", "b", r.alias("r"), "n")
+
+
 def value_counts(df: DataFrame, cols, by) -> DataFrame:
     """(by, col, value, n): equal values are counted before anything is shuffled."""
     long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])

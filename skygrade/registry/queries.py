@@ -40,7 +40,6 @@ from skygrade.schema import (
     POLLUTANTS,
     READING_NAMES,
     TARGETS,
-    WEATHER_VS_CLASS,
     WEATHER_VS_POLLUTANTS,
     class_name,
 )
@@ -88,10 +87,6 @@ def both_cohorts(spark, d):
     return C.clean_hourly(T.earlier_cohort(spark, d)), C.clean_daily(T.later_cohort(spark, d))
 
 
-def eda_join(spark, d):
-    return J.join_weather_left(daily(spark, d), T.weather(spark, d))
-
-
 # Sources and sinks
 
 
@@ -248,7 +243,7 @@ def join_group_mean(spark, d):
 @query
 def join_weather_left(spark, d):
     cols = [*SITE_DAY, "class_mean", "weather_id", "temperature_2m", "rain"]
-    return rounded(eda_join(spark, d).select(cols))
+    return rounded(J.join_weather_left(daily(spark, d), T.weather(spark, d)).select(cols))
 
 
 @query
@@ -319,12 +314,12 @@ def freq_table(spark, d):
 
 @query
 def corr_complete(spark, d):
-    return rounded(B.corr_complete(eda_join(spark, d), [*WEATHER_VS_CLASS, "class_mean"]))
+    return rounded(X.weather_vs_class(daily(spark, d), T.weather(spark, d)))
 
 
 @query
 def corr_pairwise(spark, d):
-    return rounded(B.corr_pairwise(eda_join(spark, d), WEATHER_VS_POLLUTANTS, POLLUTANTS))
+    return rounded(X.weather_vs_pollutants(daily(spark, d), T.weather(spark, d)))
 
 
 @query

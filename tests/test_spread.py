@@ -1,12 +1,24 @@
 """Skew: one key holds a large share of the rows, many rows are equal copies."""
 
+from itertools import combinations_with_replacement, product
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skygrade.operators.select import rank_variation
 from skygrade.operators.spread import block_offsets, hot_keys, lookup_join, number_rows, ordered_blocks, salted_join
-from skygrade.operators.stats import QUARTILES, box_outliers, box_stats, exact_quantiles, value_counts
+from skygrade.operators.stats import (
+    QUARTILES,
+    box_outliers,
+    box_stats,
+    corr_complete,
+    corr_fan_out,
+    corr_pairwise,
+    exact_quantiles,
+    mirrored,
+    value_counts,
+)
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +115,22 @@ def test_unknown_change_ranks_last(spark):
     wide = spark.createDataFrame([("A", 1.0), ("B", None), ("C", 3.0), ("D", 3.0)], "site string, no2 double")
     got = {r.site: r["rank"] for r in rank_variation(wide, ["no2"]).collect()}
     assert got == {"C": 1, "D": 2, "A": 3, "B": 4}
+
+
+def test_correlation_from_key_moments_equals_the_join(spark):
+    """One key holds half of the rows; nulls, a constant column and keys on one side only."""
+    key = F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 40)
+    noise = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1000)) / 7.0
+    many = spark.range(4000).select(
+        key.alias("k"), noise(1).alias("u"), F.when(F.col("id") % 11 != 0, noise(2)).alias("v"), F.lit(0.1).alias("flat")
+    )
+    one = spark.range(60).select(F.col("id").alias("k"), F.when(F.col("id") % 9 != 0, noise(3)).alias("p"), noise(4).alias("q"))
+    joined = one.join(many, "k", "left")
+    cells = lambda df: {(r.a, r.b): (None if r.r is None else pytest.approx(r.r, abs=1e-12), r.n) for r in df.collect()}
+    pairs = list(product("uv", "pq")) + [("flat", "p")]
+    got = {(r.a, r.b): (r.r, r.n) for r in corr_fan_out(one, many, ["k"], pairs).collect()}
+    want = {**cells(corr_pairwise(joined, ["u", "v"], ["p", "q"])), ("flat", "p"): (None, got["flat", "p"][1])}
+    assert got == want
+    whole = list(combinations_with_replacement(["u", "v", "q"], 2))
+    got = {(r.a, r.b): (r.r, r.n) for r in mirrored(corr_fan_out(one, many.na.drop(), ["k"], whole)).collect()}
+    assert got == cells(corr_complete(joined, ["u", "v", "q"]))
