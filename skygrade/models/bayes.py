@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygrade.operators.folds import with_test_fold
+from skygrade.session import materialise
 
 # Fixed value: share of the largest variance added to every variance.
 SMOOTHING = 1e-9
@@ -87,7 +88,7 @@ def cls_naive_bayes(frame: DataFrame, features, targets, k=("site",), o=("dt",),
     travel in one row and each test row meets exactly one of them.
     """
     rows = with_test_fold(frame.select(*k, *o, *features, *targets), k, o, n_folds)
-    rows = rows.withColumn("slice", F.coalesce(F.col("fold") + 1, F.lit(0)))
+    rows = materialise(rows.withColumn("slice", F.coalesce(F.col("fold") + 1, F.lit(0))), "rows")
     params = (
         class_moments(rows, k, features, targets, n_folds)
         .groupBy(*k, "fold")

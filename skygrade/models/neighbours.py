@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skygrade.models.bayes import as_vector
 from skygrade.operators.folds import with_test_fold
+from skygrade.session import materialise
 
 BLOCK_ROWS = 256
 CLASSES = 5
@@ -75,7 +76,7 @@ def cls_knn(
     only and are found once for all targets.
     """
     keys = list(k)
-    rows = with_test_fold(frame.select(*k, *o, *features, *targets), k, o, n_folds).select(
+    placed = with_test_fold(frame.select(*k, *o, *features, *targets), k, o, n_folds).select(
         *k,
         *o,
         "fold",
@@ -85,6 +86,7 @@ def cls_knn(
         as_vector(features).alias("x"),
         F.array(*targets).alias("labels"),
     )
+    rows = materialise(placed, "rows")  # read by test blocks, known blocks, labels and class counts
     asked = pack(rows.where("fold is not null"), keys, "q", ["start"])
     known = pack(rows, keys, "t", ["labels"]).withColumn("t_labels", F.flatten("t_labels"))
     pairs = asked.join(known, keys).where(F.col("t_block") * block_rows < F.array_max("q_start"))

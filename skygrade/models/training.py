@@ -1,8 +1,9 @@
 """Fitting, searching and scoring of MLlib models, one pooled model per target.
 
-The frame given to these functions is at the daily grain and should have been
-written out with ``materialise``: iterative learners read it many times. The
-driver sees only scores and class lists, whose number is fixed by the grids.
+The frames are at the daily grain. Folds are written out once, since every fit
+reads them again; frames given as train and test should have been written out
+with ``materialise`` too. The driver sees only scores and class lists, whose
+number is fixed by the grids.
 """
 
 import json

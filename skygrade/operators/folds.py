@@ -6,7 +6,6 @@ Positions are taken per series at the daily grain (see ``series``).
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skygrade.operators.aggregates import distinct_classes
 from skygrade.operators.series import series_window
 
 
@@ -56,8 +55,10 @@ def with_test_fold(df: DataFrame, k, o, n=5) -> DataFrame:
 def fold_skip_single_class(folds: DataFrame, label, k=("site",)) -> DataFrame:
     """Rows of the folds whose training part has at least two classes.
 
-    There are only (series x folds) keys, a few rows per series in the join.
+    A fold has two classes if its lowest and highest training label differ; a
+    window over (series, fold) finds that without reading the folds twice.
     """
-    keys = [*k, "fold"]
-    counts = distinct_classes(folds.where("role = 'train'"), keys, label)
-    return folds.join(counts.where("n_classes >= 2").select(*keys), keys, "left_semi")
+    fold = Window.partitionBy(*k, "fold")
+    seen = F.when(F.col("role") == "train", F.col(label))
+    several = F.min(seen).over(fold) < F.max(seen).over(fold)
+    return folds.withColumn("_several", several).where("_several").drop("_several")

@@ -207,11 +207,10 @@ def box_stats_cohort(df: DataFrame, cols, cohort="cohort") -> DataFrame:
 
 def box_outliers(df: DataFrame, cols, row_key, by=()) -> DataFrame:
     """(row key, by, col, value) of the values outside the fences."""
-    keys = [*by, "col"]
+    keys, ids = [*by, "col"], [*row_key, *by]
+    df = materialise(df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols]), "rows")
     blocks = ordered_blocks(value_counts(df, cols, by), keys, ["value"])
     fences = with_fences(exact_quantiles(blocks, keys, QUARTILES)).select(*keys, "lo_fence", "hi_fence")
-    ids = [c for c in (*row_key, *by)]
-    long = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols])
-    long = long.unpivot(ids, list(cols), "col", "value").where("value is not null")
+    long = df.unpivot(ids, list(cols), "col", "value").where("value is not null")
     outside = lookup_join(long, fences, keys).where("value < lo_fence or value > hi_fence")
     return outside.select(*ids, "col", "value")

@@ -669,7 +669,7 @@ def cls_naive_bayes_query(spark, d):
 
 @query
 def cls_knn_query(spark, d):
-    return cls_knn(materialise(Q.classification_frame(model(spark, d)), "frame"), ADV, CLASS_COLUMNS)
+    return cls_knn(Q.classification_frame(model(spark, d)), ADV, CLASS_COLUMNS)
 
 
 @query
@@ -713,22 +713,26 @@ def ar_scores(spark, d):
     return rounded(union_all([f(pred, ["site"]).withColumn("metric", F.lit(n)) for n, f in parts.items()]))
 
 
-def prepared(frame):
-    return materialise(frame.select(*SITE_DAY, *ADV, *TARGETS, *CLASS_COLUMNS), "frame")
+def model_columns(frame):
+    return frame.select(*SITE_DAY, *ADV, *TARGETS, *CLASS_COLUMNS)
+
+
+def with_roles(frame):
+    return materialise(D.split_chrono(model_columns(frame), ["site"], ["dt"]), "split")
 
 
 def hold_out(frame):
-    split = materialise(D.split_chrono(frame, ["site"], ["dt"]), "split")
+    split = with_roles(frame)
     return split.where("role = 'train'"), split.where("role = 'test'")
 
 
 def regress(spark, d, name, params):
-    train, test = hold_out(prepared(Q.regression_frame(model(spark, d))))
+    train, test = hold_out(Q.regression_frame(model(spark, d)))
     return fit_targets(fit_regressor, train, test, TARGETS, name, ADV, params)
 
 
 def classify(spark, d, name, params):
-    train, test = hold_out(prepared(Q.classification_frame(model(spark, d))))
+    train, test = hold_out(Q.classification_frame(model(spark, d)))
     return fit_targets(fit_classifier, train, test, CLASS_COLUMNS, name, ADV, params)
 
 
@@ -775,8 +779,7 @@ def cls_mlp(spark, d):
 @query
 def grid_search_fitted(spark, d):
     """Search over forests with expanding folds, refit and hold-out scores."""
-    frame = prepared(Q.regression_frame(model(spark, d)))
-    split = materialise(D.split_chrono(frame, ["site"], ["dt"]), "split")
+    split = with_roles(Q.regression_frame(model(spark, d)))
     grid = {"RandomForest": [{"n_estimators": 5, "max_depth": depth} for depth in (3, 5)]}
     return regression_results(spark, *train_regressors(split, TARGETS[:2], grid, ADV, expanding=True))
 
@@ -784,5 +787,5 @@ def grid_search_fitted(spark, d):
 @query
 def results_table(spark, d):
     """Expanding-fold scores of a tree for every pollutant's class."""
-    frame = prepared(Q.classification_frame(model(spark, d)))
+    frame = model_columns(Q.classification_frame(model(spark, d)))
     return classification_results(spark, *cross_validate(frame, CLASS_COLUMNS, {"DecisionTree": {"max_depth": 4}}, ADV))
