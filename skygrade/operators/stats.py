@@ -12,6 +12,10 @@ from skygrade.session import materialise
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 WHISKER_REACH = 1.5
 
+# Size of the quantile sketch; its rank error is at most one over this share of the rows.
+SKETCH_SIZE = 10_000
+SKETCH_MARGIN = 3 / SKETCH_SIZE
+
 
 def pearson(x, y):
     """Correlation over the rows where both are present; null if either is constant."""
@@ -121,56 +125,110 @@ def corr_fan_out(one: DataFrame, many: DataFrame, k, pairs) -> DataFrame:
     return sums.select("a", "b", r.alias("r"), "n")
 
 
-def value_counts(df: DataFrame, cols, by) -> DataFrame:
-    """(by, col, value, n): equal values are counted before anything is shuffled."""
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    long = long.unpivot(list(by), list(cols), "col", "value").where("value is not null")
-    return long.groupBy(*by, "col", "value").agg(F.count(F.lit(1)).alias("n"))
-
+def long_values(df: DataFrame, cols, by) -> DataFrame:
+    """(by, col, value) of the known values, from a table written once with only those columns."""
+    wide = materialise(df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]), "values")
+    return wide.unpivot(list(by), list(cols), "col", "value").where("value is not null")
 
-def exact_quantiles(blocks: DataFrame, by, probs) -> DataFrame:
-    """Quantiles with linear interpolation from counted values sorted into blocks.
 
-    Only block totals are summed up across a group; the values are looked at in
-    the few blocks that hold a wanted rank. No task ever sees a whole group.
-    """
-    totals = block_offsets(blocks, by, "n")
-    last = F.col("_total") - 1
-    wanted = F.array(
+def sketched_brackets(values: DataFrame, keys, probs) -> DataFrame:
+    """Per key: number of values, and for every quantile its position and a narrow range around it."""
+    edges = [edge for p in probs.values() for edge in (max(p - SKETCH_MARGIN, 0.0), min(p + SKETCH_MARGIN, 1.0))]
+    sketch = F.percentile_approx("value", [float(e) for e in edges], SKETCH_SIZE)
+    sketched = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"), sketch.alias("edges"))
+    brackets = F.array(
         *[
-            F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), rank(p * last).cast("long").alias("at"))
-            for name, p in probs.items()
-            for side, rank in (("lo", F.floor), ("hi", F.ceil))
+            F.struct(
+                F.lit(name).alias("name"),
+                (p * (F.col("n_values") - 1)).alias("at"),
+                F.col("edges")[2 * i].alias("lo"),
+                F.col("edges")[2 * i + 1].alias("hi"),
+            )
+            for i, (name, p) in enumerate(probs.items())
         ]
     )
-    inside = lambda start, end: lambda w: (w["at"] >= start) & (w["at"] < end)
-    hits = (
-        totals.withColumn("_want", F.filter(wanted, inside(F.col("_before"), F.col("_before") + F.col("_inside"))))
-        .where(F.size("_want") > 0)
-        .drop("_inside")
-    )
-    upto = Window.partitionBy(*by, "_block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        lookup_join(blocks, hits, [*by, "_block"])
-        .withColumn("_end", F.col("_before") + F.sum("n").over(upto))
-        .withColumn("_hit", F.explode(F.filter("_want", inside(F.col("_end") - F.col("n"), F.col("_end")))))
+    return sketched.select(*keys, "n_values", brackets.alias("brackets"))
+
+
+def counted_brackets(values: DataFrame, keys, probs) -> DataFrame:
+    """The same with ``below``, the number of values under each range.
+
+    A range that should miss its position is opened to all values, so the result
+    does not rest on the sketch.
+    """
+    looked_up = lookup_join(values, sketched_brackets(values, keys, probs), keys)
+    value, bracket = F.col("value"), lambda i: F.col("brackets")[i]
+    under = lambda i: F.count(F.when(value < bracket(i)["lo"], 1))
+    upto = lambda i: F.count(F.when(value <= bracket(i)["hi"], 1))
+    counts = looked_up.groupBy(*keys).agg(
+        F.first("n_values").alias("n_values"),
+        F.first("brackets").alias("brackets"),
+        F.array(*[under(i) for i in range(len(probs))]).alias("under"),
+        F.array(*[upto(i) for i in range(len(probs))]).alias("upto"),
     )
-    pick = lambda name, side: F.max(
-        F.when((F.col("_hit.name") == name) & (F.col("_hit.side") == side), F.col("value"))
+
+    def checked(i):
+        b, under, upto = bracket(i), F.col("under")[i], F.col("upto")[i]
+        holds = (under <= F.floor(b["at"])) & (F.ceil(b["at"]) < upto)
+        return F.struct(
+            b["name"].alias("name"),
+            b["at"].alias("at"),
+            F.when(holds, b["lo"]).otherwise(float("-inf")).alias("lo"),
+            F.when(holds, b["hi"]).otherwise(float("inf")).alias("hi"),
+            F.when(holds, under).otherwise(0).alias("below"),
+        )
+
+    brackets = F.array(*[checked(i) for i in range(len(probs))]).alias("brackets")
+    return materialise(counts.select(*keys, "n_values", brackets), "brackets")
+
+
+def at_ranks(blocks: DataFrame, keys, wanted: DataFrame) -> DataFrame:
+    """(keys, lo_value, hi_value): the values at positions ``lo_at`` and ``hi_at`` (from 0).
+
+    ``blocks`` holds counted values sorted into blocks. Only block totals are
+    summed up across a group; values are looked at in the blocks that hold a
+    wanted position, so no task ever sees a whole group.
+    """
+    starts, ends = F.col("_before"), F.col("_before") + F.col("_inside")
+    held = lambda c, start, end: (F.col(c) >= start) & (F.col(c) < end)
+    hits = (
+        block_offsets(blocks, keys, "n")
+        .join(wanted, keys)
+        .where(held("lo_at", starts, ends) | held("hi_at", starts, ends))
+        .select(*keys, "_block", "_before", "lo_at", "hi_at")
     )
-    ends = found.groupBy(*by).agg(
-        F.max("_total").alias("n_values"),
-        *[pick(name, side).alias(f"{name}_{side}") for name in probs for side in ("lo", "hi")],
+    upto = Window.partitionBy(*keys, "_block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lookup_join(blocks, hits, [*keys, "_block"]).withColumn("_end", starts + F.sum("n").over(upto))
+    pick = lambda c: F.max(F.when(held(c, F.col("_end") - F.col("n"), F.col("_end")), F.col("value")))
+    return placed.groupBy(*keys).agg(pick("lo_at").alias("lo_value"), pick("hi_at").alias("hi_value"))
+
+
+def exact_quantiles(values: DataFrame, keys, probs) -> DataFrame:
+    """(keys, one column per quantile) with linear interpolation, exact for groups of any size.
+
+    A mergeable sketch narrows each quantile down to a small share of the values;
+    the rest is only counted. Just the values inside the ranges are shuffled,
+    counted and sorted.
+    """
+    brackets = counted_brackets(values, keys, probs)
+    inside = F.filter("brackets", lambda b: F.col("value").between(b["lo"], b["hi"]))
+    candidates = (
+        lookup_join(values, brackets, keys)
+        .select(*keys, "value", F.inline(inside))
+        .groupBy(*keys, "name", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    part = lambda p: p * (F.col("n_values") - 1) - F.floor(p * (F.col("n_values") - 1))
-    return ends.select(
-        *by,
-        "n_values",
-        *[
-            (F.col(f"{name}_lo") + part(p) * (F.col(f"{name}_hi") - F.col(f"{name}_lo"))).alias(name)
-            for name, p in probs.items()
-        ],
+    named = [*keys, "name"]
+    wanted = brackets.select(*keys, F.inline("brackets")).select(
+        *named,
+        "at",
+        (F.floor("at") - F.col("below")).alias("lo_at"),
+        (F.ceil("at") - F.col("below")).alias("hi_at"),
     )
+    ends = at_ranks(ordered_blocks(candidates, named, ["value"]), named, wanted.drop("at")).join(wanted, named)
+    part = F.col("at") - F.floor("at")
+    quantile = F.col("lo_value") + part * (F.col("hi_value") - F.col("lo_value"))
+    return ends.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, quantile)).alias(name) for name in probs])
 
 
 def with_fences(quartiles: DataFrame) -> DataFrame:
@@ -184,13 +242,13 @@ def box_stats(df: DataFrame, cols, by=()) -> DataFrame:
     Whiskers are the extreme values within the fences, but never inside the box.
     """
     keys = [*by, "col"]
-    blocks = ordered_blocks(value_counts(df, cols, by), keys, ["value"])
-    fences = with_fences(exact_quantiles(blocks, keys, QUARTILES))
+    values = long_values(df, cols, by)
+    fences = with_fences(exact_quantiles(values, keys, QUARTILES))
     value, lo, hi = F.col("value"), F.col("lo_fence"), F.col("hi_fence")
-    boxes = lookup_join(blocks, fences, keys).groupBy(*keys, *QUARTILES).agg(
+    boxes = lookup_join(values, fences, keys).groupBy(*keys, *QUARTILES).agg(
         F.min(F.when(value >= lo, value)).alias("lo"),
         F.max(F.when(value <= hi, value)).alias("hi"),
-        F.sum(F.when((value < lo) | (value > hi), F.col("n")).otherwise(0)).alias("n_out"),
+        F.count(F.when((value < lo) | (value > hi), 1)).alias("n_out"),
     )
     return boxes.select(
         *keys,
@@ -208,9 +266,7 @@ def box_stats_cohort(df: DataFrame, cols, cohort="cohort") -> DataFrame:
 def box_outliers(df: DataFrame, cols, row_key, by=()) -> DataFrame:
     """(row key, by, col, value) of the values outside the fences."""
     keys, ids = [*by, "col"], [*row_key, *by]
-    df = materialise(df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols]), "rows")
-    blocks = ordered_blocks(value_counts(df, cols, by), keys, ["value"])
-    fences = with_fences(exact_quantiles(blocks, keys, QUARTILES)).select(*keys, "lo_fence", "hi_fence")
-    long = df.unpivot(ids, list(cols), "col", "value").where("value is not null")
-    outside = lookup_join(long, fences, keys).where("value < lo_fence or value > hi_fence")
-    return outside.select(*ids, "col", "value")
+    values = long_values(df, cols, ids)
+    fences = with_fences(exact_quantiles(values.select(*keys, "value"), keys, QUARTILES))
+    outside = lookup_join(values, fences.select(*keys, "lo_fence", "hi_fence"), keys)
+    return outside.where("value < lo_fence or value > hi_fence").select(*ids, "col", "value")

@@ -90,7 +90,7 @@ def regression(tables: Tables, advanced=False, site=None, grids=None, targets=TA
     frame = frame_for(tables, site)
     features = feature_set_adv() if advanced else feature_set_base()
     prepared = regression_frame(frame) if advanced else frame
-    split = split_chrono(prepared.select("site", "dt", *features, *_missing(targets, features)), SERIES, ORDER)
+    split = split_chrono(prepared.select("site", "dt", *features, *[t for t in targets if t not in features]), SERIES, ORDER)
     grids = grids or {model: candidates(grid) for model, grid in GRIDS.items()}
     done = train_regressors(
         materialise(split, "split"), targets, grids, features, advanced, 3, workers, buckets(site)
@@ -98,10 +98,6 @@ def regression(tables: Tables, advanced=False, site=None, grids=None, targets=TA
     return regression_results(frame.sparkSession, *done)
 
 
-def _missing(names, present):
-    return [n for n in names if n not in present]
-
-
 def classification(tables: Tables, site=None, models=None, targets=CLASS_COLUMNS, workers=4, n_folds=5) -> DataFrame:
     """Expanding-fold accuracy and weighted F1 of every classifier for every class column.
 

@@ -40,9 +40,20 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return os.path.join(shared_folder(spark), f"skygrade-{spark.sparkContext.applicationId}")
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    return os.path.join(own_folder(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables this application wrote; frames built on them cannot be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label="table") -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skygrade.operators import stats
 from skygrade.operators.select import rank_variation
 from skygrade.operators.spread import block_offsets, hot_keys, lookup_join, number_rows, ordered_blocks, salted_join
 from skygrade.operators.stats import (
@@ -15,10 +16,11 @@ from skygrade.operators.stats import (
     corr_complete,
     corr_fan_out,
     corr_pairwise,
+    counted_brackets,
     exact_quantiles,
     mirrored,
-    value_counts,
 )
+from skygrade.session import materialise
 
 
 @pytest.fixture(scope="module")
@@ -73,10 +75,18 @@ def test_large_group_is_cut_into_blocks(spark, skewed):
     assert hot[0]._before == 0 and hot[-1]._before + hot[-1]._inside == hot[0]._total == 8000
 
 
-def test_quantiles_across_blocks(spark, skewed):
-    counts = value_counts(skewed.where("k is not null"), ["v"], ["k"])
-    blocks = in_blocks(spark, counts, ["k", "col"], ["value"])
-    got = {r.k: r for r in exact_quantiles(blocks, ["k", "col"], QUARTILES).collect()}
+@pytest.mark.parametrize("margin", [None, 0.05, -0.01])
+def test_quantiles_are_exact_for_any_sketch(spark, skewed, monkeypatch, margin):
+    """Also with a coarse sketch, ranges that span blocks, and ranges that miss (negative margin)."""
+    if margin is not None:
+        monkeypatch.setattr(stats, "SKETCH_SIZE", 50)
+        monkeypatch.setattr(stats, "SKETCH_MARGIN", margin)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        values = skewed.where("k is not null").select("k", F.lit("v").alias("col"), F.col("v").alias("value"))
+        got = {r.k: r for r in exact_quantiles(values, ["k", "col"], QUARTILES).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     frame = skewed.where("k is not null").toPandas()
     want = frame.groupby("k").v.quantile([0.25, 0.5, 0.75]).unstack()
     assert set(got) == set(want.index)
@@ -84,6 +94,14 @@ def test_quantiles_across_blocks(spark, skewed):
         assert (got[k].q1, got[k].median, got[k].q3) == pytest.approx(tuple(row))
 
 
+def test_sketch_narrows_the_sorted_part(spark):
+    values = spark.range(200_000).select(F.lit("v").alias("col"), F.rand(7).alias("value"))
+    values = materialise(values)
+    brackets = counted_brackets(values, ["col"], QUARTILES).first().brackets
+    counts = [values.where(F.col("value").between(b.lo, b.hi)).count() for b in brackets]
+    assert all(0 < n < 1000 for n in counts)
+
+
 def test_row_numbers_of_large_groups(spark, skewed):
     rows = skewed.where("k is not null").withColumn("id", F.monotonically_increasing_id())
     numbered = number_rows(rows, ["k"], [F.col("v").desc(), F.col("id").asc()]).toPandas()
