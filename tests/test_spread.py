@@ -41,16 +41,26 @@ def test_salted_join_equals_plain_join(spark, skewed, how):
     assert bag(lookup_join(skewed, small, ["k"], how)) == want
 
 
-def test_hot_rows_are_spread_over_salts(spark, skewed):
+@pytest.fixture
+def eight_parts(spark):
+    """Eight shuffle partitions that stay as cut, and no broadcasts, as with large data."""
+    conf = {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {key: spark.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_hot_rows_are_spread_over_salts(spark, skewed, eight_parts):
     small = spark.createDataFrame([("hot", 1)], "k string, n int")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        joined = salted_join(skewed.repartition(8), small, ["k"], "inner", salts=16)
-        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    joined = salted_join(skewed.repartition(8), small, ["k"], "inner", salts=16)
+    sizes = joined.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 0.6 * sum(r["count"] for r in sizes)
 
 
@@ -58,35 +68,22 @@ def test_hot_keys_are_few(skewed):
     assert [r.k for r in hot_keys(skewed, ["k"], 0.1).collect()] == ["hot"]
 
 
-def in_blocks(spark, df, by, order):
-    """Blocks as a cluster would cut them: adaptive merging of small ranges is off."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        return ordered_blocks(df, by, order)
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-
-
-def test_large_group_is_cut_into_blocks(spark, skewed):
+def test_large_group_is_cut_into_blocks(skewed, eight_parts):
     rows = skewed.where("k is not null").withColumn("id", F.monotonically_increasing_id())
-    blocks = in_blocks(spark, rows, ["k"], ["v", "id"])
+    blocks = ordered_blocks(rows, ["k"], ["v", "id"])
     hot = block_offsets(blocks, ["k"]).where("k = 'hot'").orderBy("_block").collect()
     assert len(hot) >= 3
     assert hot[0]._before == 0 and hot[-1]._before + hot[-1]._inside == hot[0]._total == 8000
 
 
 @pytest.mark.parametrize("margin", [None, 0.05, -0.01])
-def test_quantiles_are_exact_for_any_sketch(spark, skewed, monkeypatch, margin):
+def test_quantiles_are_exact_for_any_sketch(skewed, monkeypatch, eight_parts, margin):
     """Also with a coarse sketch, ranges that span blocks, and ranges that miss (negative margin)."""
     if margin is not None:
         monkeypatch.setattr(stats, "SKETCH_SIZE", 50)
         monkeypatch.setattr(stats, "SKETCH_MARGIN", margin)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        values = skewed.where("k is not null").select("k", F.lit("v").alias("col"), F.col("v").alias("value"))
-        got = {r.k: r for r in exact_quantiles(values, ["k", "col"], QUARTILES).collect()}
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    values = skewed.where("k is not null").select("k", F.lit("v").alias("col"), F.col("v").alias("value"))
+    got = {r.k: r for r in exact_quantiles(values, ["k", "col"], QUARTILES).collect()}
     frame = skewed.where("k is not null").toPandas()
     want = frame.groupby("k").v.quantile([0.25, 0.5, 0.75]).unstack()
     assert set(got) == set(want.index)
@@ -95,8 +92,7 @@ def test_quantiles_are_exact_for_any_sketch(spark, skewed, monkeypatch, margin):
 
 
 def test_sketch_narrows_the_sorted_part(spark):
-    values = spark.range(200_000).select(F.lit("v").alias("col"), F.rand(7).alias("value"))
-    values = materialise(values)
+    values = materialise(spark.range(200_000).select(F.lit("v").alias("col"), F.rand(7).alias("value")))
     brackets = counted_brackets(values, ["col"], QUARTILES).first().brackets
     counts = [values.where(F.col("value").between(b.lo, b.hi)).count() for b in brackets]
     assert all(0 < n < 1000 for n in counts)
