@@ -76,10 +76,10 @@ def fit_targets(fit, train, test, targets, model, features, params, workers=4) -
 def validation_parts(train: DataFrame, expanding, n):
     """(train, validation) pairs cut inside the training rows, from folds written out once."""
     if expanding:
-        folds = materialise(fold_expanding(train, SERIES, ORDER, n), "folds")
+        folds = materialise(fold_expanding(train, SERIES, ORDER, n), "folds", ["fold", "role"])
         part = lambda i, role: folds.where((F.col("fold") == i) & (F.col("role") == role))
         return [(part(i, "train"), part(i, "test")) for i in range(n)]
-    folds = materialise(fold_contiguous(train, SERIES, ORDER, n), "folds")
+    folds = materialise(fold_contiguous(train, SERIES, ORDER, n), "folds", ["fold"])
     return [(folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)) for i in range(n)]
 
 
@@ -137,7 +137,7 @@ def cross_validate(frame, targets, models, features, n=5, workers=4, site_bucket
     A fold with a single class is left out. ``models`` maps a name to its parameters.
     """
     spark = frame.sparkSession
-    folds = materialise(fold_expanding(frame, SERIES, ORDER, n), "folds")
+    folds = materialise(fold_expanding(frame, SERIES, ORDER, n), "folds", ["fold", "role"])
 
     def job(target, model, params, i):
         def run():

@@ -21,12 +21,14 @@ from skygrade.models.training import (
     train_regressors,
     union_all,
 )
-from skygrade.operators.aggregates import freq_table
+from skygrade.operators.aggregates import agg_cohort_mean, agg_day_all_sites, freq_table
 from skygrade.operators.folds import split_chrono
 from skygrade.operators.metrics import m_mae, m_r2, m_rmse
 from skygrade.operators.select import filter_eq
 from skygrade.operators.series import tail_n
+from skygrade.operators.stats import box_stats, box_stats_cohort
 from skygrade.plans.clean import clean_daily, clean_hourly, model_frame
+from skygrade.plans.explore import ranked_variation, stacked_cohorts, weather_vs_class, weather_vs_pollutants
 from skygrade.plans.features import (
     ORDER,
     SERIES,
@@ -35,7 +37,7 @@ from skygrade.plans.features import (
     feature_set_base,
     regression_frame,
 )
-from skygrade.schema import CLASS_COLUMNS, DISTRICTS, TARGETS
+from skygrade.schema import CLASS_COLUMNS, DISTRICTS, POLLUTANTS, TARGETS
 from skygrade.session import materialise
 from skygrade.sources.readers import Source, src_optional, src_readings, src_readings_hourly, src_weather
 
@@ -60,17 +62,44 @@ def load(spark: SparkSession, readings, hourly=None, weather=None, fmt="parquet"
     The clean tables feed every later step, so they are written out once.
     """
     absent = Source(None, "not given")
-    first = src_optional(lambda: src_readings(spark, readings, fmt), required=True)
-    second = src_optional(lambda: src_readings_hourly(spark, hourly, fmt)) if hourly else absent
+    clean_first = lambda: materialise(clean_daily(src_readings(spark, readings, fmt), sites), "daily")
+    clean_second = lambda: materialise(clean_hourly(src_readings_hourly(spark, hourly, fmt), sites), "hourly")
+    second = src_optional(clean_second) if hourly else absent
     third = src_optional(lambda: src_weather(spark, weather)) if weather else absent
     return Tables(
-        materialise(clean_daily(first.df, sites), "daily"),
-        materialise(clean_hourly(second.df, sites), "hourly") if second.df is not None else None,
+        src_optional(clean_first, required=True).df,
+        second.df,
         third.df,
         {name: s.reason for name, s in (("hourly", second), ("weather", third)) if s.reason},
     )
 
 
+@dataclass(frozen=True)
+class Exploration:
+    """The tables behind the exploratory plots; None where an optional source is missing."""
+
+    day_boxes: DataFrame
+    cohort_boxes: DataFrame | None = None
+    class_means: DataFrame | None = None
+    variation: DataFrame | None = None
+    weather_class: DataFrame | None = None
+    weather_pollutants: DataFrame | None = None
+
+
+def explore(tables: Tables) -> Exploration:
+    """Daily spread, comparison of the two cohorts, and correlations with the weather."""
+    views = {"day_boxes": box_stats(agg_day_all_sites(tables.daily, POLLUTANTS), POLLUTANTS)}
+    if tables.hourly is not None:
+        both = stacked_cohorts(tables.hourly, tables.daily)
+        views["cohort_boxes"] = box_stats_cohort(both, POLLUTANTS)
+        views["class_means"] = agg_cohort_mean(both, "cohort", "class_mean")
+        views["variation"] = ranked_variation(tables.hourly, tables.daily)
+    if tables.weather is not None:
+        views["weather_class"] = weather_vs_class(tables.daily, tables.weather)
+        views["weather_pollutants"] = weather_vs_pollutants(tables.daily, tables.weather)
+    return Exploration(**views)
+
+
 def frame_for(tables: Tables, site=None) -> DataFrame:
     if tables.weather is None:
         raise ValueError(f"no weather: {tables.reasons.get('weather')}")
@@ -93,7 +122,7 @@ def regression(tables: Tables, advanced=False, site=None, grids=None, targets=TA
     split = split_chrono(prepared.select("site", "dt", *features, *[t for t in targets if t not in features]), SERIES, ORDER)
     grids = grids or {model: candidates(grid) for model, grid in GRIDS.items()}
     done = train_regressors(
-        materialise(split, "split"), targets, grids, features, advanced, 3, workers, buckets(site)
+        materialise(split, "split", ["role"]), targets, grids, features, advanced, 3, workers, buckets(site)
     )
     return regression_results(frame.sparkSession, *done)
 

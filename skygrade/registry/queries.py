@@ -718,7 +718,7 @@ def model_columns(frame):
 
 
 def with_roles(frame):
-    return materialise(D.split_chrono(model_columns(frame), ["site"], ["dt"]), "split")
+    return materialise(D.split_chrono(model_columns(frame), ["site"], ["dt"]), "split", ["role"])
 
 
 def hold_out(frame):

@@ -56,12 +56,13 @@ def drop_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame, label="table") -> DataFrame:
+def materialise(df: DataFrame, label="table", partition_by=()) -> DataFrame:
     """Write ``df`` once to the shared folder and return a frame that reads it back.
 
     The table survives the loss of executors, so nothing downstream has to
-    repeat the work above it, and every reader sees the same rows.
+    repeat the work above it, and every reader sees the same rows. A reader that
+    filters on a ``partition_by`` column opens only the files it needs.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

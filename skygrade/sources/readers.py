@@ -6,7 +6,6 @@ machine and is no Spark work. No reader infers types from the data.
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -110,13 +109,17 @@ class Source:
 
 
 def src_optional(loader, required=False) -> Source:
-    """Run a loader. A required source that fails raises, an optional one is skipped with a reason."""
+    """Run a loader. A required source that fails raises, an optional one is skipped with a reason.
+
+    Whatever stops an optional source, the others go on; a loader that reads
+    lazily is only checked for its path and columns.
+    """
     try:
         return Source(loader())
-    except (MissingColumns, AnalysisException) as error:
+    except Exception as error:
         if required:
             raise
-        return Source(None, str(error).splitlines()[0])
+        return Source(None, str(error).strip().splitlines()[0])
 
 
 __all__ = [

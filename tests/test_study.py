@@ -32,6 +32,24 @@ def test_missing_optional_source_is_reported(spark, tmp_path):
         study.frame_for(got)
 
 
+def test_bad_timestamp_drops_only_the_hourly_source(spark, tables, tmp_path):
+    raw_readings(spark, FOLDER).write.parquet(str(tmp_path / "r"))
+    bad = raw_hourly(spark, FOLDER).withColumn("Data-Hora ", F.lit("soon"))
+    bad.write.parquet(str(tmp_path / "h"))
+    got = study.load(spark, str(tmp_path / "r"), hourly=str(tmp_path / "h"), sites=None)
+    assert got.hourly is None and "CAST_INVALID_INPUT" in got.reasons["hourly"]
+    views = study.explore(got)
+    assert views.day_boxes.count() == 5 and views.variation is None and views.weather_class is None
+
+
+def test_exploration(tables):
+    views = study.explore(tables)
+    assert {r.cohort for r in views.class_means.collect()} == {"earlier", "later"}
+    assert views.cohort_boxes.count() == 10
+    assert views.variation.groupBy("pollutant").count().count() == 5
+    assert views.weather_class.count() == 25 and views.weather_pollutants.count() == 25
+
+
 def test_regression_of_one_site(tables):
     grid = {"RandomForest": [{"n_estimators": 3, "max_depth": 3}]}
     rows = study.regression(tables, site="D1", grids=grid, targets=["o3"]).collect()
