@@ -14,7 +14,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygrade.models.estimators import CLASSIFIERS, REGRESSORS, SITE_BUCKETS, pipeline
+from skygrade.models.estimators import CLASSIFIERS, REGRESSORS, SITE_BUCKETS, learner
 from skygrade.operators.folds import fold_contiguous, fold_expanding
 from skygrade.operators.metrics import m_accuracy, m_f1_weighted, m_mae, r2_column
 from skygrade.operators.search import grid_search, results_table
@@ -45,7 +45,7 @@ def predictions(df, target, model):
 
 def fit_regressor(train, test, target, model, features, params, site_buckets=SITE_BUCKETS) -> DataFrame:
     """(site, dt, target, model, y, p) for the test rows."""
-    flow = pipeline(REGRESSORS[model](params, {}), features, site_buckets)
+    flow = learner(REGRESSORS[model](params, {}), features, site_buckets)
     labelled = lambda df: df.where(F.col(target).isNotNull()).withColumn("label", F.col(target))
     return predictions(flow.fit(labelled(train)).transform(labelled(test)), target, model)
 
@@ -62,7 +62,7 @@ def fit_classifier(train, test, target, model, features, params, site_buckets=SI
     info = {"rows": rows, "classes": len(seen), "width": len(features) + (site_buckets or 0)}
     classes = F.array(*[F.lit(c) for c in seen])
     numbered = train.withColumn("label", (F.array_position(classes, F.col(target)) - 1).cast("double"))
-    fitted = pipeline(CLASSIFIERS[model](params, info), features, site_buckets).fit(numbered)
+    fitted = learner(CLASSIFIERS[model](params, info), features, site_buckets).fit(numbered)
     answered = fitted.transform(test.withColumn("label", F.col(target)))
     return predictions(answered.withColumn("p", F.element_at(classes, F.col("p").cast("int") + 1)), target, model)
 

@@ -19,8 +19,8 @@ def duck(folder):
 
 
 def plain(value):
-    if isinstance(value, float):
-        return None if math.isnan(value) else value + 0.0
+    if isinstance(value, float) and (math.isnan(value) or (value == 0 and math.copysign(1, value) < 0)):
+        return repr(value)  # never equal to null or to plain zero
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None)
     return value

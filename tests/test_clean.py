@@ -134,7 +134,7 @@ def test_unused_null_weather_column_removes_the_row(spark):
 
 def test_nan_is_null(spark):
     raw = spark.createDataFrame([("A", "04/03/2024", v) for v in (1.0, float("nan"), None)], "Distrito string, Data string, NO2 double")
-    raw = raw.withColumns({n: F.lit(None).cast("double") for n in ("O3", "`PM2.5`".strip("`"), "PM10", "SO2")})
+    raw = raw.withColumns({n: F.lit(None).cast("double") for n in ("O3", "PM2.5", "PM10", "SO2")})
     assert group_mean(canonical_readings(raw), ["site"], ["no2"]).first().no2 == 1.0
 
 
