@@ -1,7 +1,7 @@
 """The text operators over whole tables, and SQL for those that SQL can state."""
 
 
-from skygrade.llm import bytebpe, chat, exact, secrets
+from skygrade.llm import bytebpe, chat, exact, minmax, secrets
 from skygrade.llm.common import table
 
 QUERIES = {}
@@ -13,6 +13,11 @@ def query(fn):
     return fn
 
 
+@query
+def op4_minmax_dedup(spark, d):
+    return minmax.near_groups(table(spark, d, "documents"))
+
+
 @query
 def op5_byte_bpe(spark, d):
     return bytebpe.round_trip(table(spark, d, "documents"))
