@@ -1,8 +1,13 @@
 """The text operators over whole tables, and SQL for those that SQL can state."""
 
+import re
 
-from skygrade.llm import bytebpe, chat, exact, minmax, secrets
+from pyspark.sql import functions as F
+
+
+from skygrade.llm import bytebpe, chat, exact, minmax, secrets, warc
 from skygrade.llm.common import table
+from skygrade.session import fresh_path
 
 QUERIES = {}
 SQL = {}
@@ -67,3 +72,47 @@ select conv_id, count(*) as n_turns,
   sum(length(regexp_replace(role || text, '([\\<\[])', '\\\1', 'g')) + length('<s>[INST][/INST]</s>'))::bigint as formatted_chars
 from t group by conv_id
 """
+
+
+def rotten(record: bytes) -> bytes:
+    """A replica's bit rot: in pages 7, 60, 113, ... the first tag, in pages 11, 108, 205, ... the header."""
+    page = re.search(rb"urn:page:(\d+)>", record)
+    if page and int(page[1]) % 53 == 7:
+        head, gap, body = record.partition(b"\r\n\r\n")
+        record = head + gap + body.replace(b"<", b"#", 1)
+    if page and int(page[1]) % 97 == 11:
+        record = b"X" + record[1:]
+    return record
+
+
+@query
+def op10_warc_fixity(spark, d):
+    """Archive all pages, copy the archive onto a failing disk, and report what its audit locates."""
+    whole, copy = fresh_path(spark, "warc"), fresh_path(spark, "warc-copy")
+    warc.write_warc(table(spark, d, "pages"), whole)
+    warc.copy_archive(spark, whole, copy, rotten)
+    return warc.audit(spark, whole, copy).select(
+        F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("page_id"),
+        "kind",
+        (F.col("end_a") - F.col("start_a")).alias("n_bytes"),
+        F.col("hash_a").alias("sha256_kept"),
+        F.col("hash_b").alias("sha256_found"),
+    )
+
+
+SQL["op10_warc_fixity"] = r"""
+with t as (
+  select page_id, 'WARC/1.0' || crlf || 'WARC-Type: resource' || crlf || 'WARC-Record-ID: <urn:page:' || page_id || '>' || crlf
+      || 'WARC-Target-URI: ' || translate(coalesce(url, ''), crlf, '  ') || crlf || 'Content-Type: text/html' || crlf
+      || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || crlf || crlf as head,
+    coalesce(html, '') as html, crlf || crlf as tail
+  from pages, (select chr(13) || chr(10) as crlf)
+), r as (
+  select page_id, head || html || tail as kept,
+    case when page_id % 97 = 11 then 'X' || substr(head, 2) else head end
+      || case when page_id % 53 = 7 then regexp_replace(html, '<', '#') else html end || tail as found
+  from t
+)
+select page_id, 'altered' as kind, octet_length(encode(kept)) as n_bytes, sha256(kept) as sha256_kept, sha256(found) as sha256_found
+from r where kept <> found
+"""
