@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 
-from skygrade.llm import bytebpe, chat, exact, minmax, secrets, warc
+from skygrade.llm import bytebpe, chat, exact, masked_lm, minmax, secrets, warc
 from skygrade.llm.common import table
 from skygrade.session import fresh_path
 
@@ -18,6 +18,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_masked_lm(spark, d):
+    return masked_lm.pseudo_likelihood(table(spark, d, "documents"))
+
+
 @query
 def op4_minmax_dedup(spark, d):
     return minmax.near_groups(table(spark, d, "documents"))
