@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 
-from skygrade.llm import bytebpe, chat, exact, masked_lm, minmax, quality, secrets, warc
+from skygrade.llm import bytebpe, chat, decontam, exact, masked_lm, minmax, quality, secrets, warc
 from skygrade.llm.common import table
 from skygrade.session import fresh_path
 
@@ -84,6 +84,11 @@ from t group by conv_id
 """
 
 
+@query
+def op9_decontaminate(spark, d):
+    return decontam.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def rotten(record: bytes) -> bytes:
     """A replica's bit rot: in pages 7, 60, 113, ... the first tag, in pages 11, 108, 205, ... the header."""
     page = re.search(rb"urn:page:(\d+)>", record)
