@@ -44,6 +44,10 @@ def as_batches(columns, names):
     return out.to_batches(max_chunksize=50_000)
 
 
+#: Shuffle files of a finished write are of no more use: what follows reads the table.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder by one call; ``drop`` deletes those that nothing reads any more."""
 
@@ -52,7 +56,12 @@ class Scratch:
 
     def write(self, df: DataFrame, label: str, partition_by=()) -> DataFrame:
         path = fresh_path(self.spark, label)
-        df.write.partitionBy(*partition_by).parquet(path)
+        before = self.spark.conf.get(CLEAN_SHUFFLES, "false")
+        self.spark.conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            df.write.partitionBy(*partition_by).parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_SHUFFLES, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = (path, back)
         return back

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 
-from skygrade.llm import bytebpe, chat, decontam, exact, masked_lm, minmax, quality, secrets, warc
+from skygrade.llm import bytebpe, chat, debruijn, decontam, exact, masked_lm, minmax, quality, secrets, warc
 from skygrade.llm.common import table
 from skygrade.session import fresh_path
 
@@ -23,6 +23,11 @@ def op1_masked_lm(spark, d):
     return masked_lm.pseudo_likelihood(table(spark, d, "documents"))
 
 
+@query
+def op2_debruijn_dedup(spark, d):
+    return debruijn.repeat_digests(table(spark, d, "documents"))
+
+
 @query
 def op3_quality(spark, d):
     return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
