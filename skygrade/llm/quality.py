@@ -23,6 +23,7 @@ a label.
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,15 +199,22 @@ def learn(docs: DataFrame, labels: DataFrame, vectors, weights, sample=SAMPLE) -
     return fit(np.stack(rows["x"].to_numpy()), rows["good"].to_numpy(), rows["apart"].to_numpy(bool))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample=SAMPLE) -> DataFrame:
-    """doc_id, held_out, score (probability of a good label), predicted (1 from 0.3 on)."""
+def scorer(docs: DataFrame, labels: DataFrame, sample=SAMPLE):
+    """A column function from text to score, learned from ``docs`` and ``labels``."""
     vectors, weights = word_vectors(docs)
     model = learn(docs, labels, vectors, weights, sample)
 
-    def run(batch):
-        return [batch.column("doc_id"), pa.array(model.scores(pool(raw(batch.column("text")), vectors, weights)))]
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        given = [t.encode() if t is not None else b"" for t in text]
+        return pd.Series(model.scores(pool(given, vectors, weights)))
+
+    return score
 
-    scored = map_batches(texts(docs), run, "doc_id long, score double")
+
+def score_quality(docs: DataFrame, labels: DataFrame, sample=SAMPLE) -> DataFrame:
+    """doc_id, held_out, score (probability of a good label), predicted (1 from 0.3 on)."""
+    scored = texts(docs).select("doc_id", scorer(docs, labels, sample)("text").alias("score"))
     return scored.select(
         "doc_id",
         F.coalesce(remainder("doc_id") == 0, F.lit(False)).alias("held_out"),
