@@ -88,18 +88,33 @@ def is_der_key(data: bytes) -> bool:
     return len(tags) >= 2 and (tags[0] == DER_INTEGER or tags[:2] == [DER_SEQUENCE, 0x03])
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key, or fields with 32-bit lengths, the first a key type, that fill the data."""
-    if data.startswith(SSH_MAGIC):
-        return True
-    fields, at = [], 0
-    while at + 4 <= len(data):
+def fields(data: bytes, at: int, most=64):
+    """Values with 32-bit lengths from ``at`` on, up to ``most``, and where they end; None if a length runs over."""
+    found = []
+    while at + 4 <= len(data) and len(found) < most:
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
+            return None
+        found.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and fields[0] in SSH_TYPES
+    return found, at
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Fields that fill the data: a key type and its numbers, or an OpenSSH private key.
+
+    The latter has cipher, key derivation and its options, the number of keys,
+    as many public keys, and the private part.
+    """
+    if data.startswith(SSH_MAGIC):
+        head = fields(data, len(SSH_MAGIC), 3)
+        if not head or len(head[0]) < 3:
+            return False
+        keys = int.from_bytes(data[head[1] : head[1] + 4], "big")
+        rest = fields(data, head[1] + 4)
+        return bool(rest) and rest[1] == len(data) and len(rest[0]) == keys + 1
+    found = fields(data, 0)
+    return bool(found) and found[1] == len(data) and len(found[0]) >= 2 and found[0][0] in SSH_TYPES
 
 
 def is_token_header(part: str) -> bool:

@@ -1,0 +1,82 @@
+import hashlib
+import random
+import re
+
+import pytest
+from fixtures_llm import AWKWARD, bag, empty, frame, words
+
+from skygrade.llm.exact import Bucket, CuckooFilter, ExactIndex, exact_groups, normalised
+
+
+def digest(i):
+    return hashlib.sha256(str(i).encode()).digest()
+
+
+def test_filter_finds_what_was_put_in_and_frees_what_was_deleted():
+    own = CuckooFilter(512)
+    assert all(own.insert(digest(i)) for i in range(1500))
+    assert all(digest(i) in own for i in range(1500))
+    assert sum(digest(i) in own for i in range(10_000, 20_000)) < 20
+    assert all(own.delete(digest(i)) for i in range(0, 1500, 2))
+    assert all(digest(i) in own for i in range(1, 1500, 2))
+    assert not own.delete(digest(99_999))
+    again = CuckooFilter.load(own.dump())
+    assert again.groups == 512 and all(digest(i) in again for i in range(1, 1500, 2))
+
+
+def test_overflow_doubles_the_filter_from_its_stored_keys():
+    bucket = Bucket(CuckooFilter(1))
+    for i in range(3000):
+        bucket.add(digest(i), i, 1)
+    assert bucket.filter.groups >= 1024
+    assert len(bucket.content) == 3000 and all(digest(i) in bucket.filter for i in range(3000))
+
+
+def test_false_positives_are_told_apart_by_content():
+    bucket = Bucket(CuckooFilter(1))
+    same = b"\0" * 16 + digest(1)[16:]  # another digest with the same fingerprint and places
+    bucket.add(digest(1), 1, 1)
+    assert same in bucket.filter
+    bucket.add(same, 2, 1)
+    assert bucket.content == {digest(1): (1, 1), same: (2, 1)}
+    bucket.replace(same, None, 0)
+    assert digest(1) in bucket.filter
+
+
+@pytest.mark.parametrize("text", ["", " ", "\t\n", "a", " a", "a\n", "a \t b", "\x0b\x0ca\r\nb  ", "a\u00a0b", "\x1ca"])
+def test_normalised(text):
+    assert normalised(text.encode()).decode() == re.sub(r"[\x20\x09-\x0D]+", " ", text)
+
+
+def expected(rows):
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text or ""), []).append(i)
+    out = []
+    for norm, ids in groups.items():
+        first = min((i for i in ids if i is not None), default=None)
+        out += [(i, first, len(ids), i == first, hashlib.sha256(norm.encode()).hexdigest()) for i in ids]
+    return sorted(out, key=repr)
+
+
+COLUMNS = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def test_groups(spark):
+    assert bag(exact_groups(frame(spark, AWKWARD)), *COLUMNS) == expected(AWKWARD)
+    assert exact_groups(empty(spark)).collect() == []
+
+
+def test_insert_and_delete_keep_the_index_equal_to_a_fresh_one(spark):
+    pick = random.Random(3)
+    rows = [(i, words(pick.randrange(25), 8)) for i in range(120)]
+    index = ExactIndex.build(frame(spark, rows[:70]), per_bucket=20)
+    index.insert(frame(spark, rows[70:]))
+    live = lambda index: {(bytes(r.digest), r.keep_id, r.group_size) for r in index.groups().collect()}
+    assert live(index) == live(ExactIndex.build(frame(spark, rows)))
+    gone = [i for i in range(120) if i % 3 == 0 or words(0, 8) == rows[i][1]]
+    index.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+    rest = [r for r in rows if r[0] not in gone]
+    assert live(index) == live(ExactIndex.build(frame(spark, rest)))
+    filters = {r.bucket: CuckooFilter.load(r["filter"]) for r in index.rows.where("filter is not null").collect()}
+    assert all(bytes(r.digest) in filters[r.bucket] for r in index.rows.where("digest is not null").collect())

@@ -1,0 +1,83 @@
+import zlib
+
+import numpy as np
+import pytest
+from fixtures_llm import AWKWARD, bag, empty, frame, words
+
+from skygrade.llm import quality as Q
+
+SF = "/root/testdata/sf0.1"
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_held_out_accuracy_and_calibration(spark):
+    docs, marks = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scored = Q.score_quality(docs, marks).toPandas()
+    assert len(scored) == 10_000 and scored["score"].between(0, 1).all()
+    assert (scored["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in scored["doc_id"]]).all()
+    assert (scored["predicted"] == (scored["score"] >= 0.3)).all()
+    both = scored[scored["held_out"]].merge(marks.toPandas(), on="doc_id")
+    assert (both["predicted"] == both["quality"]).mean() > 0.97
+    assert (both[both["quality"] == 1]["predicted"]).mean() > 0.98
+    assert ((both["score"] - both["quality"]) ** 2).mean() < 0.03
+
+
+def test_context_vectors_equal_a_plain_computation(spark):
+    texts = ["a b a c", "c", "d a"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    places, signs = Q.index_vectors()
+    want, counts = np.zeros((Q.FORMS, Q.WIDTH)), np.zeros(Q.FORMS, int)
+    for text in texts:
+        found = Q.forms(text.encode().split())
+        for i, form in enumerate(found):
+            counts[form] += 1
+            for reach in Q.REACH:
+                if 0 <= i + reach < len(found):
+                    np.add.at(want[form], places[found[i + reach]], signs[found[i + reach]])
+    rows = Q.context_sums(docs).toPandas().set_index("form")
+    for form in np.flatnonzero(counts):
+        assert rows.loc[form, "n"] == counts[form]
+        assert np.allclose(rows.loc[form, [f"v{i}" for i in range(Q.WIDTH)]].to_numpy(float), want[form])
+
+
+def test_pooling_in_blocks_equals_pooling_at_once(monkeypatch):
+    pick = np.random.default_rng(1)
+    vectors, weights = pick.normal(size=(Q.FORMS, Q.WIDTH)).astype(np.float32), pick.random(Q.FORMS).astype(np.float32)
+    text = words(1, 500).encode()
+    whole = Q.pool([text], vectors, weights)
+    monkeypatch.setattr(Q, "BLOCK", 100)
+    parts = Q.pool([text], vectors, weights)
+    assert np.allclose(whole[0, : Q.WIDTH], parts[0, : Q.WIDTH], atol=1e-5)
+    assert not Q.pool([b"", b" \n"], vectors, weights).any()
+
+
+def test_temperature_calibrates():
+    pick = np.random.default_rng(2)
+    x = pick.normal(size=(3000, 4))
+    y = (pick.random(3000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    model = Q.fit(x, y, np.arange(3000) % 4 == 0)
+    fresh = pick.normal(size=(4000, 4))
+    true = 1 / (1 + np.exp(-2 * fresh[:, 0]))
+    assert np.abs(model.scores(fresh) - true).mean() < 0.08 and model.temperature > 0
+
+
+@pytest.mark.parametrize("marks", [[], [(5, 1, 0), (3, 1, 0)], [(5, None, 0)], [(None, 1, 0)]])
+def test_without_two_classes_the_score_is_a_constant(spark, marks):
+    got = Q.score_quality(frame(spark, AWKWARD), labels(spark, marks)).collect()
+    assert len(got) == len(AWKWARD) and len({r.score for r in got}) == 1 and all(0 < r.score < 1 for r in got)
+
+
+def test_awkward_rows(spark):
+    rows = [*AWKWARD, *((100 + i, words(i, 50)) for i in range(40)), *((200 + i, "### " * 40) for i in range(40))]
+    marks = [(100 + i, 1, 0) for i in range(40)] + [(200 + i, 0, 0) for i in range(40)] + [(100, 1, 0), (100, 0, 0), (5, None, 1), (None, 0, 0)]
+    got = Q.score_quality(frame(spark, rows), labels(spark, marks))
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    found = got.collect()
+    assert len(found) == len(rows) and all(r.held_out is False for r in found if r.doc_id is None)
+    assert np.mean([r.predicted == (r.doc_id < 200) for r in found if r.doc_id and r.doc_id >= 100]) > 0.95
+    empties = {r.score for r in found if r.doc_id in (7, 8, 11)}
+    assert len(empties) == 1
+    assert bag(Q.score_quality(empty(spark), labels(spark, marks)), "doc_id") == []
