@@ -10,7 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER_PATTERN = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
-DAY_FIRST_FORMAT = "d/M/yyyy[ H:mm[:ss]]"
+#: Shapes of date text, in the order in which ties between them are settled.
+DATE_SHAPES = {
+    "slash": "d/M/yyyy[ H:mm[:ss]]",
+    "dash": "d-M-yyyy[ H:mm[:ss]]",
+    "iso": "yyyy-M-d[ H:mm[:ss]]",
+}
+OFFSET_PATTERN = r"(?i)([zZ]|UTC|GMT|[+-]\d{1,2}(:?\d{2}){0,2})\s*$"
 
 
 def column(c) -> Column:
@@ -32,9 +38,15 @@ def no_nan(c) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def parse_dayfirst(c) -> Column:
-    """Day-first date text as a date; anything else becomes null."""
-    return F.to_date(F.try_to_timestamp(F.trim(column(c)), F.lit(DAY_FIRST_FORMAT)))
+def parse_dayfirst(c, shape="slash") -> Column:
+    """Date text of one shape (see DATE_SHAPES) as a date; text of any other shape becomes null."""
+    return F.to_date(F.try_to_timestamp(F.trim(column(c)), F.lit(DATE_SHAPES[shape])))
+
+
+def date_shape(df, name) -> str:
+    """The shape that most values of a text column have; a column has one, as a file has one writer."""
+    counts = df.agg(*[F.count(parse_dayfirst(name, shape)).alias(shape) for shape in DATE_SHAPES]).first()
+    return max(DATE_SHAPES, key=lambda shape: counts[shape])
 
 
 def parse_strict(c) -> Column:
@@ -43,9 +55,22 @@ def parse_strict(c) -> Column:
 
 
 def parse_utc(c) -> Column:
-    """Timestamp text with an offset, as the naive UTC timestamp under any session zone."""
-    instant = F.try_to_timestamp(column(c))
-    return F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
+    """Timestamp text as the naive UTC timestamp under any session zone; without an offset it is UTC already."""
+    text = F.trim(column(c))
+    instant = F.to_utc_timestamp(F.try_to_timestamp(text), F.current_timezone()).cast("timestamp_ntz")
+    # A date alone ends in digits after a sign, but has no time.
+    offset = text.contains(":") & text.rlike(OFFSET_PATTERN)
+    return F.when(offset, instant).otherwise(text.try_cast("timestamp_ntz"))
+
+
+def as_utc(df, name) -> Column:
+    """A column of stamps of any type as naive UTC timestamps."""
+    kind = df.schema[name].dataType.typeName()
+    if kind == "string":
+        return parse_utc(name)
+    if kind == "timestamp":
+        return F.to_utc_timestamp(F.col(name), F.current_timezone()).cast("timestamp_ntz")
+    return F.col(name).cast("timestamp_ntz")
 
 
 def trunc_day(c) -> Column:

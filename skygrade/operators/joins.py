@@ -3,13 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygrade.operators.spread import BROADCAST_ROWS, lookup_join
+from skygrade.operators.spread import BROADCAST_BYTES, lookup_join
 
 
-def join_group_mean(df: DataFrame, means: DataFrame, k, cols, max_rows=BROADCAST_ROWS) -> DataFrame:
+def join_group_mean(df: DataFrame, means: DataFrame, k, cols, max_bytes=BROADCAST_BYTES) -> DataFrame:
     """Attach the group means as ``<col>_media`` to every row."""
     renamed = means.select(*k, *[F.col(c).alias(f"{c}_media") for c in cols])
-    return lookup_join(df, renamed, list(k), "left", max_rows)
+    return lookup_join(df, renamed, list(k), "left", max_bytes)
 
 
 def join_weather_left(readings: DataFrame, weather: DataFrame, k=("site", "dt")) -> DataFrame:

@@ -3,52 +3,48 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skygrade.session import materialise
+from skygrade.session import fresh_path, materialise, stored_bytes
 
-BROADCAST_ROWS = 200_000
-HOT_SHARE = 1 / 256
-SALTS = 64
+BROADCAST_BYTES = 16 << 20  # size of a written table that may be sent to every task
+TASK_ROWS = 2_000_000  # rows of one key that a task may hold; beyond that the key is hot
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def hot_keys(df: DataFrame, keys, task_rows=TASK_ROWS) -> DataFrame:
+    """Keys with more than ``task_rows`` rows, and ``_cuts``, the tasks their rows are cut into.
 
-
-def hot_keys(df: DataFrame, keys, share=HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of all rows: by arithmetic fewer than 1/share of them."""
-    counts = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    return counts.where(F.col("_n") > total * share).select(*keys)
+    There are fewer of them than rows / task_rows, which is below the number of tasks.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > task_rows)
+    return counts.select(*keys, F.ceil(F.col("_n") / F.lit(task_rows)).cast("int").alias("_cuts"))
 
 
-def lookup_join(big, small, keys, how="inner", max_rows=BROADCAST_ROWS, salts=SALTS):
+def lookup_join(big, small, keys, how="inner", max_bytes=BROADCAST_BYTES, task_rows=TASK_ROWS):
     """Join ``big`` with a table that has at most one row per key.
 
-    The small side is written out and counted. Within ``max_rows`` it is
-    broadcast and ``big`` is not shuffled. Beyond that both sides are shuffled
-    on the key, and the few hot keys of ``big`` are spread over ``salts`` tasks,
-    their single row of ``small`` being repeated once per salt. ``how`` may be
-    inner, left, left_semi or left_anti.
+    The small side is written out. Up to ``max_bytes`` on disk it is broadcast and
+    ``big`` is not shuffled. Beyond that both sides are shuffled on the key; keys
+    of ``big`` with more rows than a task should hold are cut into as many parts
+    as they need, their single row of ``small`` being repeated for each. ``how``
+    may be inner, left, left_semi or left_anti. Writing and counting run when the
+    join is built, so ``explain()`` shows only what comes after.
     """
-    small = materialise(small, "lookup")
-    if at_most(small, max_rows):
+    path = fresh_path(big.sparkSession, "lookup")
+    small.write.parquet(path)
+    small = big.sparkSession.read.schema(small.schema).parquet(path)
+    if stored_bytes(big.sparkSession, path) <= max_bytes:
         return big.join(F.broadcast(small), keys, how)
-    return salted_join(big, small, keys, how, salts)
+    return salted_join(big, small, keys, how, task_rows)
 
 
-def salted_join(big, small, keys, how="inner", salts=SALTS, share=HOT_SHARE):
-    hot = F.broadcast(materialise(hot_keys(big, keys, share), "hot").withColumn("_hot", F.lit(True)))
+def salted_join(big, small, keys, how="inner", task_rows=TASK_ROWS):
+    """The shuffled form of ``lookup_join``."""
+    hot = materialise(hot_keys(big, keys, task_rows), "hot")  # its size is known, so Spark broadcasts it only if it is small
     # Row hash and task number: the hash splits rows that arrive in one task, the
     # number splits equal copies; both stay the same when a task is run again.
-    spread = F.pmod(F.xxhash64(*big.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
-    left = (
-        big.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    spread = F.pmod(F.xxhash64(*big.columns) + F.spark_partition_id(), F.col("_cuts")).cast("int")
+    left = big.join(hot, keys, "left").withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_cuts")
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_cuts"), F.lit(1)) - 1)
+    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_cuts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

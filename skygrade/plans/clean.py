@@ -16,7 +16,7 @@ from skygrade.functions.grading import with_classes
 from skygrade.operators.aggregates import agg_numeric_all, with_week
 from skygrade.operators.joins import join_weather_inner
 from skygrade.operators.select import drop_null_any, filter_in_list, no_null_keys
-from skygrade.operators.spread import BROADCAST_ROWS, lookup_join
+from skygrade.operators.spread import BROADCAST_BYTES, lookup_join
 from skygrade.schema import CLASS_COLUMNS, POLLUTANTS
 
 
@@ -55,7 +55,7 @@ def daily_means(readings: DataFrame, iso_year=False) -> DataFrame:
     return filled_means(sums.withColumns({f"_week_{p}": week_mean(p, week) for p in POLLUTANTS}), "dt")
 
 
-def hourly_means(readings: DataFrame, max_rows=BROADCAST_ROWS) -> DataFrame:
+def hourly_means(readings: DataFrame, max_bytes=BROADCAST_BYTES) -> DataFrame:
     """Weekly fill and mean per site and timestamp.
 
     Timestamps have no least distance, so a week of one site may hold any number
@@ -63,7 +63,7 @@ def hourly_means(readings: DataFrame, max_rows=BROADCAST_ROWS) -> DataFrame:
     """
     sums = day_sums(readings, "ts")
     weeks = sums.groupBy("site", "yr", "wk").agg(*[week_mean(p).alias(f"_week_{p}") for p in POLLUTANTS])
-    return filled_means(lookup_join(sums, weeks, ["site", "yr", "wk"], "inner", max_rows), "ts")
+    return filled_means(lookup_join(sums, weeks, ["site", "yr", "wk"], "inner", max_bytes), "ts")
 
 
 def keep_sites(df, sites):

@@ -58,11 +58,18 @@ class Tables:
 
 def load(spark: SparkSession, readings, hourly=None, weather=None, fmt="parquet", sites=DISTRICTS) -> Tables:
     """Read and clean. Readings must load; a failing optional source is skipped with its reason.
+    Readings of which no row is left (no site listed, no date understood) have not loaded.
 
     The clean tables feed every later step, so they are written out once.
     """
     absent = Source(None, "not given")
-    clean_first = lambda: materialise(clean_daily(src_readings(spark, readings, fmt), sites), "daily")
+    def clean_first():
+        raw = src_readings(spark, readings, fmt)
+        daily = materialise(clean_daily(raw, sites), "daily")
+        if daily.isEmpty() and not raw.isEmpty():
+            raise ValueError(f"readings: no row has a known site and a date, out of {raw.count()}")
+        return daily
+
     clean_second = lambda: materialise(clean_hourly(src_readings_hourly(spark, hourly, fmt), sites), "hourly")
     second = src_optional(clean_second) if hourly else absent
     third = src_optional(lambda: src_weather(spark, weather)) if weather else absent

@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,10 +51,31 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return os.path.join(own_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path and the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a written table on disk."""
+    target, files = file_system(spark, path)
+    return files.getContentSummary(target).getLength()
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete the tables this application wrote; frames built on them cannot be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    target, files = file_system(spark, own_folder(spark))
+    files.delete(target, True)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Scope whose intermediate tables are deleted at its end: use or write out results inside it."""
+    try:
+        yield
+    finally:
+        drop_tables(spark)
 
 
 def materialise(df: DataFrame, label="table", partition_by=()) -> DataFrame:

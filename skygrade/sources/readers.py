@@ -5,17 +5,19 @@ machine and is no Spark work. No reader infers types from the data.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from skygrade.functions.scalars import (
+    as_utc,
+    date_shape,
     iso_week_year,
     no_nan,
     norm_name,
     parse_dayfirst,
     parse_strict,
-    parse_utc,
     to_number,
     trunc_day,
 )
@@ -43,23 +45,42 @@ def require_columns(df: DataFrame, names, source) -> DataFrame:
 def read_raw(spark: SparkSession, path, fmt) -> DataFrame:
     """Raw table as it lies: CSV columns stay text, Parquet brings its own types."""
     if fmt == "csv":
-        header = spark.read.option("header", True).csv(path).columns
-        return spark.read.schema(text_schema(header)).option("header", True).csv(path)
+        return read_csv(spark, path)
     if fmt == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unknown format {fmt!r}")
 
 
+def read_csv(spark: SparkSession, path) -> DataFrame:
+    """Text columns bound by the header of their own file: files of a folder may order them differently.
+
+    Files are grouped by header, which only the first line of each is read for;
+    a column that a file lacks is null there.
+    """
+    files = sorted(spark.read.format("binaryFile").load(path).select("path").toPandas()["path"])
+    headers = {}
+    for file in files:
+        header = tuple(spark.read.option("header", True).csv(file).columns)
+        headers.setdefault(header, []).append(file)
+    if not headers:
+        return spark.read.option("header", True).csv(path)
+    parts = [spark.read.schema(text_schema(list(h))).option("header", True).csv(f) for h, f in headers.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def as_number(df: DataFrame, name):
     """Text is parsed, a numeric column only loses its NaN."""
     return to_number(name) if isinstance(df.schema[name].dataType, T.StringType) else no_nan(name)
 
 
 def canonical_readings(raw: DataFrame) -> DataFrame:
-    """Daily-dated readings: site, dt, yr, wk and the five pollutants."""
+    """Daily-dated readings: site, dt, yr, wk and the five pollutants.
+
+    Date text has the shape that most of it has; values of other shapes are null.
+    """
     df = require_columns(schema_repair(raw, READING_NAMES, READING_EXTRAS), ("site", "dt", *POLLUTANTS), "readings")
     text = isinstance(df.schema["dt"].dataType, T.StringType)
-    day = parse_dayfirst("dt") if text else trunc_day("dt")
+    day = parse_dayfirst("dt", date_shape(df, "dt")) if text else trunc_day("dt")
     year, week = iso_week_year("dt")
     df = df.select("site", day.alias("dt"), *[as_number(df, p).alias(p) for p in POLLUTANTS])
     return df.select("site", "dt", year.alias("yr"), week.alias("wk"), *POLLUTANTS)
@@ -79,7 +100,7 @@ def canonical_weather(raw: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c not in ("site", "dt")]
     return df.select(
         norm_name("site").alias("site"),
-        trunc_day(parse_utc("dt")).alias("dt"),
+        trunc_day(as_utc(df, "dt")).alias("dt"),
         *[as_number(df, c).alias(c) for c in rest],
     )
 
@@ -108,6 +129,11 @@ class Source:
         return "loaded" if self.df is not None else "skipped"
 
 
+def reason_of(error: Exception) -> str:
+    """First line of an error's message, or its type where it has none."""
+    return next(iter(str(error).strip().splitlines()), type(error).__name__)
+
+
 def src_optional(loader, required=False) -> Source:
     """Run a loader. A required source that fails raises, an optional one is skipped with a reason.
 
@@ -119,7 +145,7 @@ def src_optional(loader, required=False) -> Source:
     except Exception as error:
         if required:
             raise
-        return Source(None, str(error).strip().splitlines()[0])
+        return Source(None, reason_of(error))
 
 
 __all__ = [

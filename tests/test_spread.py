@@ -36,8 +36,8 @@ def test_salted_join_equals_plain_join(spark, skewed, how):
     small = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 700, 2)]], "k string, n int")
     bag = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
     want = bag(skewed.join(small, ["k"], how))
-    assert bag(salted_join(skewed, small, ["k"], how, salts=8)) == want
-    assert bag(lookup_join(skewed, small, ["k"], how, max_rows=10)) == want
+    assert bag(salted_join(skewed, small, ["k"], how, task_rows=1000)) == want
+    assert bag(lookup_join(skewed, small, ["k"], how, max_bytes=0, task_rows=1000)) == want
     assert bag(lookup_join(skewed, small, ["k"], how)) == want
 
 
@@ -59,13 +59,22 @@ def eight_parts(spark):
 
 def test_hot_rows_are_spread_over_salts(spark, skewed, eight_parts):
     small = spark.createDataFrame([("hot", 1)], "k string, n int")
-    joined = salted_join(skewed.repartition(8), small, ["k"], "inner", salts=16)
+    joined = salted_join(skewed.repartition(8), small, ["k"], "inner", task_rows=500)
     sizes = joined.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 0.6 * sum(r["count"] for r in sizes)
 
 
 def test_hot_keys_are_few(skewed):
-    assert [r.k for r in hot_keys(skewed, ["k"], 0.1).collect()] == ["hot"]
+    assert [tuple(r) for r in hot_keys(skewed, ["k"], 2000).collect()] == [("hot", 4)]
+
+
+@pytest.mark.parametrize("task_rows", [500, 2000])
+def test_a_hot_key_is_cut_in_proportion_to_its_size(spark, skewed, task_rows):
+    small = spark.createDataFrame([("hot", 1)], "k string, n int")
+    plan = salted_join(skewed, small, ["k"], "left", task_rows)
+    assert "SinglePartition" not in plan._jdf.queryExecution().executedPlan().toString()
+    cuts = {r.k: r._cuts for r in hot_keys(skewed, ["k"], task_rows).collect()}
+    assert cuts == {"hot": 8000 // task_rows}
 
 
 def test_large_group_is_cut_into_blocks(skewed, eight_parts):
