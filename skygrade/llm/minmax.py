@@ -7,15 +7,12 @@ two values for one evaluation. Values are banded; documents that share a band
 are candidates. Links are confirmed on full sets.
 
 Texts with the same words are one representative from the start, so groups of
-copies do not enter the search. Inside a bucket not all pairs are formed: all
-members are tested against one leader, then only members of other components
-against further leaders, until a round links under a twentieth of its pairs; what
-is then left in different components of one bucket is tested pair by pair, after
-a comparison of signatures. Neither buckets nor candidates are capped.
-
-With 24 bands of 3 values a pair at similarity 0.75 shares a band with a
-probability above 0.999997; the signature test lies over four standard
-deviations below the threshold.
+copies do not enter the search. In a band not all pairs are formed. Its members
+are tested against one leader. Where a band's members are then still in
+different components, pairs across components are found by an exact filter on
+the full sets (see ``cross_pairs``) and tested. Neither bands nor candidates are
+capped. With 24 bands of 3 values a pair at similarity 0.75 shares a band with a
+probability above 0.999997.
 
 Defined results: null text, empty text and white space have the empty set and
 are linked with nothing (component_id is the own doc_id, kept is true); shorter
@@ -27,7 +24,7 @@ one row of a component is kept. An empty table gives an empty table. Only
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -140,74 +137,58 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("_common") >= SIMILAR * union).select("a", "b")
 
 
-def resembling(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sa, sb) whose signatures agree in half of the values or more."""
-
-    def run(batch):
-        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, 2 * FUNCTIONS) for c in ("sa", "sb"))
-        same = pa.array((left == right).mean(axis=1) >= 0.5)
-        return [batch.column("a").filter(same), batch.column("b").filter(same)]
-
-    return map_batches(pairs, run, "a long, b long")
-
-
-class Search:
-    """Links between representatives. ``buckets`` has (band, rep) of bands that two or more share."""
-
-    def __init__(self, buckets, sets, signs, scratch):
-        self.buckets, self.sets, self.signs, self.scratch = buckets, sets, signs, scratch
-        self.links = self.labels = self.tested = None
-
-    def labelled(self) -> DataFrame:
-        """Buckets with each member's component, where a bucket has more than one."""
-        if self.labels is None:
-            return self.buckets.withColumn("comp", F.col("rep"))
-        labels = self.labels.select(F.col("a").alias("rep"), F.col("b").alias("_c"))
-        found = self.buckets.join(labels, "rep", "left").select("band", "rep", F.coalesce("_c", "rep").alias("comp"))
-        return self.scratch.write(found, "labelled")
-
-    def open_bands(self, members) -> DataFrame:
-        spread = members.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-        return spread.where("_lo <> _hi").select("band")
-
-    def leader_pairs(self, members, turn: int) -> DataFrame:
-        """Every member of a bucket with the bucket's leader of this turn, unless they are in one component."""
-        rank = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-        lead = members.groupBy("band").agg(
-            F.min(F.struct(rank.alias("rank"), "rep", "comp")).alias("_l"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")
-        )
-        lead = lead.where("_lo <> _hi").select("band", F.col("_l.rep").alias("_lead"), F.col("_l.comp").alias("_comp"))
-        pairs = members.join(lead, "band").where("comp <> _comp")
-        return pairs.select(F.least("rep", "_lead").alias("a"), F.greatest("rep", "_lead").alias("b")).distinct()
-
-    def left_pairs(self, members) -> DataFrame:
-        """Pairs of different components that share a bucket and resemble each other by signature."""
-        rows = members.join(self.open_bands(members), "band", "left_semi").join(self.signs, "rep")
-        a = rows.select("band", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("signature").alias("sa"))
-        b = rows.select("band", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("signature").alias("sb"))
-        pairs = a.join(b, "band").where("a < b and ca <> cb").select("a", "b", "sa", "sb")
-        return resembling(pairs).distinct()
-
-    def test(self, pairs: DataFrame) -> tuple[int, int]:
-        """Confirm pairs that were not tested before and take in the links; how many of both."""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = self.scratch.write(pairs, "pairs")
-        found = self.scratch.write(confirmed(pairs, self.sets), "found")
-        n = found.count()
-        self.tested = pairs if self.tested is None else self.scratch.write(self.tested.unionByName(pairs), "tested")
-        if n:
-            self.links = found if self.links is None else self.scratch.write(self.links.unionByName(found), "all-links")
-            self.labels = components(self.links, self.scratch)
-        return pairs.count(), n
-
-    def run(self):
-        turn, useful = 0, True
-        while useful:
-            pairs, linked = self.test(self.leader_pairs(self.labelled(), turn))
-            turn, useful = turn + 1, linked * 20 > pairs
-        self.test(self.left_pairs(self.labelled()))  # whatever is left, whether rounds were useful or not
-        return self.labels
+def cross_pairs(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) of different components that can reach the similarity, by an exact filter.
+
+    Shingles are ordered from rare to frequent. Sets that reach the similarity
+    share one of the first quarter (and one) of either, and the first they share
+    bounds what they have in common by what follows it. Only rows outside a
+    shingle's largest component look for partners, so a large linked group is
+    not compared with itself.
+    """
+    found = sets.join(members, "rep").select("rep", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    found = scratch.write(found, "open-shingles")
+    ranked = found.join(found.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "s")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "s")) - 1
+    prefix = ranked.withColumn("at", place).where(f"df > 1 and at <= n - (n * {SIMILAR} + 99) div 100")
+    prefix = scratch.write(prefix.select("s", "rep", "comp", "n", "at"), "prefixes")
+    per = prefix.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed_ = per.groupBy("s").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    rows = prefix.join(mixed_.select("s", F.col("m.comp").alias("main")), "s")
+    seek = rows.where("comp <> main").select("s", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    all_ = rows.select("s", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    enough = 100 * most >= SIMILAR * (F.col("na") + F.col("nb") - most)
+    pairs = seek.join(all_, (seek.s == all_.s) & (F.col("ca") != F.col("cb")) & enough)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of bands with their component so far."""
+    if labels is None:
+        return buckets.withColumn("comp", F.col("rep"))
+    found = labels.select(F.col("a").alias("rep"), F.col("b").alias("_c"))
+    return buckets.join(found, "rep", "left").select("band", "rep", F.coalesce("_c", "rep").alias("comp"))
+
+
+def leader_pairs(buckets: DataFrame) -> DataFrame:
+    """Every member of a band with the band's leader: who shares the most bands with the most others."""
+    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("_n"))
+    weights = buckets.join(sizes, "band").groupBy("rep").agg(F.sum("_n").alias("_w"))
+    lead = buckets.join(weights, "rep").groupBy("band").agg(F.min(F.struct(-F.col("_w"), "rep")).alias("_l"))
+    pairs = buckets.join(lead.select("band", F.col("_l.rep").alias("_lead")), "band").where("rep <> _lead")
+    return pairs.select(F.least("rep", "_lead").alias("a"), F.greatest("rep", "_lead").alias("b")).distinct()
+
+
+def linked(buckets: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components of the representatives: each with the smallest of its component, where that is another."""
+    first = scratch.write(confirmed(leader_pairs(buckets), sets), "links")
+    labels = components(first, scratch)
+    members = scratch.write(labelled(buckets, labels), "labelled")
+    spread = members.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
+    open_ = members.join(spread.select("band"), "band", "left_semi").select("rep", "comp").distinct()
+    pairs = scratch.write(cross_pairs(open_, sets, scratch), "pairs")
+    return components(first.unionByName(confirmed(pairs, sets)), scratch)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -218,20 +199,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # One representative per word sequence; copies only meet again when components are handed out.
     groups = all_.where("n_shingles > 0").groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     groups = scratch.write(groups, "representatives")
-    signs = groups.select("rep", "signature")
-    rows = scratch.write(band_rows(signs), "bands")
+    rows = scratch.write(band_rows(groups), "bands")
     shared = rows.groupBy("band").count().where("count > 1").select("band")
     buckets = scratch.write(rows.join(shared, "band", "left_semi"), "buckets")
     scratch.drop(rows)
 
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = scratch.write(sets_of(docs.join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")), "sets")
-    labels = Search(buckets, sets, signs, scratch).run()
+    labels = linked(buckets, sets, scratch)
 
-    place = groups.select("words_key", F.col("rep").alias("component_id"))
-    if labels is not None:
-        place = groups.select("words_key", "rep").join(labels.select(F.col("a").alias("rep"), "b"), "rep", "left")
-        place = place.select("words_key", F.coalesce("b", "rep").alias("component_id"))
+    place = groups.select("words_key", "rep").join(labels.select(F.col("a").alias("rep"), "b"), "rep", "left")
+    place = place.select("words_key", F.coalesce("b", "rep").alias("component_id"))
     named = all_.join(place, "words_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
