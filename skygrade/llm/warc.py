@@ -198,13 +198,13 @@ def audit(spark: SparkSession, path_a: str, path_b: str) -> DataFrame:
     named = [leaves(segments(spark, path)).withColumn("replica", F.lit(r)) for r, path in (("a", path_a), ("b", path_b))]
     all_ = scratch.write(named[0].unionByName(named[1]), "leaves")
     levels = tree(all_, scratch)
-    wrong = differing(levels[-1][0])
+    wrong = scratch.write(differing(levels[-1][0]), "differing")
     for level in range(len(levels) - 2, -1, -1):
         nodes, within = levels[level]
         up = above(level, within)
         down = wrong.select(F.col("segment").alias("_s"), F.col("number").alias("_n"))
         below = nodes.withColumns({"_s": up[0], "_n": up[1]}).join(down, ["_s", "_n"], "left_semi")
-        wrong = differing(below.drop("_s", "_n"))
+        wrong = scratch.write(differing(below.drop("_s", "_n")), "differing")
     ids = all_.groupBy("segment", "number").agg(F.max(F.when(F.col("replica") == "a", F.col("record_id"))).alias("record_id"))
     kind = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "added").otherwise("altered")
     return wrong.withColumn("kind", kind).join(ids, ["segment", "number"], "left")
