@@ -14,14 +14,13 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygrade.models.estimators import CLASSIFIERS, REGRESSORS, SITE_BUCKETS, learner
-from skygrade.operators.folds import fold_contiguous, fold_expanding
+from skygrade.models.estimators import CLASSIFIERS, REGRESSORS, inputs, named
+from skygrade.operators.folds import fold_contiguous_dates, fold_expanding_dates
 from skygrade.operators.metrics import m_accuracy, m_f1_weighted, m_mae, r2_column
 from skygrade.operators.search import grid_search, results_table
-from skygrade.schema import class_name
 from skygrade.session import materialise
+from skygrade.sources.readers import reason_of
 
-SERIES, ORDER = ["site"], ["dt"]
 SCORE_FIELDS = "target string, model string, params string, candidate int, fold int, mae double"
 FAILURE_FIELDS = "target string, model string, params string, status string"
 
@@ -33,6 +32,12 @@ def in_parallel(spark, jobs, workers):
         return list(pool.map(guarded, jobs))
 
 
+def failure(error: Exception) -> str:
+    """Type and first line of an error, as the status of a result."""
+    name, reason = type(error).__name__, reason_of(error)
+    return f"failed: {name}" if reason == name else f"failed: {name}: {reason}"
+
+
 def union_all(frames):
     return reduce(DataFrame.unionByName, frames)
 
@@ -43,14 +48,21 @@ def predictions(df, target, model):
     )
 
 
-def fit_regressor(train, test, target, model, features, params, site_buckets=SITE_BUCKETS) -> DataFrame:
+def fit_regressor(train, test, target, model, features, params, by_site=True) -> DataFrame:
     """(site, dt, target, model, y, p) for the test rows."""
-    flow = learner(REGRESSORS[model](params, {}), features, site_buckets)
     labelled = lambda df: df.where(F.col(target).isNotNull()).withColumn("label", F.col(target))
-    return predictions(flow.fit(labelled(train)).transform(labelled(test)), target, model)
+    train = few_parts(labelled(train))
+    flow = inputs(train, features, by_site)
+    fitted = named(REGRESSORS[model](params, {})).fit(flow.transform(train))
+    return predictions(fitted.transform(flow.transform(labelled(test))), target, model)
+
+
+def few_parts(df, rows=100_000):
+    """Partitions of at least so many rows: learners pass over their rows hundreds of times."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
 
 
-def fit_classifier(train, test, target, model, features, params, site_buckets=SITE_BUCKETS):
+def fit_classifier(train, test, target, model, features, params, by_site=True):
     """The same with integer classes; None if the training rows show fewer than two.
 
     Classes are renumbered without gaps for the learner and back for the result.
@@ -59,11 +71,14 @@ def fit_classifier(train, test, target, model, features, params, site_buckets=SI
     rows, seen = train.agg(F.count(F.lit(1)), F.array_sort(F.collect_set(target))).first()
     if len(seen) < 2:
         return None
-    info = {"rows": rows, "classes": len(seen), "width": len(features) + (site_buckets or 0)}
+    train = few_parts(train)
+    flow = inputs(train, features, by_site)
+    width = lambda: flow.transform(train).select("features").first()[0].size
+    info = {"rows": rows, "classes": len(seen), "width": width}
     classes = F.array(*[F.lit(c) for c in seen])
     numbered = train.withColumn("label", (F.array_position(classes, F.col(target)) - 1).cast("double"))
-    fitted = learner(CLASSIFIERS[model](params, info), features, site_buckets).fit(numbered)
-    answered = fitted.transform(test.withColumn("label", F.col(target)))
+    fitted = named(CLASSIFIERS[model](params, info)).fit(flow.transform(numbered))
+    answered = fitted.transform(flow.transform(test.withColumn("label", F.col(target))))
     return predictions(answered.withColumn("p", F.element_at(classes, F.col("p").cast("int") + 1)), target, model)
 
 
@@ -74,21 +89,25 @@ def fit_targets(fit, train, test, targets, model, features, params, workers=4) -
 
 
 def validation_parts(train: DataFrame, expanding, n):
-    """(train, validation) pairs cut inside the training rows, from folds written out once."""
+    """(train, validation) pairs cut inside the training rows, from folds written out once.
+
+    A pooled model sees all sites, so folds are cut by date: no training row lies
+    after a test row, whatever days a site begins and ends on.
+    """
     if expanding:
-        folds = materialise(fold_expanding(train, SERIES, ORDER, n), "folds", ["fold", "role"])
+        folds = materialise(fold_expanding_dates(train, "dt", n), "folds", ["fold", "role"])
         part = lambda i, role: folds.where((F.col("fold") == i) & (F.col("role") == role))
         return [(part(i, "train"), part(i, "test")) for i in range(n)]
-    folds = materialise(fold_contiguous(train, SERIES, ORDER, n), "folds", ["fold"])
+    folds = materialise(fold_contiguous_dates(train, "dt", n), "folds", ["fold"])
     return [(folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)) for i in range(n)]
 
 
-def search_regressor(spark, parts, target, model, features, grid, workers=4, site_buckets=SITE_BUCKETS):
+def search_regressor(spark, parts, target, model, features, grid, workers=4, by_site=True):
     """Scores (target, model, params, candidate, fold, mae) of every candidate on every (train, validation) pair."""
 
     def job(number, params, fold, part):
         def run():
-            pred = fit_regressor(*part, target, model, features, params, site_buckets)
+            pred = fit_regressor(*part, target, model, features, params, by_site)
             mae = m_mae(pred, ["target"]).first()
             return (target, model, json.dumps(params), number, fold, mae["value"] if mae else None)
 
@@ -98,7 +117,7 @@ def search_regressor(spark, parts, target, model, features, grid, workers=4, sit
     return spark.createDataFrame(in_parallel(spark, jobs, workers), SCORE_FIELDS)
 
 
-def train_regressors(split, targets, grids, features, expanding, n=3, workers=4, site_buckets=SITE_BUCKETS):
+def train_regressors(split, targets, grids, features, expanding, n=3, workers=4, by_site=True):
     """Search, refit on all training rows, predict the test rows.
 
     ``split`` has a ``role`` column and ``grids`` lists the candidates by model.
@@ -110,12 +129,14 @@ def train_regressors(split, targets, grids, features, expanding, n=3, workers=4,
     for target in targets:
         for model, grid in grids.items():
             try:
-                scores = search_regressor(train.sparkSession, parts, target, model, features, grid, workers, site_buckets)
+                scores = search_regressor(train.sparkSession, parts, target, model, features, grid, workers, by_site)
                 best = grid_search(scores).first()
-                frames.append(fit_regressor(train, test, target, model, features, json.loads(best["params"]), site_buckets))
+                if best["mean_mae"] is None:
+                    raise ValueError("no candidate could be scored")
+                frames.append(fit_regressor(train, test, target, model, features, json.loads(best["params"]), by_site))
                 chosen[target, model] = best["params"]
             except Exception as error:
-                failed.append((target, model, None, f"failed: {type(error).__name__}"))
+                failed.append((target, model, None, failure(error)))
     return (union_all(frames) if frames else None), chosen, failed
 
 
@@ -131,22 +152,22 @@ def regression_results(spark, pred, chosen, failed) -> DataFrame:
     return results_table(F.broadcast(params).join(scored, ["target", "model"]), failures)
 
 
-def cross_validate(frame, targets, models, features, n=5, workers=4, site_buckets=SITE_BUCKETS):
+def cross_validate(frame, targets, models, features, n=5, workers=4, by_site=True):
     """Expanding-window predictions with a ``fold`` column, plus failed and skipped (target, model).
 
     A fold with a single class is left out. ``models`` maps a name to its parameters.
     """
     spark = frame.sparkSession
-    folds = materialise(fold_expanding(frame, SERIES, ORDER, n), "folds", ["fold", "role"])
+    folds = materialise(fold_expanding_dates(frame, "dt", n), "folds", ["fold", "role"])
 
     def job(target, model, params, i):
         def run():
             part = lambda role: folds.where((F.col("fold") == i) & (F.col("role") == role))
             try:
-                pred = fit_classifier(part("train"), part("test"), target, model, features, params, site_buckets)
+                pred = fit_classifier(part("train"), part("test"), target, model, features, params, by_site)
                 return target, model, (None if pred is None else pred.withColumn("fold", F.lit(i))), None
             except Exception as error:
-                return target, model, None, f"failed: {type(error).__name__}"
+                return target, model, None, failure(error)
 
         return run
 
@@ -169,7 +190,3 @@ def classification_results(spark, pred, failed) -> DataFrame:
     mean = lambda df, name: df.groupBy("target", "model").agg(F.avg("value").alias(name))
     scored = mean(m_accuracy(pred, by_fold), "accuracy").join(mean(m_f1_weighted(pred, by_fold), "f1"), ["target", "model"])
     return results_table(scored, failures)
-
-
-def class_targets(pollutants):
-    return [class_name(p) for p in pollutants]

@@ -29,8 +29,13 @@ def join_weather_left(readings: DataFrame, weather: DataFrame, k=("site", "dt"))
 
 
 def join_weather_inner(readings: DataFrame, weather_daily: DataFrame, k=("site", "dt")) -> DataFrame:
-    """Model frame: one row per site and day on both sides, so no key can be hot."""
-    return readings.join(weather_daily, list(k), "inner")
+    """Model frame: one row per site and day on both sides, so no key can be hot.
+
+    A column that both sides have is the readings' under its own name and the
+    weather's with ``_weather`` after it.
+    """
+    both = set(readings.columns) & set(weather_daily.columns) - set(k)
+    return readings.join(weather_daily.withColumnsRenamed({c: f"{c}_weather" for c in both}), list(k), "inner")
 
 
 def join_suffix(a: DataFrame, b: DataFrame, on, suffixes) -> DataFrame:

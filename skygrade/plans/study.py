@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skygrade.models.autoregressive import ar_fit, ar_predict, forecast_recursive, forecast_status, last_values
 from skygrade.models.bayes import cls_naive_bayes
-from skygrade.models.estimators import CLASSIFIERS, GRIDS, SITE_BUCKETS, candidates
+from skygrade.models.estimators import CLASSIFIERS, GRIDS, candidates
 from skygrade.models.neighbours import cls_knn
 from skygrade.models.training import (
     classification_results,
@@ -21,8 +21,8 @@ from skygrade.models.training import (
     train_regressors,
     union_all,
 )
-from skygrade.operators.aggregates import agg_cohort_mean, agg_day_all_sites, freq_table
-from skygrade.operators.folds import split_chrono
+from skygrade.operators.aggregates import agg_cohort_mean, agg_day_all_sites
+from skygrade.operators.folds import split_chrono_dates
 from skygrade.operators.metrics import m_mae, m_r2, m_rmse
 from skygrade.operators.select import filter_eq
 from skygrade.operators.series import tail_n
@@ -114,8 +114,9 @@ def frame_for(tables: Tables, site=None) -> DataFrame:
     return model_frame(daily, tables.weather)
 
 
-def buckets(site):
-    return SITE_BUCKETS if site is None else 0
+def present(names, frame) -> list:
+    """Those of the names that the frame has: sources may lack columns."""
+    return [n for n in names if n in frame.columns]
 
 
 def regression(tables: Tables, advanced=False, site=None, grids=None, targets=TARGETS, workers=4) -> DataFrame:
@@ -124,12 +125,13 @@ def regression(tables: Tables, advanced=False, site=None, grids=None, targets=TA
     Weather only with contiguous folds, or with lags and expanding folds if ``advanced``.
     """
     frame = frame_for(tables, site)
-    features = feature_set_adv() if advanced else feature_set_base()
     prepared = regression_frame(frame) if advanced else frame
-    split = split_chrono(prepared.select("site", "dt", *features, *[t for t in targets if t not in features]), SERIES, ORDER)
+    features = present(feature_set_adv() if advanced else feature_set_base(), prepared)
+    targets = present(targets, prepared)
+    split = split_chrono_dates(prepared.select("site", "dt", *features, *[t for t in targets if t not in features]), "dt")
     grids = grids or {model: candidates(grid) for model, grid in GRIDS.items()}
     done = train_regressors(
-        materialise(split, "split", ["role"]), targets, grids, features, advanced, 3, workers, buckets(site)
+        materialise(split, "split", ["role"]), targets, grids, features, advanced, 3, workers, site is None
     )
     return regression_results(frame.sparkSession, *done)
 
@@ -140,11 +142,12 @@ def classification(tables: Tables, site=None, models=None, targets=CLASS_COLUMNS
     ``models`` maps names of pooled classifiers to their parameters; the
     neighbours and the naive Bayes classifier are always per district.
     """
-    features = feature_set_adv()
-    frame = classification_frame(frame_for(tables, site)).select("site", "dt", *features, *targets)
+    frame = classification_frame(frame_for(tables, site))
+    features, targets = present(feature_set_adv(), frame), present(targets, frame)
+    frame = frame.select("site", "dt", *features, *targets)
     frame = materialise(frame, "frame")
     models = {name: {} for name in CLASSIFIERS} if models is None else models
-    pooled, failed = cross_validate(frame, targets, models, features, n_folds, workers, buckets(site))
+    pooled, failed = cross_validate(frame, targets, models, features, n_folds, workers, site is None)
     named = lambda df, name: df.withColumn("model", F.lit(name)).select("site", "dt", "target", "model", "y", "p", "fold")
     frames = [
         named(cls_naive_bayes(frame, features, targets, n_folds=n_folds), "NaiveBayes"),
@@ -157,7 +160,8 @@ def classification(tables: Tables, site=None, models=None, targets=CLASS_COLUMNS
 def class_frequencies(tables: Tables, site=None) -> DataFrame:
     """(target, value, count) of the reported class columns."""
     frame = frame_for(tables, site)
-    return union_all([freq_table(frame, c).withColumn("target", F.lit(c)) for c in REPORTED_CLASSES])
+    parts = [F.struct(F.lit(c).alias("target"), F.col(c).alias("value")) for c in present(REPORTED_CLASSES, frame)]
+    return frame.select(F.inline(F.array(*parts))).where("value is not null").groupBy("target", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 @dataclass(frozen=True)

@@ -10,6 +10,14 @@ from skygrade.schema import BANDS, CLASS_COLUMNS, POLLUTANTS, TARGETS, WEATHER_V
 from skygrade.sources.tables import CUSTOMERS_PER_SITE, LATER_YEAR, USERS_PER_SITE, WEATHER_PER_SITE
 
 ADV = feature_set_adv()
+CLASSIFIER_QUERIES = {
+    "cls_random_forest": "RandomForest",
+    "cls_logistic": "LogisticRegression",
+    "cls_svm": "SVM",
+    "cls_boosted": "GradientBoosting",
+    "cls_tree": "DecisionTree",
+    "cls_mlp": "MLP",
+}
 
 
 def each(template, names, sep=", "):
@@ -451,9 +459,11 @@ from model window w as (partition by site order by dt rows between 3 preceding a
     "union_by_name": f"select cohort, site, dt, ts, {rnd(POLLUTANTS)} from stacked",
     "to_number": f"""select o_orderkey, case when regexp_full_match(t, '\\s*[-+]?(\\d+\\.?\\d*|\\.\\d+)([eE][-+]?\\d+)?\\s*')
   then try_cast(trim(t) as double) end as number from (select o_orderkey, {number_text()} as t from orders)""",
-    "parse_dayfirst": "select o_orderkey, case when o_orderkey % 5 <> 0 then cast(o_orderdate as date) end as day from orders",
+    "parse_dayfirst": f"""select o_orderkey, {each("case when o_orderkey % 5 <> 0 then cast(o_orderdate as date) end as {c}_day", ("slash", "dash", "iso"))}
+from orders""",
     "parse_strict": "select event_id, ts as at from events",
-    "parse_utc": "select event_id, date_trunc('second', ts) - interval 2 hour as at from events",
+    "parse_utc": """select event_id, date_trunc('second', ts) - case when event_id % 3 = 0 then interval 2 hour else interval 0 hour end as at
+from events""",
     "trunc_day": "select event_id, cast(ts as date) as day from events",
     "iso_week_year": """select o_orderkey, cast(extract(year from o_orderdate) as int) as yr,
   cast(extract(week from o_orderdate) as int) as wk from orders""",
@@ -506,6 +516,33 @@ qualify row_number() over (partition by site, target order by mean_mae, candidat
     return with_more(body)
 
 
+def held_out_sql(targets, more):
+    """Rows of the last fifth of all days, by target; what every fit has to fulfil stands as constants."""
+    rows = " union all ".join(f"select dt, '{t}' as target, cast({t} as double) as y from model" for t in targets)
+    body = f"""
+days as (select dt, row_number() over (order by dt) as place, count(*) over () as n from (select distinct dt from model)),
+cut as (select min(dt) as first from days where place > n - ceil(n * 0.2)),
+long as ({rows}),
+learnt as (select target from long, cut where dt < first group by target having count(distinct y) > 1)
+select target, '{{model}}' as model, count(*) as n_rows, round(sum(y), 4) as sum_y, 0 as n_unanswered, true as in_range{more}
+from long, cut where dt >= first {{kept}} group by target"""
+    return lambda name, kept="": with_more(body.format(model=name, kept=kept))
+
+
+def results_sql():
+    """Accuracy and weighted F1 per fold from the answers of both classifiers, then the mean over folds."""
+    return f"""
+with answers as (select *, 'NaiveBayes' as model from ({bayes_sql()}) union all select *, 'KNN' from ({knn_sql()})),
+accuracy as (select target, model, fold, avg(cast(y = p as int)) as value from answers group by all),
+f1 as (select target, model, fold, sum(f1 * pos) / sum(pos) as value from (
+  select target, model, fold, cls, sum(pos) as pos, 2e0 * sum(tp) / (sum(pos) + sum(named)) as f1 from (
+    select target, model, fold, y as cls, 1 as pos, 0 as named, cast(y = p as int) as tp from answers
+    union all select target, model, fold, p, 0, 1, 0 from answers)
+  group by all) group by all)
+select a.target, a.model, round(avg(a.value), 6) as accuracy, round(avg(f.value), 6) as f1, 'ok' as status
+from accuracy a join f1 f on a.target = f.target and a.model = f.model and a.fold = f.fold group by a.target, a.model"""
+
+
 def oracles():
     out = {name: statement(body) for name, body in PLAIN.items()}
     ar = lambda body: with_more("\n" + AR + "\n" + body)
@@ -530,4 +567,12 @@ def oracles():
     out["ar_fit"] = fit_sql()
     out["forecast_fitted"] = forecast_fitted_sql()
     out["ar_scores"] = fit_scores_sql()
+    out["results_table"] = results_sql()
+    regressed, classified = held_out_sql(TARGETS, ", true as beats_mean"), held_out_sql(CLASS_COLUMNS, "")
+    out["reg_random_forest"], out["reg_boosted"] = regressed("RandomForest"), regressed("GradientBoosting")
+    for key, name in CLASSIFIER_QUERIES.items():
+        out[key] = classified(name, "and target in (select target from learnt)")
+    out["grid_search_fitted"] = "select * from (values " + ", ".join(
+        f"('{t}', 'RandomForest', 'ok', true, true, true)" for t in TARGETS
+    ) + ") v(target, model, status, from_grid, scored, beats_mean)"
     return out

@@ -159,7 +159,7 @@ def test_regression_search_beats_the_mean_and_keeps_failures(spark, monkeypatch)
     rows = {r.model: r for r in training.regression_results(spark, pred, chosen, failed).collect()}
     assert rows["RandomForest"].status == "ok" and 0 < rows["RandomForest"].r2 <= 1
     assert '"max_depth": 5' in rows["RandomForest"].params
-    assert rows["Broken"].status == "failed: ValueError" and rows["Broken"].mae is None
+    assert rows["Broken"].status == "failed: ValueError: no such model" and rows["Broken"].mae is None
 
 
 def test_classification_skips_single_class_targets(spark):

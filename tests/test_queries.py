@@ -12,7 +12,8 @@ from skygrade.sources import tables
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
-MODELS = sorted(set(QUERIES) - set(SQL))
+#: Fits with default parameters take a minute and more; tests/check_all.py compares them with their SQL.
+LONG_FITS = {"reg_random_forest", "reg_boosted", "cls_svm", "cls_boosted", "cls_mlp", "grid_search_fitted"}
 
 
 @pytest.fixture(scope="module")
@@ -20,20 +21,13 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - LONG_FITS))
 def test_query_equals_sql(spark, con, name):
     assert difference(QUERIES[name](spark, FOLDER), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", MODELS)
-def test_model_query(spark, name):
-    rows = QUERIES[name](spark, FOLDER).collect()
-    assert rows
-    if name.startswith(("reg_", "cls_")):
-        assert set(rows[0].asDict()) == {"site", "dt", "target", "model", "y", "p"}
-        assert all(r.p is not None for r in rows)
-    else:
-        assert all(r.status == "ok" or r.status.startswith("skipped") for r in rows)
+def test_every_query_has_sql():
+    assert set(QUERIES) <= set(SQL) and LONG_FITS <= set(QUERIES)
 
 
 def test_entry(spark):
