@@ -75,7 +75,7 @@ select o_orderkey as reading_id, 'D' || (o_custkey // {CUSTOMERS_PER_SITE}) as s
   case when o_orderkey % 7 <> 3 then cast(o_orderkey % 250 as double) / 0.99991e0 end as o3,
   cast(o_custkey % 60 as double) / 0.99991e0 as pm25,
   cast(o_custkey % 120 as double) / 0.99991e0 as pm10,
-  cast(o_orderkey % 400 as double) / 0.99991e0 as so2
+  cast(o_orderkey % 400 + case when o_orderkey % 97 = 5 then 9000 else 0 end as double) / 0.99991e0 as so2
 from orders"""
 
 

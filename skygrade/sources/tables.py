@@ -78,7 +78,7 @@ def weather(spark: SparkSession, folder) -> DataFrame:
 
 
 def cohorts(spark: SparkSession, folder) -> DataFrame:
-    """All orders as readings over several years; the last year ends in August."""
+    """All orders as readings over several years; the last year ends in August. One in 97 has an outlying so2."""
     at = F.expr("timestampadd(HOUR, cast(o_orderkey % 24 as int), o_orderdate)")
     year, week = iso_week_year("o_orderdate")
     number = lambda sql, divider: F.expr(f"cast({sql} as double)") / F.lit(divider)
@@ -93,7 +93,7 @@ def cohorts(spark: SparkSession, folder) -> DataFrame:
         F.when(F.col("o_orderkey") % 7 != 3, number("o_orderkey % 250", 0.99991)).alias("o3"),
         number("o_custkey % 60", 0.99991).alias("pm25"),
         number("o_custkey % 120", 0.99991).alias("pm10"),
-        number("o_orderkey % 400", 0.99991).alias("so2"),
+        number("o_orderkey % 400 + if(o_orderkey % 97 = 5, 9000, 0)", 0.99991).alias("so2"),
     )
 
 

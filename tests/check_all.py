@@ -1,6 +1,7 @@
 """Compare queries with their SQL from the command line: check_all.py FOLDER [KEY ...]."""
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -14,7 +15,8 @@ from skygrade.session import build_session  # noqa: E402
 
 
 def main(folder, wanted):
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp()}
+    spark = build_session("check", "local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls = duck(folder), entry.oracle_sql()
     failed = []
