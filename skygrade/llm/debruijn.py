@@ -1,20 +1,22 @@
 """Repeated passages removed by a compacted De Bruijn graph of token k-mers.
 
-An edge is a sequence of 20 words that occurs more than once, between the nodes
-of its first and its last 19. Each edge has source coordinates, the document and
-place where it starts first, and its successor is the edge that starts one word
-later there. A Spark join gives every occurrence the coordinates of its edge.
-Occurrences in consecutive places whose edges are successors follow a path that
-does not branch, and compact to one span: so many words of a document that are
-also there, earlier, at the source. Both ends of every span are read again and
-compared by a wide digest of their words before anything is removed; should they
-differ (edges are told apart by 64-bit hashes), the occurrences concerned are
-grouped again by the words themselves.
-
-Only edges that can repeat are made. Of the 13 eight-word sequences in a window
-the one with the smallest hash stands for it; equal windows have equal ones, so
-windows whose sequence occurs once are no repetition. That leaves a seventh of
-the places to be counted.
+An edge is a sequence of 20 words that can occur more than once, between the
+nodes of its first and its last 19. Of the 13 eight-word sequences in a window
+the one with the smallest hash stands for it (its seed). Equal windows have equal
+seeds, so windows whose seed occurs once are no repetition and make no edge.
+
+Paths compact twice. Consecutive edges of one seed are one path, told by a hash
+of all its words: where it occurs again, all its edges do. A Spark join finds the
+first occurrence of each path; later ones are repeated as a whole. Only paths at
+their first occurrence are opened, and the same join on their edges finds those
+that start earlier inside another path, as at the ends of a passage. In either
+join an occurrence gets source coordinates, where the same words start first.
+Neighbouring occurrences whose sources are neighbours too do not branch, and
+compact to one span: so many words that are also there, earlier, at the source.
+
+Both ends of every span are read again and compared by a wide digest of their
+words before anything is removed; should they differ (paths and edges are told
+apart by 64-bit hashes), their windows are grouped again by the words themselves.
 
 Defined results: null, empty and short texts have no windows and keep all words;
 documents are ordered by doc_id, rows that repeat one or have none are documents
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygrade.llm.common import Scratch, identified, map_batches, raw, restored
-from skygrade.llm.shingles import runs, word_hashes
+from skygrade.llm.shingles import mixed, runs, word_hashes
 
 WORDS = 20
 SEED = 8
@@ -76,36 +78,78 @@ def seed_rows(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "seed long, doc_id long, pos int")
 
 
-def edge_rows(marked: DataFrame) -> DataFrame:
-    """(edge, doc_id, pos) of all windows that a seed among ``marks`` stands for."""
+def stretch_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from each start up to each end."""
+    powers = np.full(len(hashes) + 1, EDGE_BASE)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    inverse = np.full(len(hashes) + 1, np.uint64(pow(int(EDGE_BASE), -1, 1 << 64)))
+    inverse[0] = 1
+    inverse = np.cumprod(inverse)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:-1])])
+    return mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+PATHS = "path long, doc_id long, pos int, n int, edges array<long>"
+
+
+def path_rows(marked: DataFrame) -> DataFrame:
+    """(path, doc_id, pos, n, edges): runs of n windows from ``pos`` that one seed among ``marks`` stands for."""
 
     def run(batch):
-        found, owners, places = [], [], []
+        paths, owners, places, sizes, found = [], [], [], [], []
         for (doc, words), marks in zip(numbered(batch.column("doc_id"), batch.column("text")), batch.column("marks").to_pylist()):
             hashes = word_hashes(words)
             _, at = picks(hashes)
             repeated = np.zeros(len(hashes), bool)
             repeated[marks] = True
-            window = np.flatnonzero(repeated[at])
-            found.append(edges(hashes)[window].view(np.int64))
-            owners.append(np.full(len(window), doc, np.int64))
-            places.append(window.astype(np.int32))
-        return [flat(found, np.int64), flat(owners, np.int64), flat(places, np.int32)]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            n = np.diff(np.concatenate([first, [len(at)]]))
+            keep = repeated[at[first]]
+            first, n = first[keep], n[keep]
+            paths.append(stretch_hashes(hashes, first, first + n + WORDS - 1).view(np.int64))
+            owners.append(np.full(len(first), doc, np.int64))
+            places.append(first.astype(np.int32))
+            sizes.append(n.astype(np.int32))
+            found.append(edges(hashes)[repeated[at]].view(np.int64))
+        sizes = np.concatenate(sizes)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), flat(found, np.int64))
+        return [flat(paths, np.int64), flat(owners, np.int64), flat(places, np.int32), pa.array(sizes), lists]
+
+    return map_batches(marked, run, PATHS)
+
 
-    return map_batches(marked, run, "edge long, doc_id long, pos int")
+def opened(paths: DataFrame) -> DataFrame:
+    """(edge, doc_id, pos) of the windows of paths."""
+    parts = paths.select("doc_id", F.col("pos").alias("_p"), F.posexplode("edges").alias("_i", "edge"))
+    return parts.select("edge", "doc_id", (F.col("_p") + F.col("_i")).alias("pos"))
+
+
+def sources(rows: DataFrame, key: str) -> DataFrame:
+    """(key, source, at): where each key occurs first, for keys that occur again."""
+    first = rows.groupBy(key).agg(F.min(F.struct("doc_id", "pos")).alias("_f"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return first.select(key, F.col("_f.doc_id").alias("source"), F.col("_f.pos").alias("at"))
+
+
+LATER = "doc_id <> source or pos <> at"
 
 
 SPAN = ["doc_id", "start", "n", "source", "source_start"]
 
 
 def compacted(hits: DataFrame) -> DataFrame:
-    """Runs of occurrences along successors: (doc_id, start, n windows, source, source_start)."""
+    """Runs of occurrences (doc_id, pos, n, source, at) that go on in the text and at the source.
+
+    Gives (doc_id, start, n windows, source, source_start).
+    """
 
     def run(batch):
-        doc, pos, source, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "pos", "source", "at"))
-        step = (np.diff(doc) != 0) | (np.diff(source) != 0) | (np.diff(pos) != 1) | (np.diff(at) != 1)
-        first = np.flatnonzero(np.concatenate([[True], step]))
-        n = np.diff(np.concatenate([first, [len(doc)]])).astype(np.int32)
+        doc, pos, size, source, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "pos", "n", "source", "at"))
+        same = (doc[1:] == doc[:-1]) & (source[1:] == source[:-1])
+        on = (pos[1:] == pos[:-1] + size[:-1]) & (at[1:] == at[:-1] + size[:-1])
+        first = np.flatnonzero(np.concatenate([[True], ~(same & on)]))
+        n = np.add.reduceat(size, first).astype(np.int32)
         return [pa.array(doc[first]), pa.array(pos[first]), pa.array(n), pa.array(source[first]), pa.array(at[first])]
 
     # A document's rows, at most one per word, come together; a run cut by the end of a batch is two spans.
@@ -159,22 +203,25 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     marks = seeds.join(often, "seed", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
     marks = scratch.write(marks, "marks")
     scratch.drop(seeds, often)
-    rows = scratch.write(edge_rows(docs.join(marks, "doc_id")), "edges")
+    paths = scratch.write(path_rows(docs.join(marks, "doc_id")), "paths")
     scratch.drop(marks)
-    first = rows.groupBy("edge").agg(F.min(F.struct("doc_id", "pos")).alias("_f"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    first = scratch.write(first.select("edge", F.col("_f.doc_id").alias("source"), F.col("_f.pos").alias("at")), "graph")
-    later = (F.col("doc_id") != F.col("source")) | (F.col("pos") != F.col("at"))
-    hits = scratch.write(rows.join(first, "edge").where(later).select("doc_id", "pos", "source", "at"), "hits")
-    scratch.drop(first)
+    narrow = paths.select("path", "doc_id", "pos", "n")
+    first = scratch.write(sources(narrow, "path"), "first-paths")
+    again = scratch.write(narrow.join(first, "path").where(LATER).drop("path"), "later-paths")
+    fresh = scratch.write(opened(paths.join(again, ["doc_id", "pos"], "left_anti")), "edges")
+    graph = scratch.write(sources(fresh, "edge"), "first-edges")
+    inner = fresh.join(graph, "edge").where(LATER).select("doc_id", "pos", F.lit(1).alias("n"), "source", "at")
+    hits = scratch.write(again.unionByName(inner), "hits")
+    scratch.drop(first, again, fresh, graph)
     spans = scratch.write(compacted(hits), "spans")
     scratch.drop(hits)
     found = checked(docs, spans, scratch)
     good = found.where("same").select("doc_id", "start", "n")
     wrong = found.where("not same")
     if not wrong.isEmpty():
-        good = good.unionByName(regrouped(docs, rows, wrong.select("doc_id", "start", "n")))
+        good = good.unionByName(regrouped(docs, opened(paths), wrong.select("doc_id", "start", "n")))
     else:
-        scratch.drop(rows)
+        scratch.drop(paths)
     return good
 
 

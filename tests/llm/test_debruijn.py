@@ -67,9 +67,18 @@ def test_equal_windows_are_represented_alike():
 
 
 def test_paths_compact_and_split_where_the_source_changes(spark):
-    rows = [(7, p, 1, p + 5) for p in range(10, 20)] + [(7, p, 2, p) for p in range(20, 23)] + [(8, 4, 1, 9), (8, 6, 1, 11)]
-    hits = spark.createDataFrame(rows, "doc_id long, pos int, source long, at int").repartition(3)
-    assert bag(debruijn.compacted(hits), *debruijn.SPAN) == [(7, 10, 10, 1, 15), (7, 20, 3, 2, 20), (8, 4, 1, 1, 9), (8, 6, 1, 1, 11)]
+    rows = [(7, p, 1, 1, p + 5) for p in range(10, 20)] + [(7, 20, 5, 1, 25), (7, 25, 2, 1, 30)] + [(7, p, 1, 2, p) for p in range(27, 30)]
+    rows += [(8, 4, 1, 1, 9), (8, 6, 1, 1, 11), (8, 7, 2, 1, 13)]
+    hits = spark.createDataFrame(rows, "doc_id long, pos int, n int, source long, at int").repartition(3)
+    want = [(7, 10, 17, 1, 15), (7, 27, 3, 2, 27), (8, 4, 1, 1, 9), (8, 6, 1, 1, 11), (8, 7, 2, 1, 13)]
+    assert bag(debruijn.compacted(hits), *debruijn.SPAN) == want
+
+
+def test_stretches_are_told_by_their_words_and_length():
+    hashes = word_hashes([str(i % 7).encode() for i in range(100)])
+    of = lambda a, b: int(debruijn.stretch_hashes(hashes, np.array([a]), np.array([b]))[0])
+    assert of(3, 30) == of(10, 37) == of(73, 100)
+    assert len({of(a, b) for a in range(7) for b in range(a + 20, a + 30)}) == 70
 
 
 def test_spans_with_differing_ends_are_grouped_again_by_their_words(spark):
