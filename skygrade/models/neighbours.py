@@ -13,7 +13,6 @@ from skygrade.operators.folds import with_test_fold
 from skygrade.session import materialise
 
 BLOCK_ROWS = 256
-CLASSES = 5
 
 
 def nearest_in_block(k, neighbours, width, n_targets):
@@ -90,6 +89,7 @@ def cls_knn(
     asked = pack(rows.where("fold is not null"), keys, "q", ["start"])
     known = pack(rows, keys, "t", ["labels"]).withColumn("t_labels", F.flatten("t_labels"))
     pairs = asked.join(known, keys).where(F.col("t_block") * block_rows < F.array_max("q_start"))
+    pairs = pairs.repartition(*keys, "q_block", "t_block")  # else all pairs of a series are searched in one task
     fields = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keys)
     near = pairs.drop("q_block", "t_block").mapInPandas(
         nearest_in_block(keys, neighbours, len(features), len(targets)),
@@ -113,9 +113,10 @@ def cls_knn(
 
 
 def majority(votes, j):
-    """Most frequent class at position ``j`` of the votes, the smaller one if equal."""
-    count = lambda c: F.size(F.filter(votes, lambda v: v[j] == c))
-    return -F.array_max(F.array(*[F.struct(count(c).alias("n"), F.lit(-c).alias("minus")) for c in range(1, CLASSES + 1)]))["minus"]
+    """Most frequent label at position ``j`` of the votes, the smaller one if equal."""
+    named = F.transform(votes, lambda v: v[j])
+    counted = lambda c: F.struct(F.size(F.filter(named, lambda v: v == c)).alias("n"), (-c).alias("minus"))
+    return -F.array_max(F.transform(F.array_distinct(named), counted))["minus"]
 
 
 def kept(answers: DataFrame, rows: DataFrame, k, targets, n_folds) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygrade.operators.spread import BROADCAST_BYTES, lookup_join
+from skygrade.session import materialise
 
 
 def join_group_mean(df: DataFrame, means: DataFrame, k, cols, max_bytes=BROADCAST_BYTES) -> DataFrame:
@@ -21,6 +22,7 @@ def join_weather_left(readings: DataFrame, weather: DataFrame, k=("site", "dt"))
     are found separately because a salted left join would repeat the unmatched.
     """
     keys = list(k)
+    readings = materialise(readings, "daily")  # read for the matched and for the unmatched rows
     matched = lookup_join(weather, readings, keys, "inner")
     present = weather.select(*keys).distinct()
     unmatched = readings.join(present, keys, "left_anti")

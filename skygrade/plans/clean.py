@@ -18,6 +18,7 @@ from skygrade.operators.joins import join_weather_inner
 from skygrade.operators.select import drop_null_any, filter_in_list, no_null_keys
 from skygrade.operators.spread import BROADCAST_BYTES, lookup_join
 from skygrade.schema import CLASS_COLUMNS, POLLUTANTS
+from skygrade.session import materialise
 
 
 def day_sums(readings: DataFrame, grain, iso_year=False) -> DataFrame:
@@ -59,9 +60,10 @@ def hourly_means(readings: DataFrame, max_bytes=BROADCAST_BYTES) -> DataFrame:
     """Weekly fill and mean per site and timestamp.
 
     Timestamps have no least distance, so a week of one site may hold any number
-    of them: the week means are aggregated and looked up, never windowed.
+    of them: the week means are aggregated and looked up, never windowed. The sums
+    are written when this is called, so raw rows are read and shuffled once.
     """
-    sums = day_sums(readings, "ts")
+    sums = materialise(day_sums(readings, "ts"), "sums")  # read for the week means and again for the days
     weeks = sums.groupBy("site", "yr", "wk").agg(*[week_mean(p).alias(f"_week_{p}") for p in POLLUTANTS])
     return filled_means(lookup_join(sums, weeks, ["site", "yr", "wk"], "inner", max_bytes), "ts")
 

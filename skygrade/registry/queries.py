@@ -82,7 +82,7 @@ def model(spark, d):
 
 
 def stacked(spark, d):
-    return X.stacked_cohorts(*both_cohorts(spark, d))
+    return X.stacked_cohorts(*[materialise(side, "cohort") for side in both_cohorts(spark, d)])
 
 
 def both_cohorts(spark, d):

@@ -63,6 +63,14 @@ def test_daily_table_reads_only_its_columns_and_shuffles_twice(spark):
     assert text.count("Exchange hashpartitioning") == 2
 
 
+def test_cohorts_and_their_weather_are_scanned_once(spark):
+    hourly = clean.clean_hourly(tables.earlier_cohort(spark, FOLDER))
+    joined = QUERIES["join_weather_left"](spark, FOLDER)
+    assert "orders.parquet" not in plan(hourly)  # the sums are written by then
+    assert "events.parquet" not in plan(joined)
+    assert "orders.parquet" not in plan(QUERIES["agg_cohort_mean"](spark, FOLDER))
+
+
 def test_result_does_not_depend_on_partitioning(spark):
     rows = lambda df: sorted((r.site, r.dt, round(r.class_mean, 9)) for r in df.collect())
     base = tables.readings(spark, FOLDER)
