@@ -56,14 +56,14 @@ def daily_means(readings: DataFrame, iso_year=False) -> DataFrame:
     return filled_means(sums.withColumns({f"_week_{p}": week_mean(p, week) for p in POLLUTANTS}), "dt")
 
 
-def hourly_means(readings: DataFrame, max_bytes=BROADCAST_BYTES) -> DataFrame:
+def hourly_means(readings: DataFrame, max_bytes=BROADCAST_BYTES, iso_year=False) -> DataFrame:
     """Weekly fill and mean per site and timestamp.
 
     Timestamps have no least distance, so a week of one site may hold any number
     of them: the week means are aggregated and looked up, never windowed. The sums
     are written when this is called, so raw rows are read and shuffled once.
     """
-    sums = materialise(day_sums(readings, "ts"), "sums")  # read for the week means and again for the days
+    sums = materialise(day_sums(readings, "ts", iso_year), "sums")  # read for the week means and again for the days
     weeks = sums.groupBy("site", "yr", "wk").agg(*[week_mean(p).alias(f"_week_{p}") for p in POLLUTANTS])
     return filled_means(lookup_join(sums, weeks, ["site", "yr", "wk"], "inner", max_bytes), "ts")
 
@@ -81,9 +81,11 @@ def clean_daily(readings: DataFrame, sites=None, iso_year=False) -> DataFrame:
     return with_classes(daily_means(keep_sites(readings, sites), iso_year))
 
 
-def clean_hourly(readings: DataFrame, sites=None) -> DataFrame:
-    """The same at the timestamp grain, with the day added afterwards."""
-    graded = with_classes(hourly_means(keep_sites(readings, sites)))
+def clean_hourly(readings: DataFrame, sites=None, iso_year=False, daily=False) -> DataFrame:
+    """The same at the timestamp grain, with the day added afterwards, or at the daily grain if ``daily``."""
+    if daily:
+        return clean_daily(readings, sites, iso_year)
+    graded = with_classes(hourly_means(keep_sites(readings, sites), iso_year=iso_year))
     return graded.withColumn("dt", F.to_date("ts"))
 
 

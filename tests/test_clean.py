@@ -152,3 +152,13 @@ def test_sources_repair_headers_and_report_gaps(spark):
 def test_no_null_keys(spark):
     df = spark.createDataFrame([("A", 1), (None, 1), ("B", None)], "a string, b int")
     assert no_null_keys(df, ["a", "b"]).count() == 1
+
+
+def test_hourly_readings_at_the_daily_grain_and_by_iso_year(spark):
+    rows = [("A", dt.datetime(2024, 12, 30, 5), 1.0), ("A", dt.datetime(2024, 12, 30, 9), 3.0), ("A", dt.datetime(2024, 1, 2, 5), 9.0)]
+    table = spark.createDataFrame(rows, "site string, ts timestamp_ntz, no2 double").withColumn("dt", F.to_date("ts"))
+    table = table.select("*", *[F.lit(1.0).alias(p) for p in POLLUTANTS if p != "no2"])
+    days = {str(r.dt): r.no2 for r in clean_hourly(table, daily=True).collect()}
+    assert days == {"2024-12-30": 2.0, "2024-01-02": 9.0}
+    assert {r.yr for r in clean_hourly(table).collect()} == {2024}
+    assert {r.yr for r in clean_hourly(table, iso_year=True).collect()} == {2024, 2025}
