@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygrade.llm.common import Scratch, identified, map_batches, raw, restored
-from skygrade.llm.shingles import mixed, runs, word_hashes
+from skygrade.llm.shingles import mixed, runs, stretches, word_hashes
 
 WORDS = 20
 SEED = 8
@@ -41,12 +41,21 @@ EDGE_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def picks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seed hashes of a text, and for each window the place of its smallest seed, the first of equals."""
+    """Seed hashes of a text, and for each window the place of a smallest seed in it.
+
+    The last six bits of a seed give way to those of its place, so that running
+    minima over 2, 4, 8 and then 13 seeds carry the place along.
+    """
     if len(hashes) < WORDS:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    seeds = runs(hashes, SEED)
-    views = np.lib.stride_tricks.sliding_window_view(seeds, WORDS - SEED + 1)
-    return seeds, views.argmin(axis=1) + np.arange(len(views))
+    seeds = runs(hashes, SEED) & ~np.uint64(63)
+    least = seeds | (np.arange(len(seeds), dtype=np.uint64) & np.uint64(63))
+    for reach in (1, 2, 4):
+        least = np.minimum(least[:-reach], least[reach:])
+    rest = WORDS - SEED + 1 - 8
+    least = np.minimum(least[:-rest], least[rest:])
+    window = np.arange(len(least))
+    return seeds, window + (((least & np.uint64(63)).astype(np.int64) - window) & 63)
 
 
 def edges(hashes: np.ndarray) -> np.ndarray:
@@ -78,16 +87,9 @@ def seed_rows(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "seed long, doc_id long, pos int")
 
 
-def stretch_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the words from each start up to each end."""
-    powers = np.full(len(hashes) + 1, EDGE_BASE)
-    powers[0] = 1
-    powers = np.cumprod(powers)
-    inverse = np.full(len(hashes) + 1, np.uint64(pow(int(EDGE_BASE), -1, 1 << 64)))
-    inverse[0] = 1
-    inverse = np.cumprod(inverse)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:-1])])
-    return mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+def path_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from each start up to each end, and of their number."""
+    return mixed(stretches(hashes, start, end, EDGE_BASE) + (end - start).astype(np.uint64))
 
 
 PATHS = "path long, doc_id long, pos int, n int, edges array<long>"
@@ -107,7 +109,7 @@ def path_rows(marked: DataFrame) -> DataFrame:
             n = np.diff(np.concatenate([first, [len(at)]]))
             keep = repeated[at[first]]
             first, n = first[keep], n[keep]
-            paths.append(stretch_hashes(hashes, first, first + n + WORDS - 1).view(np.int64))
+            paths.append(path_hashes(hashes, first, first + n + WORDS - 1).view(np.int64))
             owners.append(np.full(len(first), doc, np.int64))
             places.append(first.astype(np.int32))
             sizes.append(n.astype(np.int32))
