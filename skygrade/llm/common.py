@@ -27,6 +27,19 @@ def raw(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def slices(texts_: list[bytes], size=4_000_000):
+    """Consecutive texts of about ``size`` bytes together; a longer text is one slice."""
+    block, n = [], 0
+    for text in texts_:
+        block.append(text)
+        n += len(text)
+        if n >= size:
+            yield block
+            block, n = [], 0
+    if block:
+        yield block
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn`` turns one Arrow batch into a list of Arrow arrays or a table's columns, in the order of ``schema``."""
 

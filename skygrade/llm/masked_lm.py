@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygrade.llm.common import as_batches, map_batches, raw, texts
+from skygrade.llm.common import as_batches, map_batches, raw, slices, texts
 
 DIGIT = 32
 IDS = DIGIT * DIGIT
@@ -212,19 +212,6 @@ def train(docs: DataFrame, words: Vocabulary, rounds=1) -> Network:
     return net
 
 
-def slices(texts_: list[bytes], size=4_000_000):
-    """Consecutive texts of about ``size`` bytes together; a longer text is one slice."""
-    block, n = [], 0
-    for text in texts_:
-        block.append(text)
-        n += len(text)
-        if n >= size:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
-
-
 def score(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
     """doc_id, n_tokens, pll (summed log-probabilities), mean_pll and pseudo_perplexity (null without tokens)."""
     flat = net.flat

@@ -23,14 +23,12 @@ a label.
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from skygrade.llm.common import as_batches, map_batches, raw, texts
-from skygrade.llm.masked_lm import slices
+from skygrade.llm.common import as_batches, map_batches, raw, slices, texts
 from skygrade.llm.shingles import mixed
 
 FORMS = 8192
@@ -204,10 +202,10 @@ def scorer(docs: DataFrame, labels: DataFrame, sample=SAMPLE):
     vectors, weights = word_vectors(docs)
     model = learn(docs, labels, vectors, weights, sample)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        given = [t.encode() if t is not None else b"" for t in text]
-        return pd.Series(model.scores(pool(given, vectors, weights)))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        parts = [model.scores(pool(block, vectors, weights)) for block in slices(raw(text))]
+        return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     return score
 
