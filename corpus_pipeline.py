@@ -1,5 +1,7 @@
 """From raw documents to token ids: each stage works on all that the one before it kept."""
 
+from pyspark.sql import functions as F
+
 from skygrade.llm import bytebpe, decontam, exact, minmax, quality
 from skygrade.llm.common import Scratch, table
 from skygrade.llm.filters import without
@@ -7,7 +9,8 @@ from skygrade.llm.filters import without
 
 def drop_low_quality(spark, docs, sf_dir):
     """Documents whose quality score reaches the threshold."""
-    return docs.where(quality.scorer(docs, table(spark, sf_dir, "labels"))("text") >= quality.REJECT_BELOW)
+    score = quality.scorer(docs, table(spark, sf_dir, "labels"))
+    return without(docs, lambda given: given.select("doc_id", score("text").alias("_score")).where(F.col("_score") < quality.REJECT_BELOW))
 
 
 def drop_copies(spark, docs, sf_dir):

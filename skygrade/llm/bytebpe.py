@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from skygrade.llm.common import map_batches, texts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-REMEMBERED = 500_000  # words and pieces a worker keeps the ids of; beyond that it starts anew
+BLOCK = 1_000_000  # characters cut into words at once
+REMEMBERED = 300_000  # words and pieces a worker keeps the ids of; beyond that it starts anew
 
 _codecs = {}
 
@@ -103,10 +104,20 @@ class Codec:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        out, block, size = [], [], 0
+        for text in batch:
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK:
+                out += self.encode_block(block)
+                block, size = [], 0
+        return out + self.encode_block(block)
+
+    def encode_block(self, block: list[str]) -> list[bytes]:
         if len(self.seen) > REMEMBERED or len(self.pieces) > REMEMBERED:
             self.seen, self.pieces = {}, {}
         new = set()
-        parts = [self.cut(text, new) for text in batch]
+        parts = [self.cut(text, new) for text in block]
         new = list(new)
         self.seen.update(zip(new, self.learn([" " + part for part in new])))
         heads = self.learn([found[0] for found in parts])
