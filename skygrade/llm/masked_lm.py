@@ -2,16 +2,21 @@
 
 Vocabulary: words (A-Z in lower case) are counted over all documents; the most
 frequent have ids of their own, all others share hashed ids, so no word is
-without one. The network predicts the id at a place from the two ids on either
+without one. The number of ids grows with the square root of the number of
+distinct words. The network predicts the id at a place from the two ids on either
 side: position-wise embeddings add up to a hidden layer, and the id is predicted
 as two digits (the second given the first), which is an exact distribution over
-all ids for the price of two short ones.
+all ids for the price of two short ones. Under a shared id each word has the share
+that its count has of all counts there (words never counted have one count
+together), so that every word has a probability of its own. The counts of all
+words stay a distributed table, which the words of the documents are joined to;
+only the most frequent ones travel with the tasks, which saves most of that join.
 
 Training covers all documents: each task trains a copy in numpy on the tokens of
 its partition, and copies are averaged by token count with a Spark aggregate of
-one row per parameter. Only the averaged parameters, whose number is fixed, reach
-the driver. A document's score is the sum over its tokens of the log-probability
-of each given both sides.
+one row per parameter. Only the averaged parameters reach the driver, some 64 for
+each id. A document's score is the sum over its tokens of the log-probability of
+each given both sides.
 
 Defined results: null, empty or blank text has 0 tokens, score 0 and no mean;
 rows that repeat a doc_id or lack one are scored each for itself; an empty table
@@ -19,6 +24,7 @@ trains nothing and gives an empty table. Beyond a document's ends stands a
 boundary id that is never predicted. Only ``doc_id`` and ``text`` are read.
 """
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
@@ -28,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygrade.llm.common import as_batches, map_batches, raw, slices, texts
+from skygrade.llm.common import Scratch, as_batches, map_batches, raw, slices, texts
 
-DIGIT = 32
+DIGIT = 32  # digits of an id, at least
 IDS = DIGIT * DIGIT
-SHARED = 64  # ids for all words beyond the frequent ones
+SHARED = 64  # ids for all words beyond the frequent ones; one in 16 where there are more ids
+IDS_PER_ROOT = 1.6  # ids for each unit of the square root of the number of distinct words
+NEAR = 65_536  # words whose counts travel with the tasks; those of all others are joined
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 16
 STEP = 4096  # tokens of one training step
@@ -40,19 +48,44 @@ RATE = 0.2
 COUNTED = 1_000_000  # words counted before a task passes its counts on
 
 
+def tokens(texts_: list[bytes]) -> list[list[bytes]]:
+    return [text.lower().split() for text in texts_]
+
+
+def shared_ids(digit: int) -> int:
+    return digit * digit * SHARED // IDS
+
+
+def digits(distinct: int) -> int:
+    """Digits of an id in a corpus of so many distinct words."""
+    return max(DIGIT, math.ceil((IDS_PER_ROOT * distinct**0.5) ** 0.5))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     words: tuple[bytes, ...]  # by rank; id 0 is the boundary
     counts: tuple[int, ...]
+    digit: int = DIGIT
+
+    @property
+    def shared(self) -> int:
+        return shared_ids(self.digit)
+
+    @property
+    def first(self) -> int:
+        """The first of the shared ids."""
+        return self.digit**2 - self.shared
 
     def ids(self, texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all tokens, two boundaries around each document, and the document of each (-1: boundary)."""
+        return self.ids_of(tokens(texts_))
+
+    def ids_of(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         known = {word: i + 1 for i, word in enumerate(self.words)}
-        first = IDS - SHARED
+        first, shared = self.first, self.shared
         parts, owners = [np.zeros(2, np.int32)], [np.full(2, -1)]
-        for place, text in enumerate(texts_):
-            words = text.lower().split()
-            found = [known.get(w) or first + crc32(w) % SHARED for w in words]
+        for place, words in enumerate(split):
+            found = [known.get(w) or first + crc32(w) % shared for w in words]
             parts += [np.array(found, np.int32), np.zeros(2, np.int32)]
             owners += [np.full(len(found), place), np.full(2, -1)]
         return np.concatenate(parts), np.concatenate(owners)
@@ -81,10 +114,39 @@ def count_words(docs: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size=IDS - SHARED - 1) -> Vocabulary:
+def most_frequent(counts: DataFrame, size: int) -> list:
+    """The first ``size`` rows by count, ties by the word itself; little more than these leave their tasks."""
+    sizes = sorted(counts.groupBy("n").count().collect(), key=lambda r: -r.n)
+    enough, least = 0, 1
+    for row in sizes:
+        least, enough = row.n, enough + row["count"]
+        if enough >= size:
+            break
+    return counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).collect()
+
+
+def ranked(counts: DataFrame, further=0) -> tuple[Vocabulary, dict[bytes, int]]:
+    """The words that have ids of their own, and the counts of ``further`` words after them."""
+    digit = digits(counts.count())
+    size = digit * digit - shared_ids(digit) - 1
+    rows = most_frequent(counts, size + further)
+    words = Vocabulary(tuple(bytes(r.word) for r in rows[:size]), tuple(r.n for r in rows[:size]), digit)
+    return words, {bytes(r.word): r.n for r in rows[size:]}
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
     """The frequent words of all documents; ties by the word itself."""
-    rows = count_words(docs).orderBy(F.desc("n"), "word").limit(size).collect()
-    return Vocabulary(tuple(bytes(r.word) for r in rows), tuple(r.n for r in rows))
+    return ranked(Scratch(docs.sparkSession).write(count_words(docs), "words"))[0]
+
+
+def shared_totals(counts: DataFrame, words: Vocabulary) -> np.ndarray:
+    """Tokens under each shared id."""
+    totals = np.zeros(words.shared, np.int64)
+    for row in counts.groupBy((F.crc32("word") % words.shared).alias("id")).agg(F.sum("n").alias("n")).collect():
+        totals[row.id] = row.n
+    for word, n in zip(words.words, words.counts):
+        totals[crc32(word) % words.shared] -= n
+    return totals
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -92,28 +154,45 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def shapes(digit: int) -> dict:
+    return {
+        "embed": (len(OFFSETS), digit * digit, HIDDEN),
+        "hidden": (HIDDEN,),
+        "first": (HIDDEN, digit),
+        "first_bias": (digit,),
+        "second": (HIDDEN, digit),
+        "second_bias": (digit, digit),
+    }
+
+
+def size_of(digit: int) -> int:
+    return sum(math.prod(shape) for shape in shapes(digit).values())
+
+
+def digit_of(size: int) -> int:
+    """Inverse of ``size_of``: the embeddings and the second bias make up nearly all parameters."""
+    digit = math.isqrt(size // (len(OFFSETS) * HIDDEN + 1))
+    while size_of(digit) > size:
+        digit -= 1
+    return digit
+
+
 class Network:
     """Parameters are one flat vector with named views into it."""
 
-    SHAPES = {
-        "embed": (len(OFFSETS), IDS, HIDDEN),
-        "hidden": (HIDDEN,),
-        "first": (HIDDEN, DIGIT),
-        "first_bias": (DIGIT,),
-        "second": (HIDDEN, DIGIT),
-        "second_bias": (DIGIT, DIGIT),
-    }
-    SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+    SHAPES = shapes(DIGIT)
+    SIZE = size_of(DIGIT)
 
     def __init__(self, flat: np.ndarray):
         self.flat, self.past = flat.astype(np.float32), None
         self.p = self.views(self.flat)
+        self.digit = len(self.p["first_bias"])
 
     @classmethod
     def views(cls, flat):
         views, at = {}, 0
-        for name, shape in cls.SHAPES.items():
-            n = int(np.prod(shape))
+        for name, shape in shapes(digit_of(len(flat))).items():
+            n = math.prod(shape)
             views[name] = flat[at : at + n].reshape(shape)
             at += n
         return views
@@ -121,14 +200,14 @@ class Network:
     @classmethod
     def fresh(cls, words: Vocabulary) -> "Network":
         """Small embeddings from a fixed seed; digit biases from the counts, all other words being as many as the frequent ones."""
-        net = cls(np.zeros(cls.SIZE, np.float32))
+        net = cls(np.zeros(size_of(words.digit), np.float32))
         noise = np.random.default_rng(7)
         for name in ("embed", "first", "second"):
-            net.p[name][:] = noise.normal(0, 0.1, cls.SHAPES[name])
-        counts = np.ones(IDS)
+            net.p[name][:] = noise.normal(0, 0.1, net.p[name].shape)
+        counts = np.ones(words.digit**2)
         counts[1 : 1 + len(words.counts)] += words.counts
-        counts[-SHARED:] += sum(words.counts) / SHARED
-        table = counts.reshape(DIGIT, DIGIT)
+        counts[words.first :] += sum(words.counts) / words.shared
+        table = counts.reshape(words.digit, words.digit)
         net.p["first_bias"][:] = np.log(table.sum(1) / table.sum())
         net.p["second_bias"][:] = np.log(table / table.sum(1, keepdims=True))
         return net
@@ -140,7 +219,7 @@ class Network:
         for k in range(1, len(OFFSETS)):
             pre += p["embed"][k][sides[k]]
         h = np.tanh(pre)
-        a, b = target // DIGIT, target % DIGIT
+        a, b = np.divmod(target, self.digit)
         one = softmax(h @ p["first"] + p["first_bias"])
         two = softmax(h @ p["second"] + p["second_bias"][a])
         return h, a, b, one, two
@@ -154,7 +233,7 @@ class Network:
         """One step of AdaGrad on the mean negative log-probability."""
         p, n = self.p, len(target)
         if self.past is None:
-            self.past = self.views(np.full(self.SIZE, 1e-4, np.float32))
+            self.past = self.views(np.full(len(self.flat), 1e-4, np.float32))
         h, a, b, one, two = self.forward(sides, target)
         at = np.arange(n)
         one[at, a] -= 1
@@ -162,8 +241,7 @@ class Network:
         one /= n
         two /= n
         back = (one @ p["first"].T + two @ p["second"].T) * (1 - h * h)
-        by_digit = np.zeros((DIGIT, DIGIT), np.float32)
-        np.add.at(by_digit, a, two)
+        by_digit = np.equal.outer(np.arange(self.digit), a).astype(np.float32) @ two
         for name, g in (("first", h.T @ one), ("first_bias", one.sum(0)), ("second", h.T @ two), ("second_bias", by_digit), ("hidden", back.sum(0))):
             past = self.past[name]
             past += g * g
@@ -201,38 +279,95 @@ def train(docs: DataFrame, words: Vocabulary, rounds=1) -> Network:
                         n += len(target)
             if n:
                 weighted = own.flat.astype(np.float64) * n
-                yield from as_batches([np.arange(Network.SIZE, dtype=np.int32), weighted, np.full(Network.SIZE, n)], names)
+                yield from as_batches([np.arange(len(weighted), dtype=np.int32), weighted, np.full(len(weighted), n)], names)
 
         copies = texts(docs).select("text").mapInArrow(run, "place int, value double, tokens long")
         mean = copies.groupBy("place").agg((F.sum("value") / F.sum("tokens")).alias("value")).toPandas()
         if len(mean):
-            flat = np.zeros(Network.SIZE, np.float32)
+            flat = np.zeros(len(given), np.float32)
             flat[mean["place"].to_numpy()] = mean["value"].to_numpy()
             net = Network(flat)
     return net
 
 
 def score(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
-    """doc_id, n_tokens, pll (summed log-probabilities), mean_pll and pseudo_perplexity (null without tokens)."""
+    """doc_id, n_tokens, pll (summed log-probabilities of ids), mean_pll and pseudo_perplexity (null without tokens)."""
     flat = net.flat
 
     def run(batch):
         own, totals, counts = Network(flat), [], []
         for block in slices(raw(batch.column("text"))):
-            total, count = np.zeros(len(block)), np.zeros(len(block), np.int64)
-            for sides, target, owners in windows(*words.ids(block)):
-                total += np.bincount(owners, own.log_probabilities(sides, target), len(block))
-                count += np.bincount(owners, minlength=len(block))
+            total, count = sums(own, *words.ids(block), len(block))
             totals.append(total)
             counts.append(count)
         return [batch.column("doc_id"), pa.array(np.concatenate(counts)), pa.array(np.concatenate(totals))]
 
-    scored = map_batches(texts(docs), run, "doc_id long, n_tokens long, pll double")
+    return with_means(map_batches(texts(docs), run, "doc_id long, n_tokens long, pll double"))
+
+
+def score_words(docs: DataFrame, words: Vocabulary, net: Network, counts: DataFrame, near: dict[bytes, int]) -> DataFrame:
+    """As ``score``, with the probability of each word itself: that of its id times its share of the counts under the id.
+
+    ``counts`` has (word, n) of all words, ``near`` some of them that need no join.
+    """
+    flat, scratch = net.flat, Scratch(docs.sparkSession)
+    # Words that were never counted have one count under each shared id.
+    logs = np.log(shared_totals(counts, words) + 1)
+
+    def run(batch):
+        own, totals, sizes, far = Network(flat), [], [], []
+        known = {word: math.log(n) for word, n in near.items()}
+        for block in slices(raw(batch.column("text"))):
+            split = tokens(block)
+            ids, owners = words.ids_of(split)
+            total, count = sums(own, ids, owners, len(block))
+            at = 2
+            for place, found in enumerate(split):
+                here = ids[at : at + len(found)]
+                at += len(found) + 2
+                late = np.flatnonzero(here >= words.first)
+                total[place] -= logs[here[late] - words.first].sum()
+                rest = Counter()
+                for i in late.tolist():
+                    n = known.get(found[i])
+                    if n is None:
+                        rest[found[i]] += 1
+                    else:
+                        total[place] += n
+                far.append(rest)
+            totals.append(total)
+            sizes.append(count)
+        offsets = pa.array(np.cumsum([0, *map(len, far)]), pa.int32())
+        lists = [[w for rest in far for w in rest], [n for rest in far for n in rest.values()]]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in zip(lists, (pa.binary(), pa.int32()))]
+        return [batch.column("doc_id"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(totals)), *lists]
+
+    rows = map_batches(texts(docs), run, "doc_id long, n_tokens long, pll double, word array<binary>, times array<int>")
+    # Rows may share a doc_id or have none, so they are told apart by a number of their own.
+    rows = scratch.write(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
+    far = rows.select("_row", F.inline(F.arrays_zip("word", "times")))
+    added = F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(1)))).alias("_far")
+    shares = far.join(counts, "word", "left").groupBy("_row").agg(added)
+    full = rows.drop("word", "times").join(shares, "_row", "left")
+    return with_means(full.select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("_far", F.lit(0.0))).alias("pll")))
+
+
+def sums(net: Network, ids: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Summed log-probabilities of the ids and number of tokens of each of n documents."""
+    total, count = np.zeros(n), np.zeros(n, np.int64)
+    for sides, target, owner in windows(ids, owners):
+        total += np.bincount(owner, net.log_probabilities(sides, target), n)
+        count += np.bincount(owner, minlength=n)
+    return total, count
+
+
+def with_means(scored: DataFrame) -> DataFrame:
     mean = F.col("pll") / F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
     return scored.withColumns({"mean_pll": mean, "pseudo_perplexity": F.exp(-mean)})
 
 
 def pseudo_likelihood(docs: DataFrame, rounds=1) -> DataFrame:
     """Count, train and score over the same documents."""
-    words = vocabulary(docs)
-    return score(docs, words, train(docs, words, rounds))
+    counts = Scratch(docs.sparkSession).write(count_words(docs), "words")
+    words, near = ranked(counts, NEAR)
+    return score_words(docs, words, train(docs, words, rounds), counts, near)

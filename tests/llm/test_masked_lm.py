@@ -102,3 +102,56 @@ def test_nothing_to_train_on(spark):
     assert L.pseudo_likelihood(empty(spark)).collect() == []
     only = L.pseudo_likelihood(frame(spark, [(1, None), (2, " ")])).collect()
     assert [(r.n_tokens, r.pll, r.pseudo_perplexity) for r in only] == [(0, 0.0, None)] * 2
+
+
+def test_every_word_has_a_probability_of_its_own(spark, monkeypatch):
+    """Words under one shared id differ by their counts, whether these travel with the tasks or are joined."""
+    monkeypatch.setattr(L, "IDS_PER_ROOT", 0)
+    docs = frame(spark, [*AWKWARD, *((100 + i, t.decode()) for i, t in enumerate(TEXTS[:60]))])
+    counts = L.count_words(docs).cache()
+    of = {bytes(r.word): r.n for r in counts.collect()}
+    words, _ = L.ranked(counts)
+    assert len(of) > len(words.words) == L.IDS - L.SHARED - 1
+    net, under = noisy(words), {}
+    single = {w: int(words.ids([w])[0][2]) for w in of}
+    for w, n in of.items():
+        under[single[w]] = under.get(single[w], 0) + n
+    want = []
+    for r in docs.collect():
+        split = (r.text or "").encode().lower().split()
+        own = sum(math.log(of[w] / (under[single[w]] + 1)) for w in split if single[w] >= words.first)
+        sides = L.sums(net, *words.ids([(r.text or "").encode()]), 1)[0][0]
+        want.append((r.doc_id, len(split), round(sides + own, 2)))
+    for further in (0, 50):
+        got = L.score_words(docs, words, net, counts, L.ranked(counts, further)[1]).collect()
+        assert sorted(((r.doc_id, r.n_tokens) for r in got), key=repr) == sorted(((d, n) for d, n, _ in want), key=repr)
+        for (_, n, a), r in zip(sorted(want, key=repr), sorted(got, key=lambda r: repr((r.doc_id, r.n_tokens, round(r.pll, 2))))):
+            assert abs(a - r.pll) < 1e-3 * max(20, n)
+
+
+def test_rare_words_score_below_commoner_ones_under_the_same_ids(spark):
+    """1,100 words have or crowd the ids; of those beyond, some occur eight times and some once."""
+    pick = np.random.default_rng(5)
+    own = [f"c{i}" for i in range(1100)] * 20
+    some, once = [f"b{i}" for i in range(200)], [f"a{i}" for i in range(200)]
+    texts = [" ".join(pick.permutation(x)) for x in (own, some * 7, some, once)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.mean_pll for r in L.pseudo_likelihood(docs).collect()}
+    assert got[2] - got[3] > 1.5
+
+
+def test_ids_grow_with_the_distinct_words():
+    assert [L.digits(n) for n in (0, 1000, 400_000, 6_400_000, 400_000_000)] == [32, 32, 32, 64, 179]
+    words = L.Vocabulary(tuple(b"w%d" % i for i in range(3839)), tuple(range(4000, 161, -1)), 64)
+    net = L.Network.fresh(words)
+    assert (words.shared, words.first, net.digit, L.digit_of(len(net.flat))) == (256, 3840, 64, 64)
+    assert all(L.digit_of(L.size_of(d)) == d for d in range(32, 300))
+    sides = [np.full(4096, i) for i in (3, 0, 9, 4000)]
+    assert abs(np.exp(net.log_probabilities(sides, np.arange(4096))).sum() - 1) < 1e-4
+    net.learn(sides, np.arange(4096))
+
+
+def test_most_frequent_words_by_count_and_word(spark):
+    counts = spark.createDataFrame([(w.encode(), n) for w, n in (("a", 3), ("b", 1), ("c", 3), ("d", 2), ("e", 1), ("f", 1))], "word binary, n long")
+    names = lambda k: "".join(bytes(r.word).decode() for r in L.most_frequent(counts, k))
+    assert [names(k) for k in (1, 2, 3, 5, 9)] == ["a", "ac", "acd", "acdbe", "acdbef"]
