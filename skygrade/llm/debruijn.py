@@ -41,21 +41,33 @@ EDGE_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def picks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seed hashes of a text, and for each window the place of a smallest seed in it.
+    """Seed hashes of a text, and for each window the place of the first of its smallest seeds.
 
     The last six bits of a seed give way to those of its place, so that running
-    minima over 2, 4, 8 and then 13 seeds carry the place along.
+    minima over 2, 4, 8 and then 13 seeds carry the place along. Windows over a
+    multiple of 64, where these bits begin anew, take places turned by 32. The first
+    of equal seeds has the same offset in equal windows, so even windows that
+    overlap never take one place for both.
     """
     if len(hashes) < WORDS:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     seeds = runs(hashes, SEED) & ~np.uint64(63)
-    least = seeds | (np.arange(len(seeds), dtype=np.uint64) & np.uint64(63))
+    place = np.arange(len(seeds), dtype=np.uint64)
+    reach = WORDS - SEED + 1
+    window = np.arange(len(seeds) - reach + 1)
+    at = window + ((smallest(seeds | (place & np.uint64(63))) - window) & 63)
+    if len(seeds) > 64:
+        turned = window + ((smallest(seeds | ((place + np.uint64(32)) & np.uint64(63))) - 32 - window) & 63)
+        at = np.where(window & 63 > 64 - reach, turned, at)
+    return seeds, at
+
+
+def smallest(least: np.ndarray) -> np.ndarray:
+    """Last six bits of the smallest value of each window."""
     for reach in (1, 2, 4):
         least = np.minimum(least[:-reach], least[reach:])
     rest = WORDS - SEED + 1 - 8
-    least = np.minimum(least[:-rest], least[rest:])
-    window = np.arange(len(least))
-    return seeds, window + (((least & np.uint64(63)).astype(np.int64) - window) & 63)
+    return (np.minimum(least[:-rest], least[rest:]) & np.uint64(63)).astype(np.int64)
 
 
 def edges(hashes: np.ndarray) -> np.ndarray:

@@ -50,6 +50,24 @@ def test_dense_repetition(spark, letters):
     assert bag(debruijn.repeat_digests(frame(spark, rows)), *COLUMNS) == expected(rows)
 
 
+def test_short_runs_anywhere(spark):
+    """Equal windows that overlap, over places where the number of a place has its last six bits at zero and elsewhere."""
+    rows = []
+    for length in range(20, 33):
+        for offset in range(40, 71):
+            i = len(rows)
+            run = [f"ha{i}", f"he{i}", f"hi{i}"][: 1 + i % 3] * 32
+            rows.append((i, " ".join([*(f"a{i}.{k}" for k in range(offset)), *run[: length + 4 * (i % 3)], *(f"z{i}.{k}" for k in range(i % 40))])))
+    assert bag(debruijn.repeat_digests(frame(spark, rows)), *COLUMNS) == expected(rows)
+
+
+def test_the_first_of_equal_seeds_is_picked():
+    for offset in range(70):
+        hashes = word_hashes([*(b"%d" % k for k in range(offset)), *[b"ha"] * 40])
+        seeds, at = debruijn.picks(hashes)
+        assert at.tolist() == [p + int(np.argmin(seeds[p : p + 13])) for p in range(len(at))]
+
+
 def test_texts_come_out_without_repeats(spark):
     rows = [(1, " ".join(map(str, range(60)))), (2, "a " + " ".join(map(str, range(30, 55))) + " b")]
     assert bag(debruijn.remove_repeats(frame(spark, rows)), "doc_id", "text") == [(1, " ".join(map(str, range(60)))), (2, "a b")]
