@@ -4,7 +4,8 @@ Patterns find assignments, access keys and long hex runs. Beyond them, runs of
 base64 or hex are decoded and reported only if what they decode to has the
 structure of a key: DER whose nested lengths add up, an OpenSSH private key or
 wire-format public key whose length-prefixed fields fill it, or a signed token
-whose header is JSON that names an algorithm.
+whose header is JSON that names an algorithm. Base64 may go over lines, also
+indented or quoted ones; where a key ends is told by its own lengths.
 
 Defined results: null or empty text has no spans; spans are in code points, end
 exclusive; every match of a kind is reported, however long the text; rows that
@@ -12,7 +13,6 @@ repeat a doc_id are judged each for itself. Only ``doc_id`` and ``text`` are rea
 """
 
 import base64
-import binascii
 import hashlib
 import json
 import re
@@ -30,7 +30,10 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs of 32 and more; shorter runs would be dropped
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}(?:\r?\n[\x20\t>]*[A-Za-z0-9+/]+={0,2})*")
+LINE = re.compile(r"([A-Za-z0-9+/]+)={0,2}")
+#: How base64 of a DER sequence, of public SSH keys and of a private one begins.
+BEGINS = re.compile(r"M[A-P]|AAAA(?:B3NzaC1|C3NzaC1|E2VjZHNh)|b3BlbnNzaC1rZXktdjE")
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 
 #: Kinds in the order in which spans of one start are listed.
@@ -77,7 +80,7 @@ def nested(data: bytes, start: int, end: int, depth=0) -> bool:
 
 
 def is_der_key(data: bytes) -> bool:
-    """One sequence fills the data, and begins as keys do: an integer, or an algorithm's sequence and a bit string."""
+    """One sequence fills the data, and begins as keys do: an integer, or an algorithm's sequence and a bit or octet string."""
     if len(data) < 24 or data[0] != DER_SEQUENCE:
         return False
     outer = der_items(data, 0, len(data))
@@ -85,6 +88,8 @@ def is_der_key(data: bytes) -> bool:
         return False
     inner = der_items(data, outer[0][1], outer[0][2])
     tags = [tag for tag, _, _ in inner]
+    if tags == [DER_SEQUENCE, 0x04]:  # an encrypted key; its algorithm has parameters, as a mere digest's has not
+        return [tag for tag, _, _ in der_items(data, *inner[0][1:])] == [0x06, DER_SEQUENCE]
     return len(tags) >= 2 and (tags[0] == DER_INTEGER or tags[:2] == [DER_SEQUENCE, 0x03])
 
 
@@ -129,12 +134,57 @@ def key_kind(data: bytes) -> str | None:
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
-def unbase64(text: str) -> bytes | None:
-    bare = text.replace("\r", "").replace("\n", "").rstrip("=")
-    try:
-        return base64.b64decode(bare + "=" * (-len(bare) % 4))
-    except (binascii.Error, ValueError):
-        return None
+def unbase64(symbols: str) -> bytes:
+    """Bytes of base64 without padding; a last symbol that makes no byte is left out."""
+    symbols = symbols[: len(symbols) - (len(symbols) % 4 == 1)]
+    return base64.b64decode(symbols + "=" * (-len(symbols) % 4))
+
+
+def symbols_of(n: int) -> int:
+    return (4 * n + 2) // 3
+
+
+def possible_sizes(head: bytes, data) -> list[int]:
+    """Bytes that a key may have which begins with ``head``; ``data`` gives all that follows, if it is needed."""
+    if head[0] == DER_SEQUENCE:
+        size = head[1] & 0x7F if head[1] >= 0x80 else 0
+        return [2 + size + (int.from_bytes(head[2 : 2 + size], "big") if size else head[1])]
+    found, sizes = data(), []
+    at = len(SSH_MAGIC) if found.startswith(SSH_MAGIC) else 0
+    while at + 4 <= len(found) and len(sizes) < 72:
+        if at and found.startswith(SSH_MAGIC) and len(sizes) == 3:
+            at += 4  # the number of keys
+        at += 4 + int.from_bytes(found[at : at + 4], "big")
+        sizes.append(at)
+    return sizes
+
+
+def base64_spans(text: str):
+    """Keys in base64 lines: one begins with a line of 32 symbols or more and ends with the line where its lengths say."""
+    for run in BASE64.finditer(text):
+        lines = [(m.start(), m.end(1), m.end()) for m in LINE.finditer(text, run.start(), run.end())]
+        symbols = "".join(text[a:b] for a, b, _ in lines)
+        begins, ends, at, fence = [], {}, 0, []
+        for i, (a, b, c) in enumerate(lines):
+            begins.append(at)
+            at += b - a
+            ends[at] = c
+            if b < c:
+                fence.append(at)  # nothing goes on after padding
+        fence.append(at)
+        done, wall = 0, 0
+        for (a, b, _), begin in zip(lines, begins):
+            while fence[wall] <= begin and wall < len(fence) - 1:
+                wall += 1
+            if begin < done or b - a < 32 or not BEGINS.match(symbols, begin):
+                continue
+            most = fence[wall]
+            for size in possible_sizes(unbase64(symbols[begin : begin + 32]), lambda: unbase64(symbols[begin:most])):
+                end = begin + symbols_of(size)
+                if end <= most and end in ends and (kind := key_kind(unbase64(symbols[begin:end])[:size])):
+                    yield kind, a, ends[end]
+                    done = end
+                    break
 
 
 def base_spans(text: str):
@@ -149,10 +199,7 @@ def base_spans(text: str):
 
 
 def confirmed_spans(text: str):
-    for m in BASE64.finditer(text):
-        data = unbase64(m[0])
-        if data and (kind := key_kind(data)):
-            yield kind, m.start(), m.end()
+    yield from base64_spans(text)
     for m in ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
             yield kind, m.start(), m.end()

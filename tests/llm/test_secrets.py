@@ -67,6 +67,38 @@ def test_structures_are_confirmed():
     assert kinds(token({"typ": "none"})) == [] and kinds("notatoken1.abc.def") == []
 
 
+def pem(data, width=64, indent=""):
+    text = base64.b64encode(data).decode()
+    return ("\n" + indent).join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_keys_over_lines_end_where_their_lengths_say():
+    """Last lines of any length, indented and quoted lines, and words on the line after an unpadded key."""
+    for n in range(90, 190):
+        data = der(0x30, der(2, b"\0") + der(2, b"\x01" * n))
+        for indent in ("", "    ", "> "):
+            text = pem(data, indent=indent)
+            for tail in ("", "\nNext line", "\nabcd\nefgh", "\n-----END"):
+                assert kinds(f"{indent}{text}{tail}") == [("der", text)], (n, indent, tail)
+    for data in (ssh_like(), openssh_like(), part(b"ssh-rsa") + part(b"\1\0\1") + part(b"n" * 256)):
+        for indent in ("", "\t"):
+            assert kinds(f"{pem(data, 70, indent)}\nNext line") == [("ssh", pem(data, 70, indent))]
+    ed25519 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, b"k" * 32)))
+    bare = base64.b64encode(ed25519).decode()
+    assert len(bare) == 64 and kinds(f"{bare}\nNext line") == [("der", bare)]
+    assert kinds(f"{bare}More") == []
+    other = "x" * 40
+    assert kinds(f"{other}\n{bare}\n{bare}\n{other}") == [("der", bare)] * 2
+    assert kinds(f"{other}=\n{pem(rsa_like())}") == [("der", pem(rsa_like()))]
+
+
+def test_encrypted_keys_but_no_digests():
+    scheme = der(0x30, der(6, b"\x2a\x86\x48") + der(0x30, der(4, b"salt") + der(2, b"\x08")))
+    locked = der(0x30, scheme + der(4, b"c" * 64))
+    assert kinds(pem(locked)) == [("der", pem(locked))]
+    assert not S.is_der_key(der(0x30, der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, b"d" * 32)))
+
+
 def test_lying_lengths_are_no_key():
     assert not S.is_der_key(b"\x30\x84\xff\xff\xff\xff" + b"\0" * 40)
     assert not S.is_der_key(der(0x30, der(2, b"\0") + b"\x02\x7f" + b"\0" * 30))
