@@ -135,20 +135,16 @@ def bitmaps(items: DataFrame) -> np.ndarray:
 
 
 def starts(hits: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Starts of windows of ``length`` words with enough known sequences, each the best within its tolerance."""
+    """Starts of all windows of ``length`` words with enough known sequences.
+
+    None is left out for a better one nearby: that may be of another item.
+    """
     need, k = needed(length), tolerance(length)
     last = max(n - (length - k), 0)  # a passage may have lost words at a text's end
     total = np.concatenate([[0], np.cumsum(hits)])
     begin = np.arange(last + 1)
     count = total[np.minimum(begin + length - GRAM + 1, len(hits))] - total[np.minimum(begin, len(hits))]
-    good = count >= need
-    if not good.any():
-        return np.empty(0, np.int64)
-    best = count.copy()
-    for shift in range(1, k + 1):
-        best[shift:] = np.maximum(best[shift:], count[:-shift])
-        best[:-shift] = np.maximum(best[:-shift], count[shift:])
-    return np.flatnonzero(good & (count == best))
+    return np.flatnonzero(count >= need)
 
 
 WINDOWS = "doc_id long, start int, length int, region array<long>, keys array<long>"

@@ -85,6 +85,17 @@ def test_recall_over_edits(spark):
     assert found(1) >= 0.95 and found(2) >= 0.9
 
 
+def test_edited_items_of_one_length_back_to_back(spark):
+    """An item does not hide the edited one before it."""
+    pick = random.Random(8)
+    items = [(i, words(f"r{i}", 30)) for i in range(60)]
+    pairs = [(i, (i + 1) % 60) for i in range(60)]
+    docs = [(i, f"{words(i, 50)} {edited(items[i][1], 4, pick)} {items[j][1]} {words(-i, 50)}") for i, j in pairs]
+    got = {(r.doc_id, r.item_id) for r in leaks(spark, docs, items).collect()}
+    assert np.mean([(i, i) in got for i, _ in pairs]) >= 0.95 and all((i, j) in got for i, j in pairs)
+    assert all(i in pairs[d] for d, i in got)
+
+
 def test_whole_small_table(spark):
     docs, items = read(SF, "documents"), read(SF, "benchmark")
     known = {i: hashes(t) for i, t in items}
