@@ -17,7 +17,10 @@ is written as ``none``; line breaks in a url become spaces; repeated pages are
 records of their own; an empty table gives archives without records and an
 empty report. Bytes where no record begins are one record up to the next
 beginning, so a damaged header is located like any other damage; a header that
-lies about its length is caught the same way. Records lost at the end of a
+lies about its length is caught the same way. Stored bytes that do not unpack, a
+missing end or wrong checksum of a member and bytes behind it are a leaf of their
+own; what was read before them counts, and reading goes on at the next member.
+In a file of one member the records behind such bytes are lost. Records lost at the end of a
 segment and whole lost segments are reported as missing.
 """
 
@@ -35,6 +38,8 @@ FANOUT = 16
 RANGE = 65_536  # bytes of a segment under one node above the leaves
 SEGMENT_RECORDS = 1000
 MAGIC = b"WARC/1.0\r\n"
+GZIP = b"\x1f\x8b\x08"
+STEP = 4096  # stored bytes read at once behind damage
 GAP = b"\r\n\r\n"
 HEAD = re.compile(rb"WARC/1\.0\r\n(?:[^\r\n]+\r\n)*?Content-Length: (\d+)\r\n(?:[^\r\n]+\r\n)*\r\n")
 RECORD_ID = re.compile(rb"WARC-Record-ID: <([^>\r\n]*)>")
@@ -90,19 +95,74 @@ def cut(data: bytes) -> list[tuple[int, int]]:
     return ranges
 
 
+def member(content: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What can be read of the gzip member at ``at``, where reading ends, and whether its end and checksum are sound."""
+    whole = zlib.decompressobj(31)
+    try:
+        out = whole.decompress(content[at:] if at else content)
+        return out, len(content) - len(whole.unused_data), whole.eof
+    except zlib.error:
+        pass
+    # Once more in steps up to the one that fails, and that one byte by byte.
+    read, tried = at, zlib.decompressobj(31)
+    try:
+        for read in range(at, len(content), STEP):
+            tried.decompress(content[read : read + STEP])
+    except zlib.error:
+        pass
+    again = zlib.decompressobj(31)
+    out = [again.decompress(content[at:read])]
+    try:
+        while True:
+            out.append(again.decompress(content[read : read + 1]))
+            read += 1
+    except zlib.error:
+        return b"".join(out), read, False
+
+
+def stored_parts(content: bytes):
+    """(bytes, sound): uncompressed bytes, and as they are stored those that could not be read or follow the last member.
+
+    After the former the next readable member goes on. A member without its end
+    leaves an empty part that is not sound.
+    """
+    if content[:2] != GZIP[:2]:
+        yield content, True
+        return
+    at = 0
+    while at < len(content):
+        out, end, sound = member(content, at) if content.startswith(GZIP, at) else (b"", at, False)
+        if out:
+            yield out, True
+        if not sound:
+            following = content.find(GZIP, end + 1)
+            while following >= 0 and not member(content, following)[2]:
+                following = content.find(GZIP, following + 1)
+            stop = following if following >= 0 else len(content)
+            yield content[end:stop], False
+            end = stop
+        at = end
+
+
 def unpacked(content: bytes) -> bytes:
     """Uncompressed bytes; of a torn file what can still be read."""
-    if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content:
-        member = zlib.decompressobj(31)
-        try:
-            out.append(member.decompress(content))
-        except zlib.error:
-            break
-        content = member.unused_data
-    return b"".join(out)
+    return b"".join(part for part, sound in stored_parts(content) if sound)
+
+
+def records_of(content: bytes) -> list[tuple[int, bytes]]:
+    """Records of a segment and the places where they start; bytes that could not be read are one of their own."""
+    found, at, run = [], 0, []
+    for part, sound in [*stored_parts(content), (None, False)]:
+        if sound:
+            run.append(part)
+            continue
+        data, run = b"".join(run), []
+        found += [(at + a, data[a:b]) for a, b in cut(data)]
+        at += len(data)
+        if part is not None:
+            found.append((at, part))
+            at += len(part)
+    return found
 
 
 #: ``number`` is the place of a node in its level: the start of a leaf, the number of a range above it.
@@ -115,11 +175,10 @@ def leaves(found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for segment, content in zip(batch.column("segment").to_pylist(), batch.column("content")):
-                data = unpacked(content.as_py())
                 rows = []
-                for start, end in cut(data):
-                    named = RECORD_ID.search(data, start, min(end, start + 4096))
-                    rows.append((segment, start, start, end, hashlib.sha256(data[start:end]).hexdigest(), named[1].decode(errors="replace") if named else None))
+                for start, record in records_of(content.as_py()):
+                    named = RECORD_ID.search(record, 0, 4096)
+                    rows.append((segment, start, start, start + len(record), hashlib.sha256(record).hexdigest(), named[1].decode(errors="replace") if named else None))
                 if rows:
                     yield from as_batches([list(c) for c in zip(*rows)], names)
 

@@ -97,3 +97,30 @@ def test_torn_files_are_read_as_far_as_they_go():
 def test_empty_tables(spark):
     path = archive(spark, pages(spark, 0))
     assert report(spark, path, path) == []
+
+
+def test_stored_bytes_that_are_damaged():
+    """What precedes damage is kept; a lost or wrong end and bytes behind it are seen."""
+    import gzip
+    import random
+
+    pick = random.Random(2)
+    texts = [f"WARC/1.0\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: 3000\r\n\r\n".encode() + pick.randbytes(3000) + b"\r\n\r\n" for i in range(40)]
+    data = b"".join(texts)
+    whole = gzip.compress(data)
+    sound = warc.records_of(whole)
+    assert [r for _, r in sound] == texts
+    for cut_off in (1, 4, 8):
+        assert warc.records_of(whole[:-cut_off])[:40] == sound and len(warc.records_of(whole[:-cut_off])) == 41
+    assert warc.records_of(whole + b"tail") == [*sound, (len(data), b"tail")]
+    for place in range(len(whole) // 2, len(whole) - 8, 5000):
+        bad = whole[:place] + bytes([whole[place] ^ 16]) + whole[place + 1 :]
+        found = warc.records_of(bad)
+        assert found != sound and len(set(found) & set(sound)) >= 18
+        assert len({a for a, _ in found}) == len(found)
+    wrong = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    assert warc.records_of(wrong)[:40] == sound and len(warc.records_of(wrong)) == 41
+    members = [gzip.compress(t) for t in texts]
+    assert warc.records_of(b"".join(members)) == sound
+    members[3] = members[3][:1500] + bytes([members[3][1500] ^ 16]) + members[3][1501:]
+    assert [r for _, r in warc.records_of(b"".join(members))][-36:] == texts[4:]
