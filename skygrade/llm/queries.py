@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 
-from skygrade.llm import bytebpe, chat, debruijn, decontam, exact, masked_lm, minmax, quality, secrets, warc
+from skygrade.llm import bytebpe, chat, debruijn, decontam, exact, masked_lm, minmax, packing, periods, quality, secrets, warc, whitening
 from skygrade.llm.common import table
 from skygrade.session import fresh_path
 
@@ -136,3 +136,20 @@ with t as (
 select page_id, 'altered' as kind, octet_length(encode(kept)) as n_bytes, sha256(kept) as sha256_kept, sha256(found) as sha256_found
 from r where kept <> found
 """
+
+
+@query
+def op11_whitening(spark, d):
+    rows = whitening.whiten(whitening.fixed_point(table(spark, d, "embeddings")), components=8)
+    # Null where the exact sum does not fit a long.
+    return rows.withColumnRenamed("key", "vec_id").withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+@query
+def op12_periodic_runs(spark, d):
+    return periods.run_digests(table(spark, d, "documents"), periods.planted)
+
+
+@query
+def op13_best_fit_packing(spark, d):
+    return packing.packed_documents(table(spark, d, "documents"))
