@@ -47,6 +47,18 @@ MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _encoders = {}
 
 
+def merger(content: str):
+    """Function from a part to its tokens; a part that is a token itself is looked up where that gives the same."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(content)
+    merge = tokenizer.model.tokenize
+    special = tokenizer.get_added_tokens_decoder()
+    if all(len(merge(token)) == 1 for token, i in tokenizer.get_vocab().items() if i not in special):
+        tokenizer.model.ignore_merges = True
+    return tokenizer.model.tokenize
+
+
 class Encoder(Codec):
     """Ids of texts by a tokenizer's file; words that a worker has seen are looked up."""
 
@@ -56,7 +68,7 @@ class Encoder(Codec):
 
         self.whole = Tokenizer.from_str(content)
         self.special = [token.content for token in self.whole.get_added_tokens_decoder().values()]
-        self.merge = self.whole.model.tokenize
+        self.merge = merger(content)
         self.alphabet = dict(enumerate(byte_table()))
         self.pattern = regex.compile(pattern)
         self.seen, self.pieces = {}, {}
