@@ -35,6 +35,8 @@ SLOTS = 1 << 22  # bits of the bitmap
 WALKS = 12
 KEYS_PER_WALK = 2
 PLACES = 3  # sampled places of a key
+TEXTS_AT_ONCE = 200
+WORDS_AT_ONCE = 100_000  # words of the windows that wait to be embedded, for each length of items
 
 
 def tolerance(length: int) -> int:
@@ -159,21 +161,30 @@ def windows(docs: DataFrame, packed: np.ndarray, lengths: list[int]) -> DataFram
         bits = np.unpackbits(packed).astype(bool)
         for batch in batches:
             found = {length: [] for length in lengths}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text"))):
-                if doc is not None:
-                    hashes = words_of(text)
+            ids = iter(batch.column("doc_id").to_pylist())
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                for text in raw(batch.column("text").slice(at, TEXTS_AT_ONCE)):
+                    doc = next(ids)
+                    hashes = words_of(text) if doc is not None else np.empty(0, np.uint64)
                     for length, start in candidates(hashes, bits[:SLOTS], bits[SLOTS:]):
                         k = tolerance(length)
                         window = np.zeros(length, np.uint64)
                         window[: len(hashes) - start] = hashes[start : start + length]
-                        found[length].append((doc, start, hashes[max(0, start - k) : start + length + k].view(np.int64), window))
+                        region = hashes[max(0, start - k) : start + length + k].view(np.int64).copy()
+                        found[length].append((doc, start, region, window))
+                        if len(found[length]) * length >= WORDS_AT_ONCE:
+                            yield from embedded(length, found[length])
+                            found[length] = []
             for length, rows in found.items():
-                for block in (rows[i : i + 4096] for i in range(0, len(rows), 4096)):
-                    doc, start, region, window = zip(*block)
-                    longs = pa.list_(pa.int64())
-                    own = pa.array(list(keys(np.stack(window)).view(np.int64)), longs)
-                    sizes = pa.array([length] * len(block), pa.int32())
-                    yield from as_batches([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), sizes, pa.array(region, longs), own], names)
+                if rows:
+                    yield from embedded(length, rows)
+
+    def embedded(length, rows):
+        doc, start, region, window = zip(*rows)
+        longs = pa.list_(pa.int64())
+        own = pa.array(list(keys(np.stack(window)).view(np.int64)), longs)
+        sizes = pa.array([length] * len(rows), pa.int32())
+        return as_batches([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), sizes, pa.array(region, longs), own], names)
 
     def candidates(hashes, of_any, of_length):
         grams = runs(hashes, GRAM)
