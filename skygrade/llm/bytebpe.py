@@ -22,11 +22,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from skygrade.llm.common import map_batches, texts
+from skygrade.llm.common import map_batches, map_slices, texts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BLOCK = 1_000_000  # characters cut into words at once
-REMEMBERED = 300_000  # words and pieces a worker keeps the ids of; beyond that it starts anew
+REMEMBERED = 200_000  # words and pieces a worker keeps the ids of; beyond that it starts anew
 
 _codecs = {}
 
@@ -64,6 +64,9 @@ def merges_of(tokens: list[bytes]) -> list[tuple[bytes, bytes]]:
 class Codec:
     """Encoder and decoder of one vocabulary, made once per worker."""
 
+    def remembered(self) -> int:
+        return REMEMBERED
+
     def __init__(self, tokens: list[bytes], pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
@@ -114,7 +117,7 @@ class Codec:
         return out + self.encode_block(block)
 
     def encode_block(self, block: list[str]) -> list[bytes]:
-        if len(self.seen) > REMEMBERED or len(self.pieces) > REMEMBERED:
+        if max(len(self.seen), len(self.pieces)) > self.remembered():
             self.seen, self.pieces = {}, {}
         new = set()
         parts = [self.cut(text, new) for text in block]
@@ -162,7 +165,7 @@ def encode(docs: DataFrame, path=RANKS, pattern=public_tokenizers.PATTERN) -> Da
         ints = pa.list_(pa.int32())
         return [batch.column("doc_id"), pa.array(ids, ints), pa.array([s for s, _ in spans], ints), pa.array([e for _, e in spans], ints)]
 
-    return map_batches(texts(docs), run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return map_slices(texts(docs), run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(coded: DataFrame, path=RANKS) -> DataFrame:
@@ -192,4 +195,4 @@ def round_trip(docs: DataFrame, path=RANKS, pattern=public_tokenizers.PATTERN) -
         counts = pa.array([len(x) // 4 for x in coded], pa.int64())
         return [batch.column("doc_id"), counts, sha(coded), sha(map(own.decode, coded))]
 
-    return map_batches(texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_slices(texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -52,6 +52,19 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def map_slices(df: DataFrame, fn, schema: str, size=4_000_000) -> DataFrame:
+    """``map_batches`` on slices of about ``size`` bytes, at least a row each: what ``fn`` holds does not grow with the batch."""
+
+    def run(batches):
+        for batch in batches:
+            rows = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, rows):
+                yield from as_batches(fn(batch.slice(at, rows)), names)
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    return df.mapInArrow(run, schema)
+
+
 def as_batches(columns, names):
     out = pa.Table.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names=names)
     return out.to_batches(max_chunksize=50_000)

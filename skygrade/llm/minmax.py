@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from skygrade.llm.common import Scratch, identified, map_batches, raw, restored, texts
+from skygrade.llm.common import Scratch, identified, map_batches, map_slices, raw, restored, texts
 from skygrade.llm.components import components
 from skygrade.llm.shingles import mixed, shingle_set
 
@@ -103,7 +103,7 @@ def signed(docs: DataFrame) -> DataFrame:
         flush()
         return [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signature, pa.binary())]
 
-    return map_batches(docs.select("doc_id", "text"), run, SIGNED)
+    return map_slices(docs.select("doc_id", "text"), run, SIGNED)
 
 
 def band_rows(representatives: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
         sets = [shingle_set(words_of(text), WORDS).view(np.int64) for text in raw(batch.column("text"))]
         return [batch.column("rep"), pa.array(sets, pa.list_(pa.int64()))]
 
-    return map_batches(docs.select("rep", "text"), run, "rep long, shingles array<long>")
+    return map_slices(docs.select("rep", "text"), run, "rep long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

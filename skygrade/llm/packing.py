@@ -44,6 +44,8 @@ TASK_BINS = 1_000_000  # open bins of earlier tasks that one task packs
 #: Neither letter, digit, space nor apostrophe: a run of them is a piece of its own.
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
+REMEMBERED = 300_000  # words and parts a worker keeps the ids of
+
 _encoders = {}
 
 
@@ -62,6 +64,9 @@ def merger(content: str):
 class Encoder(Codec):
     """Ids of texts by a tokenizer's file; words that a worker has seen are looked up."""
 
+    def remembered(self) -> int:
+        return REMEMBERED
+
     def __init__(self, content: str, pattern=public_tokenizers.PATTERN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
