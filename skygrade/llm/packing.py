@@ -23,6 +23,7 @@ from array import array
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,6 +45,7 @@ TASK_BINS = 1_000_000  # open bins of earlier tasks that one task packs
 #: Neither letter, digit, space nor apostrophe: a run of them is a piece of its own.
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
+SLICE = 8_000_000  # bytes of text cut into words at once
 REMEMBERED = 300_000  # words and parts a worker keeps the ids of
 
 _encoders = {}
@@ -98,10 +100,44 @@ class Encoder(Codec):
         return [b"".join([known(part) or self.ids(part) for part in self.parts(chunk)]) for chunk in chunks]
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        out = super().encode(["" if any(s in text for s in self.special) else text for text in batch])
-        for i, text in enumerate(batch):
-            if text and not out[i]:
-                out[i] = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.encode_column(pa.array(batch, pa.string()))
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a column without nulls, in slices of about ``SLICE`` bytes."""
+        rows = max(1, int(len(column) * SLICE / max(column.nbytes, 1)))
+        return [coded for at in range(0, len(column), rows) for coded in self.encode_slice(column.slice(at, rows))]
+
+    def encode_slice(self, column: pa.Array) -> list[bytes]:
+        """Texts are cut at their spaces, and each different part of the slice is looked up once.
+
+        As in ``cut``, a text where another gap stands next to a space is searched whole.
+        """
+        lists = pc.split_pattern(column, " ")
+        counts = lists.value_lengths().to_numpy().astype(np.int64)
+        parts = lists.flatten().dictionary_encode()
+        words, at = parts.dictionary.to_pylist(), parts.indices.to_numpy().astype(np.int64)
+        ends = np.cumsum(counts)
+        first = ends - counts
+        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words])
+        whole = np.logical_or.reduceat(odd[at], first)
+        if max(len(self.seen), len(self.pieces)) > self.remembered():
+            self.seen, self.pieces = {}, {}
+        new = [w for w, strange in zip(words, odd.tolist()) if not strange and w not in self.seen]
+        self.seen.update(zip(new, self.learn([" " + w for w in new])))
+        heads = [words[i] for i in at[first].tolist()]
+        table = [*[self.seen.get(w, b"") for w in words], *self.learn(heads)]
+        at[first] = len(words) + np.arange(len(column))  # a text's first part has no space before it
+        sizes = np.array([len(coded) // 4 for coded in table])
+        begin, length = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        upto = np.cumsum(length)
+        ids = np.frombuffer(b"".join(table), "<u4")[np.repeat(begin - upto + length, length) + np.arange(upto[-1])]
+        stop = upto[ends - 1]
+        out = [ids[i:j].tobytes() for i, j in zip([0, *stop[:-1].tolist()], stop.tolist())]
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self.learn([column[i].as_py()])[0]
+        for token in self.special:
+            for i in np.flatnonzero(pc.match_substring(column, token).to_numpy(zero_copy_only=False)).tolist():
+                out[i] = array("I", self.whole.encode(column[i].as_py(), add_special_tokens=False).ids).tobytes()
         return out
 
 
@@ -128,7 +164,7 @@ def pieces(docs: DataFrame, path=TOKENIZER, capacity=CAPACITY, keep_ids=False) -
         own, end = encoder(content.value), array("I", [END]).tobytes()
         for batch in batches:
             rows, ids = [], []
-            for doc, coded in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist())):
+            for doc, coded in zip(batch.column("doc_id").to_pylist(), own.encode_column(batch.column("text"))):
                 coded += end
                 for number, (start, length) in enumerate(cuts(len(coded) // 4, capacity)):
                     part = coded[4 * start : 4 * (start + length)]
