@@ -16,6 +16,15 @@ DATE_SHAPES = {
     "dash": "d-M-yyyy[ H:mm[:ss]]",
     "iso": "yyyy-M-d[ H:mm[:ss]]",
 }
+#: Shapes of stamps without a zone, month before day where a text can be read both ways; None is Spark's own cast.
+STAMP_SHAPES = {
+    "iso": None,
+    "month_slash": "M/d/yyyy[ H:mm[:ss]]",
+    "day_slash": "d/M/yyyy[ H:mm[:ss]]",
+    "month_half": "M/d/yyyy h:mm[:ss] a",
+    "month_dash": "M-d-yyyy[ H:mm[:ss]]",
+    "day_dash": "d-M-yyyy[ H:mm[:ss]]",
+}
 OFFSET_PATTERN = r"(?i)([zZ]|UTC|GMT|[+-]\d{1,2}(:?\d{2}){0,2})\s*$"
 
 
@@ -43,15 +52,34 @@ def parse_dayfirst(c, shape="slash") -> Column:
     return F.to_date(F.try_to_timestamp(F.trim(column(c)), F.lit(DATE_SHAPES[shape])))
 
 
+def commonest_shape(df, name, shapes, parse) -> str:
+    """The shape that most values of a text column have; a column has one, as a file has one writer. Empty if none has any."""
+    counts = df.agg(*[F.count(parse(name, shape)).alias(shape) for shape in shapes]).first()
+    best = max(shapes, key=lambda shape: counts[shape])
+    return best if counts[best] else ""
+
+
 def date_shape(df, name) -> str:
-    """The shape that most values of a text column have; a column has one, as a file has one writer."""
-    counts = df.agg(*[F.count(parse_dayfirst(name, shape)).alias(shape) for shape in DATE_SHAPES]).first()
-    return max(DATE_SHAPES, key=lambda shape: counts[shape])
+    return commonest_shape(df, name, DATE_SHAPES, parse_dayfirst) or next(iter(DATE_SHAPES))
+
+
+def in_shape(c, shape, shapes, parse, undecided=None) -> Column:
+    """Text parsed in the shape that another column names; where that is empty by ``undecided``, or in any shape."""
+    named = [F.when(column(shape) == s, parse(c, s)) for s in shapes]
+    loose = undecided(c) if undecided else F.coalesce(*[parse(c, s) for s in shapes])
+    return F.coalesce(*named, F.when(column(shape) == "", loose))
+
+
+def try_stamp(c, shape) -> Column:
+    """Not null where the text is a stamp of the shape."""
+    text = F.trim(column(c))
+    return F.try_to_timestamp(text, F.lit(STAMP_SHAPES[shape])) if STAMP_SHAPES[shape] else text.try_cast("timestamp_ntz")
 
 
-def parse_strict(c) -> Column:
-    """ISO timestamp without a zone; malformed text fails the job."""
-    return column(c).cast("timestamp_ntz")
+def parse_strict(c, shape="iso") -> Column:
+    """Timestamp without a zone, from text of one of STAMP_SHAPES; malformed text fails the job."""
+    form = STAMP_SHAPES[shape]
+    return F.to_timestamp_ntz(F.trim(column(c)), F.lit(form)) if form else column(c).cast("timestamp_ntz")
 
 
 def parse_utc(c) -> Column:

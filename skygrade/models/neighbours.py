@@ -1,68 +1,101 @@
-"""Nearest neighbours within a series, by blocks.
+"""Nearest neighbours within a series, exact, without comparing all pairs.
 
-A series is cut into blocks of bounded length. Each task compares one block of
-test rows with one block of earlier rows and passes on only the nearest few of
-that block, so neither rows nor memory grow with the square of the series.
+Rows of a series meet in one task (a row per calendar day) and are cut into blocks
+of rows that lie close to each other, each with the box that holds it. A block of
+test rows looks at blocks of earlier rows from the nearest box on and stops where
+a box is further away than the worst of the neighbours found so far.
 """
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygrade.models.bayes import as_vector
 from skygrade.operators.folds import with_test_fold
-from skygrade.session import materialise
-
-BLOCK_ROWS = 256
-
-
-def nearest_in_block(k, neighbours, width, n_targets):
-    """Function over batches of block pairs giving the nearest rows of each pair."""
-
-    def search(batches):
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            parts = []
-            for pair in batch.to_dict("records"):
-                rn, start = np.asarray(pair["q_rn"]), np.asarray(pair["q_start"])
-                x = np.asarray(pair["q_x"], dtype=float).reshape(-1, width)
-                other = np.asarray(pair["t_rn"])
-                y = np.asarray(pair["t_x"], dtype=float).reshape(-1, width)
-                labels = np.asarray(pair["t_labels"]).reshape(-1, n_targets)
-                gaps = ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
-                gaps[other[None, :] >= start[:, None]] = np.inf
-                # Rows of a block lie in order, so a stable sort keeps the earlier of equals.
-                nearest = np.argsort(gaps, axis=1, kind="stable")[:, :neighbours]
-                asked, place = np.nonzero(np.isfinite(np.take_along_axis(gaps, nearest, axis=1)))
-                found = nearest[asked, place]
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            **{c: pair[c] for c in k},
-                            "rn": rn[asked],
-                            "gap": gaps[asked, found],
-                            "near": other[found],
-                            "votes": list(labels[found]),
-                        }
-                    )
-                )
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    return search
-
-
-def pack(rows: DataFrame, k, prefix, extra) -> DataFrame:
-    """Blocks of rows as parallel arrays; a block has at most ``BLOCK_ROWS`` rows."""
-    packed = rows.groupBy(*k, "block").agg(F.array_sort(F.collect_list(F.struct("rn", "x", *extra))).alias("rows"))
-    return packed.select(
-        *k,
-        F.col("block").alias(f"{prefix}_block"),
-        F.col("rows.rn").alias(f"{prefix}_rn"),
-        F.flatten("rows.x").alias(f"{prefix}_x"),
-        *[F.col(f"rows.{c}").alias(f"{prefix}_{c}") for c in extra],
-    )
+
+BLOCK_ROWS = 64
+
+
+def close_blocks(x, rows, size):
+    """``rows`` in blocks of at most ``size``, halved at the middle of their widest input."""
+    todo, done = [rows], []
+    while todo:
+        part = todo.pop()
+        if len(part) <= size:
+            done.append(part)
+            continue
+        spread = np.ptp(x[part], axis=0)
+        order = part[np.argsort(x[part, spread.argmax()], kind="stable")]
+        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+    return done
+
+
+def nearest(x, asked, known, neighbours, size):
+    """For each of ``asked`` its nearest of ``known`` as (gaps, rows), -1 where there are fewer, and the pairs compared.
+
+    Rows are numbered in order; of equally near ones the earlier come first.
+    """
+    gaps = np.full((len(asked), neighbours), np.inf)
+    found = np.full((len(asked), neighbours), -1)
+    place = np.empty(len(x), int)
+    place[asked] = np.arange(len(asked))
+    blocks = close_blocks(x, known, size) if len(known) else []
+    low = np.array([x[b].min(axis=0) for b in blocks]).reshape(len(blocks), -1)
+    high = np.array([x[b].max(axis=0) for b in blocks]).reshape(len(blocks), -1)
+    compared = 0
+    for part in close_blocks(x, asked, size):
+        q, at = x[part], place[part]
+        apart = np.maximum(np.maximum(low - q.max(axis=0), q.min(axis=0) - high), 0)
+        least = (apart**2).sum(axis=1) * (1 - 1e-9)  # never above a gap, however both are rounded
+        for b in np.argsort(least, kind="stable"):
+            if least[b] > gaps[at, -1].max():
+                break
+            rows = blocks[b]
+            compared += len(part) * len(rows)
+            new = ((q[:, None, :] - x[rows][None, :, :]) ** 2).sum(axis=2)
+            near = np.hstack([gaps[at], new])
+            who = np.hstack([found[at], np.broadcast_to(rows, new.shape)])
+            first = np.lexsort((who, near), axis=-1)[:, :neighbours]
+            gaps[at], found[at] = np.take_along_axis(near, first, axis=1), np.take_along_axis(who, first, axis=1)
+    return gaps, found, compared
+
+
+def majority(votes):
+    """Most frequent of each row's votes, the smaller one if equal; -1 stands for no vote."""
+    classes = np.unique(votes[votes >= 0])
+    counts = (votes[:, :, None] == classes).sum(axis=1)
+    return classes[counts.argmax(axis=1)]
+
+
+def searched(table, width, targets, neighbours, size):
+    """Fold by fold: test rows, per target its labels and answers, and the pairs there are and those compared."""
+    rn, fold = table.column("_rn").to_numpy(), table.column("fold").to_numpy(zero_copy_only=False)
+    order = np.argsort(rn, kind="stable")
+    rn, fold = rn[order], fold[order]
+    start = table.column("start").to_numpy(zero_copy_only=False)[order]
+    x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)[order]
+    labels = {t: table.column(t).to_numpy(zero_copy_only=False)[order].astype(int) for t in targets}
+    for i in np.unique(fold[~np.isnan(fold.astype(float))]):
+        asked = np.flatnonzero(fold == i)
+        known = np.flatnonzero(rn < start[asked[0]])
+        _, found, compared = nearest(x, asked, known, neighbours, size)
+        answers = {}
+        for target, label in labels.items():
+            if len(np.unique(label[known])) > 1:
+                classes, number = np.unique(label, return_inverse=True)
+                votes = np.where(found >= 0, number[found], -1)
+                answers[target] = label[asked], classes[majority(votes)]
+        yield int(i), order[asked], answers, len(asked) * len(known), compared
+
+
+def by_series(frame, features, targets, k, o, n_folds, fn, schema) -> DataFrame:
+    """``fn`` on the rows of each series, in as many tasks as the session shuffles into."""
+    placed = with_test_fold(frame.select(*k, *o, *features, *targets), k, o, n_folds)
+    rows = placed.select(*k, *o, "fold", "start", "_rn", as_vector(features).alias("x"), *targets)
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "".join(f"`{c}` {frame.schema[c].dataType.simpleString()}, " for c in (*k, *o) if c in schema[0])
+    return rows.repartition(parts, *k).groupBy(*k).applyInArrow(fn, kinds + schema[1])
 
 
 def cls_knn(
@@ -74,61 +107,30 @@ def cls_knn(
     row, equal votes to the smaller class. The neighbours depend on the features
     only and are found once for all targets.
     """
-    keys = list(k)
-    placed = with_test_fold(frame.select(*k, *o, *features, *targets), k, o, n_folds).select(
-        *k,
-        *o,
-        "fold",
-        "start",
-        F.col("_rn").alias("rn"),
-        F.floor(F.col("_rn") / block_rows).alias("block"),
-        as_vector(features).alias("x"),
-        F.array(*targets).alias("labels"),
-    )
-    rows = materialise(placed, "rows")  # read by test blocks, known blocks, labels and class counts
-    asked = pack(rows.where("fold is not null"), keys, "q", ["start"])
-    known = pack(rows, keys, "t", ["labels"]).withColumn("t_labels", F.flatten("t_labels"))
-    pairs = asked.join(known, keys).where(F.col("t_block") * block_rows < F.array_max("q_start"))
-    pairs = pairs.repartition(*keys, "q_block", "t_block")  # else all pairs of a series are searched in one task
-    fields = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keys)
-    near = pairs.drop("q_block", "t_block").mapInPandas(
-        nearest_in_block(keys, neighbours, len(features), len(targets)),
-        f"{fields}, rn int, gap double, near int, votes array<int>",
-    )
-    closest = F.row_number().over(Window.partitionBy(*keys, "rn").orderBy("gap", "near"))
-    voted = (
-        near.withColumn("_place", closest)
-        .where(F.col("_place") <= neighbours)
-        .groupBy(*keys, "rn")
-        .agg(F.collect_list("votes").alias("votes"))
-    )
-    per_target = F.array(
-        *[
-            F.struct(F.lit(t).alias("target"), F.col("labels")[j].alias("y"), majority("votes", j).alias("p"))
-            for j, t in enumerate(targets)
-        ]
-    )
-    answered = rows.where("fold is not null").join(voted, [*keys, "rn"])
-    return kept(answered.select(*k, *o, "fold", F.inline(per_target)), rows, keys, targets, n_folds)
-
-
-def majority(votes, j):
-    """Most frequent label at position ``j`` of the votes, the smaller one if equal."""
-    named = F.transform(votes, lambda v: v[j])
-    counted = lambda c: F.struct(F.size(F.filter(named, lambda v: v == c)).alias("n"), (-c).alias("minus"))
-    return -F.array_max(F.transform(F.array_distinct(named), counted))["minus"]
-
-
-def kept(answers: DataFrame, rows: DataFrame, k, targets, n_folds) -> DataFrame:
-    """Answers of the folds with two or more classes before their test slice.
-
-    Class counts come from one row per (series, slice): a slice that starts fold i
-    is part of the training rows of every later fold.
-    """
-    slices = rows.withColumn("slice", F.coalesce(F.col("fold") + 1, F.lit(0))).groupBy(*k, "slice")
-    seen = slices.agg(*[F.collect_set(F.col("labels")[j]).alias(t) for j, t in enumerate(targets)])
-    before = Window.partitionBy(*k).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    many = lambda t: (F.size(F.array_distinct(F.flatten(F.collect_list(t).over(before)))) >= 2).alias(t)
-    usable = seen.select(*k, (F.col("slice") - 1).alias("fold"), *[many(t) for t in targets])
-    usable = usable.unpivot([*k, "fold"], list(targets), "target", "usable").where("usable").drop("usable")
-    return answers.join(usable, [*k, "fold", "target"], "left_semi")
+    names = [*k, *o, "target", "fold", "y", "p"]
+
+    def answer(table):
+        given, parts = table.select([*k, *o]), []
+        for fold, rows, answers, _, _ in searched(table, len(features), targets, neighbours, block_rows):
+            for target, (y, p) in answers.items():
+                ints = lambda v: pa.array(v, pa.int32())
+                columns = [*given.take(pa.array(rows)).columns, pa.array([target] * len(y)), ints([fold] * len(y)), ints(y), ints(p)]
+                parts.append(pa.Table.from_arrays(columns, names=names))
+        none = [*given.slice(0, 0).columns, pa.array([], pa.string()), *[pa.array([], pa.int32())] * 3]
+        return pa.concat_tables(parts) if parts else pa.Table.from_arrays(none, names=names)
+
+    return by_series(frame, features, targets, k, o, n_folds, answer, ((*k, *o), "target string, fold int, y int, p int"))
+
+
+def knn_work(
+    frame: DataFrame, features, targets, k=("site",), o=("dt",), neighbours=5, n_folds=5, block_rows=BLOCK_ROWS
+) -> DataFrame:
+    """(series, n_pairs, n_compared): pairs of a test row and an earlier row, and those whose distance ``cls_knn`` computes."""
+
+    def count(table):
+        work = [(pairs, compared) for *_, pairs, compared in searched(table, len(features), targets, neighbours, block_rows)]
+        pairs, compared = (sum(c) for c in zip(*work)) if work else (0, 0)
+        keys = [table.column(c).slice(0, 1) for c in k]
+        return pa.Table.from_arrays([*keys, pa.array([pairs]), pa.array([compared])], names=[*k, "n_pairs", "n_compared"])
+
+    return by_series(frame, features, targets, k, o, n_folds, count, (k, "n_pairs long, n_compared long"))

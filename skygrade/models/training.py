@@ -14,7 +14,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygrade.models.estimators import CLASSIFIERS, REGRESSORS, inputs, named
+from skygrade.models.estimators import CLASSIFIERS, RADIAL, REGRESSORS, inputs, named
 from skygrade.operators.folds import fold_contiguous_dates, fold_expanding_dates
 from skygrade.operators.metrics import m_accuracy, m_f1_weighted, m_mae, r2_column
 from skygrade.operators.search import grid_search, results_table
@@ -72,7 +72,7 @@ def fit_classifier(train, test, target, model, features, params, by_site=True):
     if len(seen) < 2:
         return None
     train = few_parts(train)
-    flow = inputs(train, features, by_site)
+    flow = inputs(train, features, by_site, model in RADIAL)
     width = lambda: flow.transform(train).select("features").first()[0].size
     info = {"rows": rows, "classes": len(seen), "width": width}
     classes = F.array(*[F.lit(c) for c in seen])

@@ -12,9 +12,10 @@ from skygrade.session import materialise
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 WHISKER_REACH = 1.5
 
-# Size of the quantile sketch; its rank error is at most one over this share of the rows.
-SKETCH_SIZE = 10_000
-SKETCH_MARGIN = 3 / SKETCH_SIZE
+# Size of the quantile sketch. Its rank error is about 2.3 / size ** 0.9; a range that should miss is widened later.
+SKETCH_SIZE = 32_768
+SKETCH_MARGIN = 3 * 2.3 / SKETCH_SIZE**0.9
+SKETCH_FAN = 64  # sketches of a key that one task merges
 
 
 def pearson(x, y):
@@ -131,11 +132,28 @@ def long_values(df: DataFrame, cols, by) -> DataFrame:
     return wide.unpivot(list(by), list(cols), "col", "value").where("value is not null")
 
 
+def merged_sketches(values: DataFrame, keys, fan=SKETCH_FAN, size=SKETCH_SIZE) -> DataFrame:
+    """(keys, n_values, sketch): one sketch of all values of a key, merged level by level.
+
+    Every task sketches its rows; sketches of ``fan`` neighbouring tasks become
+    one, then those of ``fan`` such groups, and so on. No task ever merges more
+    than ``fan`` sketches of a key, whatever the number of tasks.
+    """
+    group = lambda c: F.floor(c / fan).cast("int")
+    sketch = F.kll_sketch_agg_double("value", size).alias("sketch")
+    merge = [F.sum("n_values").alias("n_values"), F.kll_merge_agg_double("sketch", size).alias("sketch")]
+    parts = values.select(*keys, "value", group(F.spark_partition_id()).alias("_part"))
+    parts = materialise(parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("n_values"), sketch), "sketches")
+    while (parts.agg(F.max("_part")).first()[0] or 0) >= fan:
+        parts = materialise(parts.withColumn("_part", group(F.col("_part"))).groupBy(*keys, "_part").agg(*merge), "sketches")
+    return parts.groupBy(*keys).agg(*merge)
+
+
 def sketched_brackets(values: DataFrame, keys, probs) -> DataFrame:
     """Per key: number of values, and for every quantile its position and a narrow range around it."""
     edges = [edge for p in probs.values() for edge in (max(p - SKETCH_MARGIN, 0.0), min(p + SKETCH_MARGIN, 1.0))]
-    sketch = F.percentile_approx("value", [float(e) for e in edges], SKETCH_SIZE)
-    sketched = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"), sketch.alias("edges"))
+    found = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(float(e)) for e in edges]))
+    sketched = merged_sketches(values, keys).select(*keys, "n_values", found.alias("edges"))
     brackets = F.array(
         *[
             F.struct(

@@ -21,14 +21,18 @@ from skygrade.schema import CLASS_COLUMNS, POLLUTANTS
 from skygrade.session import materialise
 
 
-def day_sums(readings: DataFrame, grain, iso_year=False) -> DataFrame:
-    """Sum and count of known values per pollutant, and row count, by site and grain."""
-    sums = no_null_keys(readings, ["site", grain]).groupBy("site", grain).agg(
+def value_sums():
+    """Aggregates: row count, and sum and count of known values per pollutant."""
+    return [
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(p).alias(f"_sum_{p}") for p in POLLUTANTS],
         *[F.count(p).alias(f"_known_{p}") for p in POLLUTANTS],
-    )
-    return with_week(sums, grain, iso_year)
+    ]
+
+
+def day_sums(readings: DataFrame, grain, iso_year=False) -> DataFrame:
+    """Sum and count of known values per pollutant, and row count, by site and grain."""
+    return with_week(no_null_keys(readings, ["site", grain]).groupBy("site", grain).agg(*value_sums()), grain, iso_year)
 
 
 def week_mean(p, over=None):
@@ -46,13 +50,17 @@ def filled_means(sums: DataFrame, grain) -> DataFrame:
 
 
 def daily_means(readings: DataFrame, iso_year=False) -> DataFrame:
-    """Weekly fill and mean per site and day.
+    """Weekly fill and mean per site and day."""
+    return days_from_sums(day_sums(readings, "dt", iso_year))
+
+
+def days_from_sums(sums: DataFrame) -> DataFrame:
+    """The same from sums by site and day.
 
     A site-week holds at most 14 days (the calendar year joins the last days of a
     year to its first week), so the window over it is short.
     """
     week = Window.partitionBy("site", "yr", "wk")
-    sums = day_sums(readings, "dt", iso_year)
     return filled_means(sums.withColumns({f"_week_{p}": week_mean(p, week) for p in POLLUTANTS}), "dt")
 
 

@@ -39,7 +39,15 @@ from skygrade.plans.features import (
 )
 from skygrade.schema import CLASS_COLUMNS, DISTRICTS, POLLUTANTS, TARGETS
 from skygrade.session import materialise
-from skygrade.sources.readers import Source, src_optional, src_readings, src_readings_hourly, src_weather
+from skygrade.sources.readers import (
+    Source,
+    canonical_readings,
+    lost_dates,
+    read_landed,
+    src_optional,
+    src_readings_hourly,
+    src_weather,
+)
 
 # Classes whose frequencies are reported, days of history shown with a forecast.
 REPORTED_CLASSES = ("so2_cls", "pm25_cls", "o3_cls")
@@ -58,26 +66,34 @@ class Tables:
 
 def load(spark: SparkSession, readings, hourly=None, weather=None, fmt="parquet", sites=DISTRICTS) -> Tables:
     """Read and clean. Readings must load; a failing optional source is skipped with its reason.
-    Readings of which no row is left (no site listed, no date understood) have not loaded.
+    Readings of which no row is left (no site listed, no date understood) have not loaded;
+    dates that the shape of their file does not fit are counted in the reasons.
 
     The clean tables feed every later step, so they are written out once.
     """
     absent = Source(None, "not given")
+    losses = {}
+
     def clean_first():
-        raw = src_readings(spark, readings, fmt)
+        landed = read_landed(spark, readings, fmt)
+        raw = canonical_readings(landed)
         daily = materialise(clean_daily(raw, sites), "daily")
         if daily.isEmpty() and not raw.isEmpty():
             raise ValueError(f"readings: no row has a known site and a date, out of {raw.count()}")
+        lost = lost_dates(landed).agg(F.count_if(F.col("n_lost") > 0), F.sum("n_lost"), F.sum("n_texts")).first()
+        if lost[0]:
+            losses["readings"] = f"{lost[1]} of {lost[2]} dates not understood, in {lost[0]} files"
         return daily
 
     clean_second = lambda: materialise(clean_hourly(src_readings_hourly(spark, hourly, fmt), sites), "hourly")
     second = src_optional(clean_second) if hourly else absent
     third = src_optional(lambda: src_weather(spark, weather)) if weather else absent
+    first = src_optional(clean_first, required=True)
     return Tables(
-        src_optional(clean_first, required=True).df,
+        first.df,
         second.df,
         third.df,
-        {name: s.reason for name, s in (("hourly", second), ("weather", third)) if s.reason},
+        losses | {name: s.reason for name, s in (("hourly", second), ("weather", third)) if s.reason},
     )
 
 

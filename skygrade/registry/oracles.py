@@ -4,6 +4,7 @@ The statements follow the definitions, not the library's plans: fills are joins,
 classes are nearest centres, quantiles are the engine's own.
 """
 
+from skygrade.functions.scalars import STAMP_SHAPES
 from skygrade.plans.features import feature_set_adv, feature_set_base, lag_columns
 from skygrade.registry.queries import GIVEN_WEIGHTS, LISTED_SITES, ONE_SITE
 from skygrade.schema import BANDS, CLASS_COLUMNS, POLLUTANTS, TARGETS, WEATHER_VS_CLASS, WEATHER_VS_POLLUTANTS
@@ -393,6 +394,9 @@ SITE_DAY_MEAN = "select site, dt, round(class_mean, 6) as class_mean from daily"
 
 PLAIN = {
     "src_readings": f"select site, dt, yr, wk, {', '.join(f'round({raw(p)}, 6) as {p}' for p in POLLUTANTS)} from readings",
+    "src_readings_mixed": f"select site, dt, yr, wk, {', '.join(f'round({raw(p)}, 6) as {p}' for p in POLLUTANTS)} from readings",
+    "src_lost_dates": """select case event_id % 2 when 0 then 'slash' else 'iso' end as shape, count(*) as n_texts, 0::bigint as n_lost
+from readings group by shape""",
     "src_readings_hourly": f"select site, ts, cast(ts as date) as dt, yr, wk, {rnd(POLLUTANTS)} from cohort_rows",
     "src_weather": f"""select site, cast(case when weather_id % 2 = 0 then dt else dt - 1 end as date) as dt, {rnd(WEATHER_COLUMNS)}
 from weather""",
@@ -462,6 +466,7 @@ from model window w as (partition by site order by dt rows between 3 preceding a
     "parse_dayfirst": f"""select o_orderkey, {each("case when o_orderkey % 5 <> 0 then cast(o_orderdate as date) end as {c}_day", ("slash", "dash", "iso"))}
 from orders""",
     "parse_strict": "select event_id, ts as at from events",
+    "parse_stamps": f"""select event_id, {each("date_trunc('second', ts) as {c}", STAMP_SHAPES)} from events""",
     "parse_utc": """select event_id, date_trunc('second', ts) - case when event_id % 3 = 0 then interval 2 hour else interval 0 hour end as at
 from events""",
     "trunc_day": "select event_id, cast(ts as date) as day from events",
@@ -516,17 +521,50 @@ qualify row_number() over (partition by site, target order by mean_mae, candidat
     return with_more(body)
 
 
-def held_out_sql(targets, more):
-    """Rows of the last fifth of all days, by target; what every fit has to fulfil stands as constants."""
-    rows = " union all ".join(f"select dt, '{t}' as target, cast({t} as double) as y from model" for t in targets)
-    body = f"""
+HELD_OUT = """
 days as (select dt, row_number() over (order by dt) as place, count(*) over () as n from (select distinct dt from model)),
 cut as (select min(dt) as first from days where place > n - ceil(n * 0.2)),
-long as ({rows}),
-learnt as (select target from long, cut where dt < first group by target having count(distinct y) > 1)
-select target, '{{model}}' as model, count(*) as n_rows, round(sum(y), 4) as sum_y, 0 as n_unanswered, true as in_range{more}
-from long, cut where dt >= first {{kept}} group by target"""
-    return lambda name, kept="": with_more(body.format(model=name, kept=kept))
+long as ({rows})"""
+
+
+def held_out(targets):
+    """Common table expressions: rows by target, and the first of the last fifth of all days."""
+    return HELD_OUT.format(rows=" union all ".join(f"select dt, '{t}' as target, cast({t} as double) as y from model" for t in targets))
+
+
+def regressed_sql(model):
+    """What a regression is asked about; what it has to fulfil stands as constants."""
+    return with_more(f"""{held_out(TARGETS)}
+select target, '{model}' as model, count(*) as n_rows, round(sum(y), 4) as sum_y, 0 as n_unanswered, true as in_range, true as beats_mean
+from long, cut where dt >= first group by target""")
+
+
+def classified_sql(model):
+    """The same for classes; the commonest class of the training rows is the mark to beat."""
+    return with_more(f"""{held_out(CLASS_COLUMNS)},
+learnt as (select target, y, count(*) as n from long, cut where dt < first group by all),
+usual as (select target, y as usual from learnt qualify row_number() over (partition by target order by n desc, y) = 1
+  and count(*) over (partition by target) > 1)
+select target, '{model}' as model, count(*) as n_rows, cast(sum(y) as bigint) as sum_y, count(*) filter (y = usual) as n_usual,
+  0 as n_foreign, true as beats_majority
+from long join usual using (target), cut where dt >= first group by target""")
+
+
+def of_sites_sql(by_target=True):
+    """Test days of the folds with two classes; the commonest class of a site's training days is the mark to beat."""
+    shown, by = ("target, ", " group by target") if by_target else ("", "")
+    return with_more(f"""
+counts as (select site, fold, target, label, count(*) as n from class_long where role = 'train' group by all),
+usual as (select site, fold, target, label as usual from counts
+  qualify row_number() over (partition by site, fold, target order by n desc, label) = 1)
+select {shown}count(*) as n_rows, cast(sum(label) as bigint) as sum_y, count(*) filter (label = usual) as n_usual,
+  0 as n_foreign, true as beats_majority
+from class_long join kept_folds using (site, fold, target) join usual using (site, fold, target) where role = 'test'{by}""")
+
+
+KNN_PAIRS = """
+sizes as (select site, fold, count(*) filter (role = 'test') as asked, count(*) filter (role = 'train') as known from class_folds group by all)
+select site, cast(sum(asked * known) as bigint) as n_pairs, true as bounded from sizes group by site"""
 
 
 def results_sql():
@@ -568,10 +606,17 @@ def oracles():
     out["forecast_fitted"] = forecast_fitted_sql()
     out["ar_scores"] = fit_scores_sql()
     out["results_table"] = results_sql()
-    regressed, classified = held_out_sql(TARGETS, ", true as beats_mean"), held_out_sql(CLASS_COLUMNS, "")
-    out["reg_random_forest"], out["reg_boosted"] = regressed("RandomForest"), regressed("GradientBoosting")
+    for key in ("cls_logistic_sites", "cls_tree_sites", "cls_svm_sites"):
+        out[key] = of_sites_sql(key != "cls_svm_sites")
+    out["knn_pairs"] = with_more(KNN_PAIRS)
+    out["ar_tube"] = ar("select site, count(*) as n_rows, round(sum(class_mean), 4) as sum_y, true as no_worse from ar group by site")
+    out["forecast_tube"] = with_more("""
+last as (select site, max(dt) as dt, count(*) as n from model group by site)
+select site, 7::bigint as n_days, cast(dt + 1 as date) as first, cast(dt + 7 as date) as last, true as on_scale from last where n >= 8""")
+    for key, name in (("reg_random_forest", "RandomForest"), ("reg_boosted", "GradientBoosting")):
+        out[key] = regressed_sql(name)
     for key, name in CLASSIFIER_QUERIES.items():
-        out[key] = classified(name, "and target in (select target from learnt)")
+        out[key] = classified_sql(name)
     out["grid_search_fitted"] = "select * from (values " + ", ".join(
         f"('{t}', 'RandomForest', 'ok', true, true, true)" for t in TARGETS
     ) + ") v(target, model, status, from_grid, scored, beats_mean)"

@@ -2,21 +2,26 @@
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skygrade.functions.grading import classify_nearest
 from skygrade.functions import scalars as S
 from skygrade.models.autoregressive import (
     ar_fit,
+    ar_fit_tube,
     ar_gram,
     ar_predict,
+    ar_predict_tube,
     forecast_recursive,
     forecast_status,
+    forecast_tube,
     last_values,
 )
 from skygrade.models.bayes import cls_naive_bayes
+from skygrade.models.by_site import cls_by_site
 from skygrade.models.estimators import GRIDS, candidates
-from skygrade.models.neighbours import cls_knn
+from skygrade.models.neighbours import cls_knn, knn_work
 from skygrade.models.training import (
     classification_results,
     fit_classifier,
@@ -153,6 +158,31 @@ def src_weather(spark, d):
     return rounded(R.src_weather(spark, landed(raw_weather(spark, d), "weather", "csv")))
 
 
+def two_writers(spark, d):
+    """A folder of CSV files of two writers: other columns first, other dates, in a folder each."""
+    df, path = T.readings(spark, d), fresh_path(spark, "mixed")
+    bad = F.col("event_id") % 17 == 0
+    values = [raw_text(p, bad).alias(raw_name(p)) for p in POLLUTANTS]
+    site, part = F.col("site").alias("Coluna1"), (F.col("event_id") % 2).alias("part")
+    one = df.where("event_id % 2 = 0").select(site, F.date_format("dt", "dd/MM/yyyy").alias("Data"), F.lit("Norte").alias("Zona"), *values, part)
+    two = df.where("event_id % 2 = 1").select(*values[::-1], F.date_format("dt", "yyyy-MM-dd").alias("Data"), site, part)
+    for writer in (one, two):
+        writer.write.option("header", True).partitionBy("part").mode("append").csv(path)
+    return path
+
+
+@query
+def src_readings_mixed(spark, d):
+    return rounded(R.src_readings(spark, two_writers(spark, d), "csv"))
+
+
+@query
+def src_lost_dates(spark, d):
+    """Texts that are no date, by the shape of their file: none, though the folder has two."""
+    lost = R.lost_dates(R.read_landed(spark, two_writers(spark, d), "csv"))
+    return lost.groupBy("shape").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_lost").alias("n_lost"))
+
+
 @query
 def src_optional(spark, d):
     sources = {
@@ -457,6 +487,15 @@ def parse_strict(spark, d):
     return T.events(spark, d).select("event_id", S.parse_strict(text).alias("at"))
 
 
+@query
+def parse_stamps(spark, d):
+    """Stamps of every shape that ``parse_strict`` knows."""
+    forms = {"iso": "yyyy-MM-dd HH:mm:ss", "month_slash": "M/d/yyyy H:mm:ss", "day_slash": "d/M/yyyy H:mm:ss"}
+    forms |= {"month_half": "M/d/yyyy h:mm:ss a", "month_dash": "M-d-yyyy H:mm:ss", "day_dash": "d-M-yyyy H:mm:ss"}
+    read = [S.parse_strict(F.date_format("ts", form), shape).alias(shape) for shape, form in forms.items()]
+    return T.events(spark, d).select("event_id", *read)
+
+
 @query
 def parse_utc(spark, d):
     """Stamps with an offset, in UTC, and without either, which is UTC too."""
@@ -682,6 +721,68 @@ def cls_knn_query(spark, d):
     return cls_knn(Q.classification_frame(model(spark, d)), ADV, CLASS_COLUMNS)
 
 
+@query
+def knn_pairs(spark, d):
+    """Pairs of a test day and an earlier day, and whether no more than these were compared."""
+    work = knn_work(Q.classification_frame(model(spark, d)), ADV, CLASS_COLUMNS)
+    return work.select("site", "n_pairs", (F.col("n_compared") <= F.col("n_pairs")).alias("bounded"))
+
+
+def of_sites(spark, d, learner, by=("target",)):
+    """Answers of one model for each site, target and fold, against the commonest class of its training days."""
+    frame = materialise(Q.classification_frame(model(spark, d)), "frame")
+    pred = cls_by_site(frame, ADV, CLASS_COLUMNS, learner)
+    folds = D.fold_expanding(frame.select(*SITE_DAY, *CLASS_COLUMNS), ["site"], ["dt"], 5).where("role = 'train'")
+    long = folds.unpivot(["site", "fold"], list(CLASS_COLUMNS), "target", "label")
+    counts = long.groupBy("site", "fold", "target", "label").agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.groupBy("site", "fold", "target").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("usual"), F.collect_set("label").alias("classes"))
+    right, usual = F.count_if(F.col("y") == F.col("p")), F.count_if(F.col("y") == F.col("usual"))
+    return pred.join(seen, ["site", "fold", "target"]).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("y").alias("sum_y"),
+        usual.alias("n_usual"),
+        F.count_if(~F.array_contains("classes", F.col("p"))).alias("n_foreign"),
+        (right > usual).alias("beats_majority"),
+    )
+
+
+@query
+def cls_logistic_sites(spark, d):
+    return of_sites(spark, d, "LogisticRegression")
+
+
+@query
+def cls_tree_sites(spark, d):
+    return of_sites(spark, d, "DecisionTree")
+
+
+@query
+def cls_svm_sites(spark, d):
+    """All targets together, with standardised inputs: as they are, wind directions alone would decide."""
+    return of_sites(spark, d, "ScaledSVM", [])
+
+
+@query
+def ar_tube(spark, d):
+    """Support vector autoregression of every site: rows, and whether its error beyond the tube is below the mean's."""
+    frame = materialise(model(spark, d).select(*SITE_DAY, "class_mean"), "frame")
+    pred = ar_predict_tube(frame, ar_fit_tube(frame, ["site"], "class_mean"), ["site"], "class_mean")
+    miss = lambda p: F.sum(F.greatest(F.abs(F.col("y") - p) - 0.1, F.lit(0.0)))
+    mean = F.avg("y").over(Window.partitionBy("site"))  # at most a row for each day
+    pred = pred.withColumn("mean", mean).groupBy("site").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("y").alias("sum_y"), (miss(F.col("p")) <= miss(F.col("mean")) + 1e-6).alias("no_worse")
+    )
+    return rounded(pred, 4)
+
+
+@query
+def forecast_tube_query(spark, d):
+    """Days ahead of every site by its support vector autoregression: as many as asked, within the scale of classes."""
+    frame = materialise(model(spark, d).select(*SITE_DAY, "class_mean"), "frame")
+    ahead = forecast_tube(ar_fit_tube(frame, ["site"], "class_mean"), last_values(frame, ["site"], "class_mean"))
+    return ahead.groupBy("site").agg(F.count(F.lit(1)).alias("n_days"), F.min("dt").alias("first"), F.max("dt").alias("last"), F.every(F.col("p").between(0.0, 6.0)).alias("on_scale"))
+
+
 @query
 def ar_gram_query(spark, d):
     gram = ar_gram(model(spark, d), ["site"], "class_mean")
@@ -757,6 +858,26 @@ def judged(pred, train, targets, bounded):
     return rounded(rows, 4)
 
 
+def judged_classes(pred, train, targets):
+    """Per target: test rows, their sum, those of the training rows' commonest class, and whether the fit beats that class.
+
+    ``n_foreign`` counts answers that are null or no class of the training rows;
+    ``beats_majority`` asks for more right answers than the commonest class would give.
+    """
+    part = lambda t: F.struct(F.lit(t).alias("target"), F.col(t).alias("v"))
+    counts = train.select(F.inline(F.array(*[part(t) for t in targets]))).where("v is not null").groupBy("target", "v").agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.groupBy("target").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("usual"), F.collect_set("v").alias("classes"))
+    right = F.count_if(F.col("y") == F.col("p"))
+    usual = F.count_if(F.col("y") == F.col("usual"))
+    return pred.join(F.broadcast(seen), "target").groupBy("target", "model").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("y").cast("long").alias("sum_y"),
+        usual.alias("n_usual"),
+        F.count_if(~F.coalesce(F.array_contains("classes", F.col("p").cast("int")), F.lit(False))).alias("n_foreign"),
+        (right > usual).alias("beats_majority"),
+    )
+
+
 def regress(spark, d, name, params, bounded=False):
     train, test = hold_out(Q.regression_frame(model(spark, d)))
     pred = fit_targets(fit_regressor, train, test, TARGETS, name, ADV, params)
@@ -766,7 +887,7 @@ def regress(spark, d, name, params, bounded=False):
 def classify(spark, d, name, params):
     train, test = hold_out(Q.classification_frame(model(spark, d)))
     pred = fit_targets(fit_classifier, train, test, CLASS_COLUMNS, name, ADV, params)
-    return judged(pred, train, CLASS_COLUMNS, True).drop("beats_mean")
+    return judged_classes(pred, train, CLASS_COLUMNS)
 
 
 # With the learners' default parameters, for all targets.

@@ -5,14 +5,17 @@ machine and is no Spark work. No reader infers types from the data.
 """
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skygrade.functions.scalars import (
+    DATE_SHAPES,
+    STAMP_SHAPES,
     as_utc,
-    date_shape,
+    commonest_shape,
+    in_shape,
     iso_week_year,
     no_nan,
     norm_name,
@@ -20,8 +23,10 @@ from skygrade.functions.scalars import (
     parse_strict,
     to_number,
     trunc_day,
+    try_stamp,
 )
-from skygrade.schema import POLLUTANTS, READING_EXTRAS, READING_NAMES, WEATHER_NAMES, text_schema
+from skygrade.schema import POLLUTANTS, READING_EXTRAS, READING_NAMES, WEATHER_NAMES
+from skygrade.sources.manifest import FILE, bound_rows, manifest, shapes_in_heads, shapes_in_rows, with_shapes
 
 
 class MissingColumns(ValueError):
@@ -42,30 +47,54 @@ def require_columns(df: DataFrame, names, source) -> DataFrame:
     return df
 
 
-def read_raw(spark: SparkSession, path, fmt) -> DataFrame:
-    """Raw table as it lies: CSV columns stay text, Parquet brings its own types."""
+@dataclass(frozen=True)
+class Landed:
+    """Rows as they lie, each with the path of its file in FILE, and the heads of CSV files."""
+
+    rows: DataFrame
+    files: DataFrame | None = None
+
+
+def read_landed(spark: SparkSession, path, fmt) -> Landed:
+    """Raw table of a folder: CSV columns stay text, Parquet brings its own types."""
     if fmt == "csv":
-        return read_csv(spark, path)
+        files = manifest(spark, path)
+        return Landed(bound_rows(spark, path, files), files)
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        return Landed(spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias(FILE)))
     raise ValueError(f"unknown format {fmt!r}")
 
 
+def read_raw(spark: SparkSession, path, fmt) -> DataFrame:
+    return read_landed(spark, path, fmt).rows.drop(FILE)
+
+
 def read_csv(spark: SparkSession, path) -> DataFrame:
-    """Text columns bound by the header of their own file: files of a folder may order them differently.
+    """Text columns bound by the header of their own file: files of a folder may order them differently."""
+    return read_raw(spark, path, "csv")
+
 
-    Files are grouped by header, which only the first line of each is read for;
-    a column that a file lacks is null there.
+def raw_names(name) -> list[str]:
+    """The headers that stand for a column, its own name among them."""
+    return [name, *[raw for names in (READING_NAMES, WEATHER_NAMES) for raw, known in names.items() if known == name]]
+
+
+def shaped(raw: DataFrame | Landed, name, shapes, parse, rename=READING_NAMES, drop=READING_EXTRAS) -> tuple[DataFrame, bool]:
+    """The repaired table, and whether ``name`` is text there; if so, ``_shape`` is how its file writes it.
+
+    The shape is that of the file's head (CSV) or of most of the file's values;
+    a frame that is not read from files counts as one file. It is empty where
+    nothing has any of the shapes.
     """
-    files = sorted(spark.read.format("binaryFile").load(path).select("path").toPandas()["path"])
-    headers = {}
-    for file in files:
-        header = tuple(spark.read.option("header", True).csv(file).columns)
-        headers.setdefault(header, []).append(file)
-    if not headers:
-        return spark.read.option("header", True).csv(path)
-    parts = [spark.read.schema(text_schema(list(h))).option("header", True).csv(f) for h, f in headers.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    landed = raw if isinstance(raw, Landed) else Landed(raw)
+    df = schema_repair(landed.rows, rename, drop)
+    if name not in df.columns or not isinstance(df.schema[name].dataType, T.StringType):
+        return df, False
+    if landed.files is not None:
+        return with_shapes(df, shapes_in_heads(landed.files, raw_names(name), shapes, parse)), True
+    if FILE in df.columns:
+        return with_shapes(df, shapes_in_rows(df, name, shapes, parse)), True
+    return df.withColumn("_shape", F.lit(commonest_shape(df, name, shapes, parse))), True
 
 
 def as_number(df: DataFrame, name):
@@ -73,30 +102,36 @@ def as_number(df: DataFrame, name):
     return to_number(name) if isinstance(df.schema[name].dataType, T.StringType) else no_nan(name)
 
 
-def canonical_readings(raw: DataFrame) -> DataFrame:
+def canonical_readings(raw: DataFrame | Landed) -> DataFrame:
     """Daily-dated readings: site, dt, yr, wk and the five pollutants.
 
-    Date text has the shape that most of it has; values of other shapes are null.
+    Date text has the shape of its file; values of other shapes are null.
     """
-    df = require_columns(schema_repair(raw, READING_NAMES, READING_EXTRAS), ("site", "dt", *POLLUTANTS), "readings")
-    text = isinstance(df.schema["dt"].dataType, T.StringType)
-    day = parse_dayfirst("dt", date_shape(df, "dt")) if text else trunc_day("dt")
+    df, text = shaped(raw, "dt", DATE_SHAPES, parse_dayfirst)
+    require_columns(df, ("site", "dt", *POLLUTANTS), "readings")
+    day = in_shape("dt", "_shape", DATE_SHAPES, parse_dayfirst) if text else trunc_day("dt")
     year, week = iso_week_year("dt")
     df = df.select("site", day.alias("dt"), *[as_number(df, p).alias(p) for p in POLLUTANTS])
     return df.select("site", "dt", year.alias("yr"), week.alias("wk"), *POLLUTANTS)
 
 
-def canonical_hourly(raw: DataFrame) -> DataFrame:
-    """Timestamped readings: site, ts, dt, yr, wk and the five pollutants."""
-    df = require_columns(schema_repair(raw, READING_NAMES, READING_EXTRAS), ("site", "ts", *POLLUTANTS), "readings")
+def canonical_hourly(raw: DataFrame | Landed) -> DataFrame:
+    """Timestamped readings: site, ts, dt, yr, wk and the five pollutants.
+
+    Stamps have the shape of their file; a text that has not fails the job.
+    """
+    df, text = shaped(raw, "ts", STAMP_SHAPES, try_stamp)
+    require_columns(df, ("site", "ts", *POLLUTANTS), "readings")
     year, week = iso_week_year("ts")
-    df = df.select("site", parse_strict("ts").alias("ts"), *[as_number(df, p).alias(p) for p in POLLUTANTS])
+    stamp = in_shape("ts", "_shape", STAMP_SHAPES, parse_strict, parse_strict) if text else parse_strict("ts")
+    df = df.select("site", stamp.alias("ts"), *[as_number(df, p).alias(p) for p in POLLUTANTS])
     return df.select("site", "ts", trunc_day("ts").alias("dt"), year.alias("yr"), week.alias("wk"), *POLLUTANTS)
 
 
-def canonical_weather(raw: DataFrame) -> DataFrame:
+def canonical_weather(raw: DataFrame | Landed) -> DataFrame:
     """Weather by site and UTC day; every other column is a number."""
-    df = require_columns(schema_repair(raw, WEATHER_NAMES), ("site", "dt"), "weather")
+    rows = raw.rows.drop(FILE) if isinstance(raw, Landed) else raw
+    df = require_columns(schema_repair(rows, WEATHER_NAMES), ("site", "dt"), "weather")
     rest = [c for c in df.columns if c not in ("site", "dt")]
     return df.select(
         norm_name("site").alias("site"),
@@ -106,15 +141,29 @@ def canonical_weather(raw: DataFrame) -> DataFrame:
 
 
 def src_readings(spark: SparkSession, path, fmt="parquet") -> DataFrame:
-    return canonical_readings(read_raw(spark, path, fmt))
+    return canonical_readings(read_landed(spark, path, fmt))
 
 
 def src_readings_hourly(spark: SparkSession, path, fmt="parquet") -> DataFrame:
-    return canonical_hourly(read_raw(spark, path, fmt))
+    return canonical_hourly(read_landed(spark, path, fmt))
 
 
 def src_weather(spark: SparkSession, path, fmt="csv") -> DataFrame:
-    return canonical_weather(read_raw(spark, path, fmt))
+    return canonical_weather(read_landed(spark, path, fmt))
+
+
+def lost_dates(raw: DataFrame | Landed, name="dt") -> DataFrame:
+    """Per file and shape: n_texts, the texts of its date column, and n_lost, those that are no date in that shape.
+
+    Reads that column alone. Dates that do not lie as text cannot be lost, so there are no rows then.
+    """
+    df, text = shaped(raw, name, DATE_SHAPES, parse_dayfirst)
+    if not text:
+        return df.sparkSession.createDataFrame([], f"{FILE} string, shape string, n_texts long, n_lost long")
+    file = F.col(FILE) if FILE in df.columns else F.lit(None).cast("string").alias(FILE)
+    known = F.count(in_shape(name, "_shape", DATE_SHAPES, parse_dayfirst))
+    counts = df.select(file, "_shape", name).groupBy(FILE, F.col("_shape").alias("shape"))
+    return counts.agg(F.count(name).alias("n_texts"), (F.count(name) - known).alias("n_lost"))
 
 
 @dataclass(frozen=True)
@@ -154,6 +203,7 @@ __all__ = [
     "canonical_hourly",
     "canonical_readings",
     "canonical_weather",
+    "lost_dates",
     "schema_repair",
     "src_optional",
     "src_readings",

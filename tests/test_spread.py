@@ -157,3 +157,13 @@ def test_correlation_from_key_moments_equals_the_join(spark):
     whole = list(combinations_with_replacement(["u", "v", "q"], 2))
     got = {(r.a, r.b): (r.r, r.n) for r in mirrored(corr_fan_out(one, many.na.drop(), ["k"], whole)).collect()}
     assert got == cells(corr_complete(joined, ["u", "v", "q"]))
+
+
+@pytest.mark.parametrize("fan", [2, 64])
+def test_sketches_are_merged_level_by_level(spark, fan):
+    rows = spark.range(40_000).repartition(40).select((F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(10_000)).cast("double").alias("value"))
+    got = stats.merged_sketches(rows, ["k"], fan, 4096)
+    for k, n, middle in got.select("k", "n_values", F.kll_sketch_get_quantile_double("sketch", F.lit(0.5))).collect():
+        assert n == rows.where(F.col("k") == k).count() and abs(middle - 5000) < 100
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in text
