@@ -10,8 +10,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrade.models.autoregressive import ar_fit, ar_predict, forecast_recursive, forecast_status, last_values
+from skygrade.models.autoregressive import (
+    ar_fit,
+    ar_fit_tube,
+    ar_predict,
+    ar_predict_tube,
+    forecast_recursive,
+    forecast_status,
+    forecast_tube,
+    last_values,
+)
 from skygrade.models.bayes import cls_naive_bayes
+from skygrade.models.by_site import cls_by_site
 from skygrade.models.estimators import CLASSIFIERS, GRIDS, candidates
 from skygrade.models.neighbours import cls_knn
 from skygrade.models.training import (
@@ -152,22 +162,24 @@ def regression(tables: Tables, advanced=False, site=None, grids=None, targets=TA
     return regression_results(frame.sparkSession, *done)
 
 
-def classification(tables: Tables, site=None, models=None, targets=CLASS_COLUMNS, workers=4, n_folds=5) -> DataFrame:
+def classification(tables: Tables, site=None, models=None, targets=CLASS_COLUMNS, workers=4, n_folds=5, apart=()) -> DataFrame:
     """Expanding-fold accuracy and weighted F1 of every classifier for every class column.
 
     ``models`` maps names of pooled classifiers to their parameters; the
-    neighbours and the naive Bayes classifier are always per district.
+    neighbours and the naive Bayes classifier are always per district, and so are
+    those named in ``apart`` (see ``by_site.LEARNERS``), all districts in one job.
     """
     frame = classification_frame(frame_for(tables, site))
     features, targets = present(feature_set_adv(), frame), present(targets, frame)
     frame = frame.select("site", "dt", *features, *targets)
     frame = materialise(frame, "frame")
-    models = {name: {} for name in CLASSIFIERS} if models is None else models
+    models = {name: {} for name in CLASSIFIERS if name not in apart} if models is None else models
     pooled, failed = cross_validate(frame, targets, models, features, n_folds, workers, site is None)
     named = lambda df, name: df.withColumn("model", F.lit(name)).select("site", "dt", "target", "model", "y", "p", "fold")
     frames = [
         named(cls_naive_bayes(frame, features, targets, n_folds=n_folds), "NaiveBayes"),
         named(cls_knn(frame, features, targets, n_folds=n_folds), "KNN"),
+        *[named(cls_by_site(frame, features, targets, name, n_folds=n_folds), name) for name in apart],
         *([pooled.select("site", "dt", "target", "model", "y", "p", "fold")] if pooled is not None else []),
     ]
     return classification_results(frame.sparkSession, materialise(union_all(frames), "answers"), failed)
@@ -189,17 +201,21 @@ class Forecast:
     recent: DataFrame
 
 
-def forecast(tables: Tables, site=None, col="class_mean", n=7, steps=7) -> Forecast:
-    """Autoregression of the mean class: in-sample scores, fitted values, days ahead, recent history."""
+def forecast(tables: Tables, site=None, col="class_mean", n=7, steps=7, tube=False) -> Forecast:
+    """Autoregression of the mean class: in-sample scores, fitted values, days ahead, recent history.
+
+    With ``tube`` it is support vector regression with a radial kernel, else ridge regression.
+    """
+    fit, predict, ahead = (ar_fit_tube, ar_predict_tube, forecast_tube) if tube else (ar_fit, ar_predict, forecast_recursive)
     frame = materialise(frame_for(tables, site).select("site", "dt", col), "series")
-    weights = materialise(ar_fit(frame, SERIES, col, n=n), "weights")
-    fitted = ar_predict(frame, weights, SERIES, col, n=n)
+    weights = materialise(fit(frame, SERIES, col, n=n), "weights")
+    fitted = predict(frame, weights, SERIES, col, n=n)
     last = last_values(frame, SERIES, col, n=n)
     metrics = {"mae": m_mae, "rmse": m_rmse, "r2": m_r2}
     return Forecast(
         union_all([score(fitted, SERIES).withColumn("metric", F.lit(name)) for name, score in metrics.items()]),
         fitted,
-        forecast_recursive(weights, last, n=n, steps=steps),
+        ahead(weights, last, n=n, steps=steps),
         forecast_status(last, n=n),
         tail_n(frame, SERIES, ORDER, HISTORY_DAYS),
     )

@@ -613,7 +613,8 @@ def oracles():
     out["forecast_tube"] = with_more("""
 last as (select site, max(dt) as dt, count(*) as n from model group by site)
 select site, 7::bigint as n_days, cast(dt + 1 as date) as first, cast(dt + 7 as date) as last, true as on_scale from last where n >= 8""")
-    for key, name in (("reg_random_forest", "RandomForest"), ("reg_boosted", "GradientBoosting")):
+    learners = {"reg_random_forest": "RandomForest", "reg_boosted": "GradientBoosting", "reg_boosted_leaves": "BestFirst", "reg_network": "Network"}
+    for key, name in learners.items():
         out[key] = regressed_sql(name)
     for key, name in CLASSIFIER_QUERIES.items():
         out[key] = classified_sql(name)

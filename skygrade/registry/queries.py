@@ -19,9 +19,11 @@ from skygrade.models.autoregressive import (
     last_values,
 )
 from skygrade.models.bayes import cls_naive_bayes
+from skygrade.models.boosted import fit_boosted
 from skygrade.models.by_site import cls_by_site
 from skygrade.models.estimators import GRIDS, candidates
 from skygrade.models.neighbours import cls_knn, knn_work
+from skygrade.models.network import Plan, fit_networks
 from skygrade.models.training import (
     classification_results,
     fit_classifier,
@@ -903,6 +905,24 @@ def reg_boosted(spark, d):
     return regress(spark, d, "GradientBoosting", {})
 
 
+@query
+def reg_boosted_leaves(spark, d):
+    """Best-first trees with 31 leaves, ten of them, for all targets at once."""
+    train, test = hold_out(Q.regression_frame(model(spark, d)))
+    pred = fit_boosted(train, ADV, TARGETS, n_estimators=10).predict(test, SITE_DAY)
+    return judged(pred.withColumn("model", F.lit("BestFirst")), train, TARGETS, False)
+
+
+@query
+def reg_network(spark, d):
+    """A network with one hidden layer of 64 for each target, trained in 300 common steps."""
+    train, test = hold_out(Q.regression_frame(model(spark, d)))
+    plans = [Plan(t, (64,), 0.0001) for t in range(len(TARGETS))]
+    fitted = fit_networks(train, ADV, TARGETS, plans, [300])
+    pred = fitted.predict(test, SITE_DAY, [(0, plan, 300) for plan in plans])
+    return judged(pred.withColumn("model", F.lit("Network")), train, TARGETS, False)
+
+
 @query
 def cls_random_forest(spark, d):
     return classify(spark, d, "RandomForest", {})

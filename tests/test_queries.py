@@ -13,7 +13,16 @@ from skygrade.sources import tables
 FOLDER = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
 #: Fits with default parameters take a minute and more; tests/check_all.py compares them with their SQL.
-LONG_FITS = {"reg_random_forest", "reg_boosted", "cls_svm", "cls_boosted", "cls_mlp", "grid_search_fitted"}
+LONG_FITS = {
+    "reg_random_forest",
+    "reg_boosted",
+    "reg_boosted_leaves",
+    "reg_network",
+    "cls_svm",
+    "cls_boosted",
+    "cls_mlp",
+    "grid_search_fitted",
+}
 
 
 @pytest.fixture(scope="module")
