@@ -71,3 +71,11 @@ def test_forecast(tables):
     assert out.status.where("status = 'ok'").count() == 3
     assert out.recent.groupBy("site").count().agg(F.max("count")).first()[0] <= 30
     assert out.fitted.count() == study.frame_for(tables).count() - 3 * 7
+
+
+def test_models_of_single_sites_and_the_tube(tables):
+    result = study.classification(tables, models={}, targets=["pm10_cls"], apart=("DecisionTree",)).collect()
+    assert {r.model for r in result} == {"NaiveBayes", "KNN", "DecisionTree"} and all(r.status == "ok" for r in result)
+    out, ridge = study.forecast(tables, tube=True), study.forecast(tables)
+    assert out.ahead.columns == ridge.ahead.columns and out.ahead.count() == ridge.ahead.count()
+    assert out.fitted.count() == ridge.fitted.count() and {r.metric for r in out.scores.collect()} == {"mae", "rmse", "r2"}
