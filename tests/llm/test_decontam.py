@@ -85,6 +85,51 @@ def test_recall_over_edits(spark):
     assert found(1) >= 0.95 and found(2) >= 0.9
 
 
+def test_pieces():
+    for length in range(D.SHORTEST, 700):
+        cut = D.pieces(length)
+        assert [a for a, _ in cut] == [sum(n for _, n in cut[:i]) for i in range(len(cut))] and sum(n for _, n in cut) == length
+        assert all(n <= D.PIECE and (n >= D.PIECE // 2 or len(cut) == 1) for _, n in cut)
+        # With as many edits as an item may have, not every piece can have more than it may have.
+        assert length < 15 or sum(D.tolerance(n) + 1 for _, n in cut) > D.tolerance(length)
+
+
+def spread_edits(text, k, pick):
+    """Exactly ``k`` edits at different words."""
+    ws = text.split()
+    for at in sorted(pick.sample(range(len(ws)), k), reverse=True):
+        kind = pick.randrange(3)
+        ws[at : at + (kind != 0)] = [f"new{pick.randrange(999)}"] if kind < 2 else []
+    return " ".join(ws)
+
+
+@pytest.mark.parametrize("length", [100, 200, 400])
+def test_recall_of_long_items(spark, length):
+    """Nine in ten again, with the most edits that count; copies begin, end and fill texts too."""
+    pick = random.Random(length)
+    items = [(i, words(f"long{i}", length)) for i in range(40)]
+    docs = []
+    for i, text in items:
+        leak = spread_edits(text, D.tolerance(length), pick)
+        before, after = (words(i, 150), words(-i, 150)) if i % 4 else ("", "")
+        docs += [(i, f"{before} {leak} {after}"), (100 + i, f"{before if i % 2 else ''} {text}")]
+        docs.append((200 + i, f"{before} {' '.join(text.split()[: length // 2])} {after}"))
+    got = {(r.doc_id, r.item_id): (r.edits, r.start) for r in leaks(spark, docs, items).collect()}
+    assert all(d % 100 == i and d < 200 for d, i in got), "half an item is none"
+    assert np.mean([(i, i) in got for i, _ in items]) >= 0.9
+    for i, _ in items:
+        assert got[100 + i, i] == (0, 150 if i % 4 and i % 2 else 0)
+    for (d, i), (edits, _) in got.items():
+        assert d >= 100 or edits == naive_edits(items[i][1].split(), dict(docs)[d].split())
+
+
+def test_texts_that_share_a_doc_id(spark):
+    item = words("item", 30)
+    docs = [(1, f"{words(1, 40)} {item}"), (1, f"{words(1, 40)} {item[:40]} {words(2, 40)}"), (1, words(3, 90))]
+    for order in (docs, docs[::-1]):
+        assert bag(leaks(spark, order, [(7, item)]), "doc_id", "item_id", "edits", "start") == [(1, 7, 0, 40)]
+
+
 def test_edited_items_of_one_length_back_to_back(spark):
     """An item does not hide the edited one before it."""
     pick = random.Random(8)
