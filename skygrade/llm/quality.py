@@ -1,14 +1,16 @@
 """Quality of documents: random-indexing word vectors, pooled, and a small network.
 
-Random indexing: each word form (the last three bytes of a word, hashed) has a
-fixed sparse index vector of four +1 or -1. Its context vector is the sum of the
-index vectors that stand within two places of it anywhere in the corpus. Tasks
-sum these over their partitions and Spark adds the sums up, so the vectors cover
-all documents while their number is fixed.
-
-A document is the mean of its words' vectors (weighted against frequent forms)
+Random indexing: each word (its whole bytes, hashed) has a fixed sparse index
+vector of four +1 or -1. The context vector of a word is the sum of the index vectors that
+stand within two places of it anywhere in the corpus. Words are counted over all
+documents by a shuffle; those that are at least one in 16,384 words, so at most
+as many, are given context vectors: tasks sum them over their partitions and Spark adds the sums up.
+Any rarer word has its own index vector for its vector, made from its hash where it is met.
+
+A document is the mean of its words' vectors (weighted against frequent words)
 together with their length, their spread, how alike neighbouring vectors are,
-how many are equal, and the expected error of a mean over so few words. A network of
+how many are equal, how many are rare, and the expected error of a mean over so few words. As extra features it has
+the mean of index vectors of its words' first and last three bytes. A network of
 two layers is trained in numpy on a bounded sample of labelled documents and
 calibrated with one temperature on a part of the sample kept apart.
 
@@ -26,99 +28,155 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
-from skygrade.llm.common import as_batches, map_batches, raw, slices, texts
-from skygrade.llm.shingles import mixed
+from skygrade.llm.common import Scratch, as_batches, map_batches, raw, slices, texts
+from skygrade.llm.shingles import mixed, word_hashes
 
-FORMS = 8192
-WIDTH = 64
+COMMON = 16_384  # a word that is at least one in so many has a context vector
+WIDTH = 64  # a power of two
 NONZERO = 4
 REACH = (-2, -1, 1, 2)
 BLOCK = 200_000  # words pooled at once
 SAMPLE = 20_000  # labelled documents that the network is fitted on, at most
 HIDDEN = 32
 REJECT_BELOW = 0.3
-POOLED = WIDTH + 5
+EDGE = 3  # bytes of a word's beginning and end
+STATED = 6  # features beside the means
+POOLED = 2 * WIDTH + STATED
 
 
-def forms(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxh3_64_intdigest(w[-3:]) for w in words), np.uint64, len(words)).astype(np.int64) & (FORMS - 1)
+def index_vectors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the nonzero entries of the index vectors that belong to hashes."""
+    noise = mixed(hashes)[:, None]
+    at = np.arange(NONZERO, dtype=np.uint64)
+    places = ((noise >> at * np.uint64(8)) & np.uint64(WIDTH - 1)).astype(np.int64)
+    return places, np.where((noise >> at + np.uint64(40)) & np.uint64(1), 1.0, -1.0)
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzero entries of each form's index vector, from a fixed rule."""
-    noise = mixed(np.arange(1, FORMS * NONZERO + 1, dtype=np.uint64)).reshape(FORMS, NONZERO)
-    places = (noise % np.uint64(WIDTH)).astype(np.int64)
-    return places, np.where((noise >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+def edges(words: list[bytes]) -> np.ndarray:
+    """First and last bytes of words as numbers."""
+    first = b"".join([w[:EDGE].ljust(EDGE + 1, b"\1") for w in words])
+    last = b"".join([w[-EDGE:].rjust(EDGE + 1, b"\2") for w in words])
+    return np.frombuffer(first + last, np.uint32).astype(np.uint64)
 
 
 def gathered(texts_: list[bytes]):
-    """Forms of all words of consecutive texts and the text of each word."""
+    """Hashes of all words of consecutive texts and the text of each word."""
     split = [t.split() for t in texts_]
-    found = forms([w for words in split for w in words])
+    found = word_hashes([w for words in split for w in words])
     return found, np.repeat(np.arange(len(split)), [len(words) for words in split])
 
 
-def context_sums(docs: DataFrame) -> DataFrame:
-    """(form, n, v0, v1, ...): occurrences and summed context vector of each form over all documents."""
-    names = ["form", "n", "v"]
+@dataclass
+class Words:
+    """Frequent words: sorted hashes, unit vectors, and weights that fall with the share of a word."""
+
+    hashes: np.ndarray
+    vectors: np.ndarray
+    weights: np.ndarray
+
+
+def look_up(hashes: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Places of hashes among sorted ones, -1 for others."""
+    if not len(sorted_):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(sorted_, hashes), len(sorted_) - 1)
+    return np.where(sorted_[at] == hashes, at, -1)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): hash and occurrences of each word over all documents; without a word, the number of all words."""
+
+    def run(batches):
+        for batch in batches:
+            for block in slices(raw(batch.column("text"))):
+                found, n = np.unique(gathered(block)[0], return_counts=True)
+                words = pa.array(np.append(found.view(np.int64), 0), mask=np.arange(len(n) + 1) == len(n))
+                yield from as_batches([words, np.append(n, n.sum()).astype(np.int64)], ["word", "n"])
+
+    partial = texts(docs).select("text").mapInArrow(run, "word long, n long")
+    return partial.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words that are at least one in ``COMMON``, and their shares: at most ``COMMON`` rows."""
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch.write(word_counts(docs), "words")
+    total = counted.where("word is null").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    rows = counted.where(F.col("word").isNotNull() & (F.col("n") * COMMON >= total)).toPandas()
+    scratch.drop(counted)
+    hashes = rows["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], rows["n"].to_numpy(np.float64)[order] / max(total, 1)
+
+
+def context_sums(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """(place, v0, v1, ...): summed context vector of each word of ``common`` over all documents."""
+    names = ["place", "v"]
 
     def run(batches):
-        places, signs = index_vectors()
-        total, counts = np.zeros(FORMS * WIDTH), np.zeros(FORMS, np.int64)
+        total = np.zeros(len(common) * WIDTH)
         for batch in batches:
             for block in slices(raw(batch.column("text"))):
                 found, owner = gathered(block)
-                counts += np.bincount(found, minlength=FORMS)
+                at, (places, signs) = look_up(found, common), index_vectors(found)
                 for reach in REACH:
-                    here, there = (found[:-reach], found[reach:]) if reach > 0 else (found[-reach:], found[:reach])
-                    same = owner[:-reach] == owner[reach:] if reach > 0 else owner[-reach:] == owner[:reach]
-                    here, there = here[same] * WIDTH, there[same]
+                    here, there = (slice(None, -reach), slice(reach, None)) if reach > 0 else (slice(-reach, None), slice(None, reach))
+                    used = np.flatnonzero((owner[here] == owner[there]) & (at[here] >= 0))
+                    row = at[here][used] * WIDTH
                     for k in range(NONZERO):
-                        total += np.bincount(here + places[there, k], signs[there, k], FORMS * WIDTH)
-        used = np.flatnonzero(counts)
+                        total += np.bincount(row + places[there][used, k], signs[there][used, k], len(total))
+        vectors = total.reshape(-1, WIDTH)
+        used = np.flatnonzero(vectors.any(axis=1))
         if len(used):
-            vectors = total.reshape(FORMS, WIDTH)[used].astype(np.float32)
-            yield from as_batches([used.astype(np.int32), counts[used], pa.array(list(vectors), pa.list_(pa.float32()))], names)
+            yield from as_batches([used.astype(np.int32), pa.array(list(vectors[used].astype(np.float32)), pa.list_(pa.float32()))], names)
 
-    partial = texts(docs).select("text").mapInArrow(run, "form int, n long, v array<float>")
-    return partial.groupBy("form").agg(F.sum("n").alias("n"), *(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(WIDTH)))
+    partial = texts(docs).select("text").mapInArrow(run, "place int, v array<float>")
+    return partial.groupBy("place").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(WIDTH)))
 
 
-def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of all forms and their weights; both of fixed size, so the driver may hold them."""
-    rows = context_sums(docs).toPandas()
-    vectors, weights = np.zeros((FORMS, WIDTH), np.float32), np.ones(FORMS, np.float32)
-    if len(rows):
-        at = rows["form"].to_numpy()
+def word_vectors(docs: DataFrame) -> Words:
+    """Unit vectors and weights of the frequent words; their number is bounded, so the driver may hold them."""
+    common, share = common_words(docs)
+    vectors = np.zeros((len(common), WIDTH), np.float32)
+    if len(common):
+        rows = context_sums(docs, common).toPandas()
         found = rows[[f"v{i}" for i in range(WIDTH)]].to_numpy(np.float64)
-        vectors[at] = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
-        share = rows["n"].to_numpy() / rows["n"].sum()
-        weights[at] = 1e-3 / (1e-3 + share)
-    return vectors, weights
+        vectors[rows["place"].to_numpy(np.int64)] = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
+    return Words(common, vectors, (1e-3 / (1e-3 + share)).astype(np.float32))
 
 
-def pool(texts_: list[bytes], vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """One row per text: weighted mean of word vectors, its length, spread, likeness and equality of neighbours, error."""
+def pool(texts_: list[bytes], known: Words) -> np.ndarray:
+    """One row per text: weighted mean of word vectors, what is stated of them, and the mean of its words' beginnings and ends."""
     out = np.zeros((len(texts_), POOLED), np.float32)
+    unit = NONZERO**-0.5
     for place, text in enumerate(texts_):
         words = text.split()
-        total, weight, square, alike, equal = np.zeros(WIDTH), 0.0, 0.0, 0.0, 0
+        total, ends, weight, square, alike, equal, rare = np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0, 0.0, 0, 0
         for start in range(0, len(words), BLOCK):
-            found = forms(words[start : start + BLOCK])
-            own, w = vectors[found], weights[found]
+            block = words[start : start + BLOCK]
+            hashes = word_hashes(block)
+            at = look_up(hashes, known.hashes)
+            own, w = np.zeros((len(at), WIDTH), np.float32), np.ones(len(at), np.float32)
+            hit, others = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            own[hit], w[hit] = known.vectors[at[hit]], known.weights[at[hit]]
+            places, signs = index_vectors(hashes[others])
+            for k in range(NONZERO):
+                own[others, places[:, k]] += unit * signs[:, k]
             total += w @ own
             weight += w.sum()
             square += (w * (own * own).sum(1)).sum()
             alike += np.einsum("ij,ij->", own[1:], own[:-1])
-            equal += np.count_nonzero(found[1:] == found[:-1])
+            equal += np.count_nonzero(hashes[1:] == hashes[:-1])
+            rare += len(others)
+            places, signs = index_vectors(edges(block))
+            ends += np.bincount(places.ravel(), signs.ravel(), WIDTH)
         if words:
             mean = total / max(weight, 1e-9)
             length = float(mean @ mean)
-            out[place, :WIDTH] = mean
             spread, pairs = max(square / max(weight, 1e-9) - length, 0) ** 0.5, max(len(words) - 1, 1)
-            out[place, WIDTH:] = length**0.5, spread, alike / pairs, equal / pairs, len(words) ** -0.5
+            stated = length**0.5, spread, alike / pairs, equal / pairs, rare / len(words), len(words) ** -0.5
+            out[place] = np.concatenate([mean, stated, ends / (2 * len(words))])
     return out
 
 
@@ -178,7 +236,7 @@ def remainder(column):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-def learn(docs: DataFrame, labels: DataFrame, vectors, weights, sample=SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, known: Words, sample=SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents, those with the smallest hashes of doc_id."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder("doc_id") != 0))
     one = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
@@ -187,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, vectors, weights, sample=SAMPLE) -
     found = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", F.col("good").cast("double").alias("good"), apart)
 
     def run(batch):
-        rows = pool(raw(batch.column("text")), vectors, weights)
+        rows = pool(raw(batch.column("text")), known)
         return [pa.array(list(rows), pa.list_(pa.float32())), batch.column("good"), batch.column("apart")]
 
     # Bounded by ``sample`` unless documents repeat an id, so the bound holds for the rows too.
@@ -199,12 +257,12 @@ def learn(docs: DataFrame, labels: DataFrame, vectors, weights, sample=SAMPLE) -
 
 def scorer(docs: DataFrame, labels: DataFrame, sample=SAMPLE):
     """A column function from text to score, learned from ``docs`` and ``labels``."""
-    vectors, weights = word_vectors(docs)
-    model = learn(docs, labels, vectors, weights, sample)
+    known = word_vectors(docs)
+    model = learn(docs, labels, known, sample)
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        parts = [model.scores(pool(block, vectors, weights)) for block in slices(raw(text))]
+        parts = [model.scores(pool(block, known)) for block in slices(raw(text))]
         return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     return score

@@ -25,33 +25,88 @@ def test_held_out_accuracy_and_calibration(spark):
     assert ((both["score"] - both["quality"]) ** 2).mean() < 0.03
 
 
-def test_context_vectors_equal_a_plain_computation(spark):
-    texts = ["a b a c", "c", "d a"]
+def test_context_vectors_equal_a_plain_computation(spark, monkeypatch):
+    monkeypatch.setattr(Q, "COMMON", 4)
+    texts = ["a b a c", "c", "d a", None, ""]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
-    places, signs = Q.index_vectors()
-    want, counts = np.zeros((Q.FORMS, Q.WIDTH)), np.zeros(Q.FORMS, int)
-    for text in texts:
-        found = Q.forms(text.encode().split())
-        for i, form in enumerate(found):
-            counts[form] += 1
+    hashed = {w: int(Q.word_hashes([w.encode()])[0]) for w in "abcd"}
+    common, share = Q.common_words(docs)
+    assert common.tolist() == sorted(hashed[w] for w in "ac"), "three and two of seven words"
+    assert sorted(share) == [2 / 7, 3 / 7]
+    want = {hashed[w]: np.zeros(Q.WIDTH) for w in "ac"}
+    for text in filter(None, texts):
+        found = [hashed[w] for w in text.split()]
+        for i, word in enumerate(found):
             for reach in Q.REACH:
-                if 0 <= i + reach < len(found):
-                    np.add.at(want[form], places[found[i + reach]], signs[found[i + reach]])
-    rows = Q.context_sums(docs).toPandas().set_index("form")
-    for form in np.flatnonzero(counts):
-        assert rows.loc[form, "n"] == counts[form]
-        assert np.allclose(rows.loc[form, [f"v{i}" for i in range(Q.WIDTH)]].to_numpy(float), want[form])
+                if word in want and 0 <= i + reach < len(found):
+                    places, signs = Q.index_vectors(np.array([found[i + reach]], np.uint64))
+                    np.add.at(want[word], places[0], signs[0])
+    rows = Q.context_sums(docs, common).toPandas().set_index("place")
+    for place, word in enumerate(common.tolist()):
+        assert np.allclose(rows.loc[place, [f"v{i}" for i in range(Q.WIDTH)]].to_numpy(float), want[word])
+    known = Q.word_vectors(docs)
+    assert np.allclose([v @ v for v in known.vectors], 1) and (known.hashes == common).all()
+
+
+def test_words_have_vectors_of_their_own():
+    """Of frequent words that share their ends, none shares its index vector or looks up another's place."""
+    hashes = Q.word_hashes([b"%dsame" % i for i in range(3000)])
+    places, signs = Q.index_vectors(hashes)
+    assert len({(*p, *s) for p, s in zip(places.tolist(), signs.tolist())}) > 2990
+    assert Q.look_up(hashes, np.sort(hashes)[::2]).max() == 1499 and (Q.look_up(hashes[:5], hashes[:0]) == -1).all()
+
+
+def some_words(pick, n):
+    return Q.Words(np.sort(Q.word_hashes([str(i).encode() for i in range(n)])), pick.normal(size=(n, Q.WIDTH)).astype(np.float32), pick.random(n).astype(np.float32))
 
 
 def test_pooling_in_blocks_equals_pooling_at_once(monkeypatch):
     pick = np.random.default_rng(1)
-    vectors, weights = pick.normal(size=(Q.FORMS, Q.WIDTH)).astype(np.float32), pick.random(Q.FORMS).astype(np.float32)
-    text = words(1, 500).encode()
-    whole = Q.pool([text], vectors, weights)
+    known = some_words(pick, 300)
+    text = (words(1, 300) + " " + " ".join(map(str, pick.integers(0, 400, 200)))).encode()
+    whole = Q.pool([text], known)
     monkeypatch.setattr(Q, "BLOCK", 100)
-    parts = Q.pool([text], vectors, weights)
-    assert np.allclose(whole[0, : Q.WIDTH], parts[0, : Q.WIDTH], atol=1e-5)
-    assert not Q.pool([b"", b" \n"], vectors, weights).any()
+    parts = Q.pool([text], known)
+    same = [*range(Q.WIDTH), Q.WIDTH + 4, *range(Q.WIDTH + Q.STATED, Q.POOLED)]
+    assert np.allclose(whole[0, same], parts[0, same], atol=1e-5)
+    assert not Q.pool([b"", b" \n"], known).any()
+
+
+def test_words_pool_to_their_vectors():
+    """The mean over a text of frequent and rare words, word by word."""
+    known = some_words(np.random.default_rng(3), 50)
+    ws = [b"7", b"49", b"never", b"7", b"seen"]
+    total, weight = np.zeros(Q.WIDTH), 0.0
+    for w in ws:
+        at = Q.look_up(Q.word_hashes([w]), known.hashes)[0]
+        vector, own = (known.vectors[at], known.weights[at]) if at >= 0 else (np.zeros(Q.WIDTH), 1.0)
+        if at < 0:
+            places, signs = Q.index_vectors(Q.word_hashes([w]))
+            np.add.at(vector, places[0], signs[0] / 2)
+        total, weight = total + own * vector, weight + own
+    got = Q.pool([b" ".join(ws)], known)[0]
+    assert np.allclose(got[: Q.WIDTH], total / weight, atol=1e-5) and got[Q.WIDTH + 4] == np.float32(0.4)
+
+
+@pytest.mark.parametrize("mark", ["beginning", "stem", "end", "word"])
+def test_signal_anywhere_in_words(spark, mark):
+    """Documents of poor quality have some words with another beginning, stem or end, or other words."""
+    pick = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}{c}" for a, b, c in zip(*(words(i, 400).split() for i in range(3)))]
+    spoiled = {
+        "beginning": lambda w: "zq" + w,
+        "stem": lambda w: w[:4] + "zq" + w[4:],
+        "end": lambda w: w + "zq",
+        "word": lambda w: vocabulary[pick.integers(0, 20)],
+    }[mark]
+    rows, marks = [], []
+    for i in range(900):
+        text = [vocabulary[j] for j in pick.integers(0, 400, 80)]
+        good = i % 3 != 0
+        rows.append((i, " ".join(w if good or pick.random() > 0.3 else spoiled(w) for w in text)))
+        marks.append((i, int(good), 0))
+    found = Q.score_quality(frame(spark, rows), labels(spark, marks)).where("held_out").collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 3 != 0) for r in found]) >= 0.9
 
 
 def test_temperature_calibrates():
