@@ -1,0 +1,102 @@
+"""Trees over all sites: equal to plain growth, the same however rows are dealt, sites as inputs, few passes."""
+
+import datetime as dt
+import json
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skygrade.models import trees, training
+from skygrade.models.estimators import CLASSIFIERS, REGRESSORS
+from skygrade.session import materialise
+
+DAY = dt.date(2024, 1, 1)
+
+
+def rows_of(n_sites=12, n=30, seed=1):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for s in range(n_sites):
+        for i in range(n):
+            x, z = rng.normal(size=2)
+            cls = int(x > 0) + int(z > 0.5) + 3 * int(s == 2)
+            rows.append((f"S{s}", DAY + dt.timedelta(days=i), float(x), float(z), float(2 * x - z + 5 * (s == 2)), cls, 7))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def parts(spark):
+    df = spark.createDataFrame(rows_of(), "site string, dt date, x double, z double, value double, cls int, flat int")
+    df = materialise(df)
+    return df.where(F.col("dt") < DAY + dt.timedelta(days=24)), df.where(F.col("dt") >= DAY + dt.timedelta(days=24))
+
+
+def jobs_of(spark, run):
+    """Result of ``run`` and the number of Spark jobs that it started."""
+    tag = f"count-{run.__name__}"
+    spark.sparkContext.setJobGroup(tag, tag)
+    try:
+        out = run()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def answers(df):
+    return {(r.site, r.dt, r.target): (r.y, r.p) for r in df.collect()}
+
+
+def plain_boost(x, site, y, tx, tsite, rounds, depth, rate, logistic):
+    """The same trees with loops over all cuts."""
+    edges = [np.unique(np.quantile(x[:, f], np.arange(1, trees.BINS) / trees.BINS, method="inverted_cdf")) for f in range(x.shape[1])]
+    bins, tbins = ([np.searchsorted(e, v[:, f]) for f, e in enumerate(edges)] for v in (x, tx))
+
+    def grow(rows, g, trows, depth, out, tout):
+        best, chosen = 1e-9, None
+        if depth and len(rows) > 1:
+            for test in [(f, b) for f in range(len(edges)) for b in range(trees.BINS)] + [(-1, s) for s in sorted(set(site))]:
+                left = (bins[test[0]][rows] <= test[1]) if test[0] >= 0 else site[rows] == test[1]
+                if 0 < left.sum() < len(rows):
+                    gain = sum(g[rows[side]].sum() ** 2 / side.sum() for side in (left, ~left)) - g[rows].sum() ** 2 / len(rows)
+                    if gain > best + 1e-9:
+                        best, chosen = gain, test
+        if chosen is None:
+            out[rows], tout[trows] = g[rows].mean(), g[rows].mean()
+            return
+        f, b = chosen
+        goes, tgoes = (bins[f][rows] <= b, tbins[f][trows] <= b) if f >= 0 else (site[rows] == b, tsite[trows] == b)
+        for side, tside in ((goes, tgoes), (~goes, ~tgoes)):
+            grow(rows[side], g, trows[tside], depth - 1, out, tout)
+
+    f, tf = np.zeros(len(x)), np.zeros(len(tx))
+    for k in range(rounds):
+        g = y if not k else (4 * y / (1 + np.exp(2 * y * f)) if logistic else 2 * (y - f))
+        out, tout = np.zeros(len(x)), np.zeros(len(tx))
+        grow(np.arange(len(x)), g, np.arange(len(tx)), depth, out, tout)
+        f, tf = f + (rate if k else 1) * out, tf + (rate if k else 1) * tout
+    return tf
+
+
+def arrays(df):
+    g = df.toPandas().sort_values(["site", "dt"])
+    return g, g[["x", "z"]].to_numpy(), g.site.to_numpy()
+
+
+def test_boosted_classes_equal_plain_growth_in_one_pass_a_level(spark, parts):
+    """All classes grow together: no job of its own for each class, tree and level."""
+    train, test = parts
+    (t, x, s), (q, tx, ts) = arrays(train), arrays(test)
+    models = [("cls", c) for c in sorted(t.cls.unique())]
+
+    def run():
+        return trees.boost(train, test, ["x", "z"], models, 7, 3, 0.1).orderBy("site", "dt").collect()
+
+    got, jobs = jobs_of(spark, run)
+    assert jobs < 7 * 3 * 4
+    for m, (_, c) in enumerate(models):
+        want = plain_boost(x, s, np.where(t.cls == c, 1.0, -1.0), tx, ts, 7, 3, 0.1, True)
+        assert np.array([r._f[m] for r in got]) == pytest.approx(want, abs=1e-6)
+    params = {"n_estimators": 7}
+    pred = answers(training.fit_targets(training.fit_classifier, train, test, ["cls", "flat"], "GradientBoosting", ["x", "z"], params))
+    assert {k[2] for k in pred} == {"cls"} and len(pred) == 72 and np.mean([y == p for y, p in pred.values()]) > 0.8
