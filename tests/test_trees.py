@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import uuid
 
 import numpy as np
 import pytest
@@ -34,7 +35,7 @@ def parts(spark):
 
 def jobs_of(spark, run):
     """Result of ``run`` and the number of Spark jobs that it started."""
-    tag = f"count-{run.__name__}"
+    tag = uuid.uuid4().hex
     spark.sparkContext.setJobGroup(tag, tag)
     try:
         out = run()
@@ -100,3 +101,24 @@ def test_boosted_classes_equal_plain_growth_in_one_pass_a_level(spark, parts):
     params = {"n_estimators": 7}
     pred = answers(training.fit_targets(training.fit_classifier, train, test, ["cls", "flat"], "GradientBoosting", ["x", "z"], params))
     assert {k[2] for k in pred} == {"cls"} and len(pred) == 72 and np.mean([y == p for y, p in pred.values()]) > 0.8
+
+
+def class_fit(name, parts, params, target="cls"):
+    return training.fit_classifier(*parts, target, name, ["x", "z"], params)
+
+
+def test_forest_of_classes_grows_together(spark, parts):
+    got, jobs = jobs_of(spark, lambda: answers(class_fit("RandomForest", parts, {"n_estimators": 40})))
+    assert jobs < 40 and len(got) == 72
+    assert np.mean([y == p for y, p in got.values()]) > 0.75
+    assert class_fit("RandomForest", parts, {}, "flat") is None
+
+
+@pytest.mark.parametrize("root", [False, True])
+def test_forests_do_not_depend_on_where_nodes_are_finished(spark, parts, monkeypatch, root):
+    """Growth by passes down to small nodes, and in one task, gives the same answers."""
+    learner = lambda: trees.Forest(5, 30, root, 42).answers(*parts, ["x", "z"], "cls", [0, 1, 2, 3, 4, 5])
+    whole = {(r.site, r.dt): r.p for r in learner().collect()}
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 40)
+    monkeypatch.setattr(trees, "LEAVES_PER_PASS", 3)
+    assert {(r.site, r.dt): r.p for r in learner().collect()} == whole
