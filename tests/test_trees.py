@@ -122,3 +122,15 @@ def test_forests_do_not_depend_on_where_nodes_are_finished(spark, parts, monkeyp
     monkeypatch.setattr(trees, "LOCAL_ROWS", 40)
     monkeypatch.setattr(trees, "LEAVES_PER_PASS", 3)
     assert {(r.site, r.dt): r.p for r in learner().collect()} == whole
+
+
+def test_tree_of_classes_splits_leaves_of_any_size(spark, parts, monkeypatch):
+    """A single tree is as good on its own rows as its bins allow, and rows of a site are told apart."""
+    train, _ = parts
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 50)
+    got, jobs = jobs_of(spark, lambda: answers(class_fit("DecisionTree", (train, train), {})))
+    assert jobs < 60 and len(got) == 288
+    assert np.mean([y == p for y, p in got.values()]) > 0.97
+    flat = train.withColumns({"x": F.lit(0.0), "z": F.lit(0.0)})  # only sites can be told apart
+    site = answers(class_fit("DecisionTree", (flat, flat.where("site = 'S2'")), {"max_depth": 1}))
+    assert {p for _, p in site.values()} <= {3, 4, 5}
