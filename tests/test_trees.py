@@ -134,3 +134,13 @@ def test_tree_of_classes_splits_leaves_of_any_size(spark, parts, monkeypatch):
     flat = train.withColumns({"x": F.lit(0.0), "z": F.lit(0.0)})  # only sites can be told apart
     site = answers(class_fit("DecisionTree", (flat, flat.where("site = 'S2'")), {"max_depth": 1}))
     assert {p for _, p in site.values()} <= {3, 4, 5}
+
+
+def test_boosted_values_equal_plain_growth(spark, parts):
+    train, test = parts
+    (t, x, s), (_, tx, ts) = arrays(train), arrays(test)
+    fit = lambda: training.fit_targets(training.fit_regressor, train, test, ["value", "x"], "GradientBoosting", ["x", "z"], {"n_estimators": 6, "num_leaves": 4})
+    pred, jobs = jobs_of(spark, lambda: fit().where("target = 'value'").orderBy("site", "dt").collect())
+    assert jobs < 6 * 2 * 5
+    want = plain_boost(x, s, t.value.to_numpy(), tx, ts, 6, 2, 0.1, False)
+    assert np.array([r.p for r in pred]) == pytest.approx(want, abs=1e-6)
