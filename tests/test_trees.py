@@ -144,3 +144,14 @@ def test_boosted_values_equal_plain_growth(spark, parts):
     assert jobs < 6 * 2 * 5
     want = plain_boost(x, s, t.value.to_numpy(), tx, ts, 6, 2, 0.1, False)
     assert np.array([r.p for r in pred]) == pytest.approx(want, abs=1e-6)
+
+
+def test_forest_of_values(spark, parts):
+    """One unlimited tree answers its own rows; a forest explains most of unseen rows, in few jobs."""
+    train, test = parts
+    fit = lambda test, n: training.fit_regressor(train, test, "value", "RandomForest", ["x", "z"], {"n_estimators": n})
+    own = np.array([v for v in answers(fit(train, 1)).values()])
+    assert np.abs(own[:, 0] - own[:, 1]).max() < 0.6
+    got, jobs = jobs_of(spark, lambda: np.array([v for v in answers(fit(test, 30)).values()]))
+    assert jobs < 30 and len(got) == 72
+    assert 1 - ((got[:, 0] - got[:, 1]) ** 2).sum() / ((got[:, 0] - got[:, 0].mean()) ** 2).sum() > 0.8
