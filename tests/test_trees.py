@@ -155,3 +155,19 @@ def test_forest_of_values(spark, parts):
     got, jobs = jobs_of(spark, lambda: np.array([v for v in answers(fit(test, 30)).values()]))
     assert jobs < 30 and len(got) == 72
     assert 1 - ((got[:, 0] - got[:, 1]) ** 2).sum() / ((got[:, 0] - got[:, 0].mean()) ** 2).sum() > 0.8
+
+
+def test_search_of_forests_takes_few_jobs(spark, parts):
+    """Candidates are searched on folds and refitted without a job for each tree and level."""
+    split = materialise(parts[0].withColumn("role", F.lit("train")).unionByName(parts[1].withColumn("role", F.lit("test"))))
+    grids = {"RandomForest": [{"n_estimators": 20, "max_depth": d} for d in (2, None)]}
+    pred, chosen, failed = training.train_regressors(split, ["value"], grids, ["x", "z"], expanding=True, n=2)
+    assert not failed and json.loads(chosen["value", "RandomForest"])["max_depth"] is None
+    assert pred.count() == 72
+    assert isinstance(REGRESSORS["RandomForest"]({}, {}), trees.Forest) and isinstance(CLASSIFIERS["DecisionTree"]({}, {}), trees.Forest)
+
+
+def test_incomplete_inputs_are_refused(spark, parts):
+    train, test = parts
+    with pytest.raises(Exception, match="complete"):
+        class_fit("DecisionTree", (train, test.withColumn("z", F.when(F.col("dt") < DAY + dt.timedelta(days=26), F.col("z")))), {}).collect()
