@@ -174,19 +174,17 @@ def counted_brackets(values: DataFrame, keys, probs) -> DataFrame:
     A range that should miss its position is opened to all values, so the result
     does not rest on the sketch.
     """
-    looked_up = lookup_join(values, sketched_brackets(values, keys, probs), keys)
+    sketched = materialise(sketched_brackets(values, keys, probs), "sketched")  # a row per key
+    looked_up = lookup_join(values, sketched, keys)
     value, bracket = F.col("value"), lambda i: F.col("brackets")[i]
-    under = lambda i: F.count(F.when(value < bracket(i)["lo"], 1))
-    upto = lambda i: F.count(F.when(value <= bracket(i)["hi"], 1))
-    counts = looked_up.groupBy(*keys).agg(
-        F.first("n_values").alias("n_values"),
-        F.first("brackets").alias("brackets"),
-        F.array(*[under(i) for i in range(len(probs))]).alias("under"),
-        F.array(*[upto(i) for i in range(len(probs))]).alias("upto"),
-    )
+    under = lambda i: F.count(F.when(value < bracket(i)["lo"], 1)).alias(f"under{i}")
+    upto = lambda i: F.count(F.when(value <= bracket(i)["hi"], 1)).alias(f"upto{i}")
+    # Numbers alone are counted in a hash table of a row per key; with an array among them Spark would sort all values.
+    counts = looked_up.groupBy(*keys).agg(*[f(i) for i in range(len(probs)) for f in (under, upto)])
+    counts = counts.join(sketched, keys)
 
     def checked(i):
-        b, under, upto = bracket(i), F.col("under")[i], F.col("upto")[i]
+        b, under, upto = bracket(i), F.col(f"under{i}"), F.col(f"upto{i}")
         holds = (under <= F.floor(b["at"])) & (F.ceil(b["at"]) < upto)
         return F.struct(
             b["name"].alias("name"),

@@ -107,6 +107,20 @@ def test_sketch_narrows_the_sorted_part(spark):
     assert all(0 < n < 1000 for n in counts)
 
 
+def test_values_are_counted_without_a_sort(skewed, monkeypatch):
+    """Counts under the ranges keep a row per key, whatever the number of values."""
+    plans = {}
+
+    def seen(df, label="table", partition_by=()):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return materialise(df, label, partition_by)
+
+    monkeypatch.setattr(stats, "materialise", seen)
+    values = skewed.where("k is not null").select("k", F.lit("v").alias("col"), F.col("v").alias("value"))
+    counted_brackets(values, ["k", "col"], QUARTILES)
+    assert "HashAggregate" in plans["brackets"] and "SortAggregate" not in plans["brackets"]
+
+
 def test_row_numbers_of_large_groups(spark, skewed):
     rows = skewed.where("k is not null").withColumn("id", F.monotonically_increasing_id())
     numbered = number_rows(rows, ["k"], [F.col("v").desc(), F.col("id").asc()]).toPandas()
