@@ -40,41 +40,68 @@ class Logistic:
         return np.column_stack([np.zeros(len(x)), x @ w.T]) if self.two else x @ w.T
 
     def loss(self, w, x, rows, y):
+        """The penalised loss, and the probability of each class."""
         scores = self.scores(w, x)
-        top = scores.max(axis=1)
-        return (np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top - scores[rows, y]).sum() + self.penalty * (w[:, 1:] ** 2).sum() / 2
+        top = scores.max(axis=1, keepdims=True)
+        shares = np.exp(scores - top)
+        total = shares.sum(axis=1, keepdims=True)
+        return (np.log(total) + top).sum() - scores[rows, y].sum() + self.penalty * (w[:, 1:] ** 2).sum() / 2, shares / total
+
+    @staticmethod
+    def prepared(x):
+        """Centre, directions and coordinates of the rows: with fewer rows than inputs the coefficients lie in the rows' span."""
+        centre = x.mean(axis=0)
+        if len(x) > x.shape[1]:
+            return centre, np.eye(x.shape[1]), x - centre
+        u, size, axes = np.linalg.svd(x - centre, full_matrices=False)
+        return centre, axes, u * size
 
     def fit(self, x, y, classes):
+        return self.fit_prepared(self.prepared(x), y, classes)
+
+    def fit_prepared(self, given, y, classes):
         self.two = classes == 2
-        self.centre = x.mean(axis=0)
-        x = np.column_stack([np.ones(len(x)), x - self.centre])
+        self.centre, axes, x = given
+        x = np.column_stack([np.ones(len(x)), x])
         rows, width = np.arange(len(x)), x.shape[1]
         free = 1 if self.two else classes
         w = np.zeros((free, width))
         ridge = np.tile(np.r_[0.0, np.full(width - 1, self.penalty)], free)
         onehot = np.eye(classes)[y][:, classes - free :]
-        now = self.loss(w, x, rows, y)
+        now, p = self.loss(w, x, rows, y)
+        own, starts = np.arange(free), np.arange(0, w.size, width)
         for _ in range(self.steps):
-            p = softmax(self.scores(w, x))[:, classes - free :]
+            p = p[:, classes - free :]
             slope = ((p - onehot).T @ x).ravel() + ridge * w.ravel()
             if np.abs(slope).max() <= self.tolerance * len(x):
                 break
             weighted = (p[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-            bend = np.diag(ridge) - weighted.T @ weighted
-            for c in range(free):
-                at = slice(c * width, (c + 1) * width)
-                bend[at, at] += x.T @ (p[:, c : c + 1] * x)
-            # Adding one number to all intercepts changes nothing, hence the least-squares solution.
-            step = np.linalg.lstsq(bend, slope, rcond=1e-13)[0].reshape(w.shape)
+            bend = -weighted.T @ weighted
+            bend.ravel()[:: len(bend) + 1] += ridge
+            bend.reshape(free, width, free, width)[own, :, own, :] += x.T @ (p.T[:, :, None] * x)
+            step = self.newton(bend, slope, starts).reshape(w.shape)
             size = 1.0
-            while size > 1e-8 and (then := self.loss(w - size * step, x, rows, y)) > now - 1e-4 * size * (slope @ step.ravel()):
+            while size > 1e-8:
+                then, p = self.loss(w - size * step, x, rows, y)
+                if then <= now - 1e-4 * size * (slope @ step.ravel()):
+                    break
                 size /= 2
             if size <= 1e-8:
                 break
             w, now = w - size * step, then
-        self.w = w
+        self.w = np.column_stack([w[:, 0], w[:, 1:] @ axes])
         return self
 
+    def newton(self, bend, slope, intercepts):
+        """The step; adding one number to the intercepts of all classes changes nothing, so the step has no part of that."""
+        if not self.two:
+            bend[np.ix_(intercepts, intercepts)] += 1.0
+        try:
+            step = np.linalg.solve(bend, slope)
+        except np.linalg.LinAlgError:
+            step = np.full(len(slope), np.nan)
+        return step if np.isfinite(step).all() else np.linalg.lstsq(bend, slope, rcond=1e-13)[0]
+
     def predict(self, x):
         return self.scores(self.w, np.column_stack([np.ones(len(x)), x - self.centre])).argmax(axis=1)
 
@@ -82,7 +109,14 @@ class Logistic:
 class Tree:
     """Classification tree of any depth: the split that lowers the Gini impurity most, the first of equal ones, until leaves are pure."""
 
+    @staticmethod
+    def prepared(x):
+        return x
+
     def fit(self, x, y, classes):
+        return self.fit_prepared(x, y, classes)
+
+    def fit_prepared(self, x, y, classes):
         self.nodes, todo = [], [(np.arange(len(x)), None, None)]
         onehot = np.eye(classes)
         while todo:
@@ -134,11 +168,18 @@ class RadialMachine:
     def __init__(self, cost=COST, scaled=False):
         self.cost, self.scaled = cost, scaled
 
-    def fit(self, x, y, classes):
+    def prepared(self, x):
+        """The spread of the inputs and the kernel map of the rows."""
         spread = x.std(axis=0)
-        self.spread = np.where(spread > 0, spread, 1.0) if self.scaled else 1.0
-        x = x / self.spread
-        self.map, self.classes, self.machines = KernelMap(x, scale_gamma(x)), classes, []
+        spread = np.where(spread > 0, spread, 1.0) if self.scaled else 1.0
+        x = x / spread
+        return spread, KernelMap(x, scale_gamma(x))
+
+    def fit(self, x, y, classes):
+        return self.fit_prepared(self.prepared(x), y, classes)
+
+    def fit_prepared(self, given, y, classes):
+        (self.spread, self.map), self.classes, self.machines = given, classes, []
         for a in range(classes):
             for b in range(a + 1, classes):
                 rows = np.flatnonzero((y == a) | (y == b))
@@ -163,7 +204,7 @@ def answers_of(table: pa.Table, k, o, targets, width, learner) -> pa.Table:
     x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
     names = [*k, *o, "target", "fold", "y", "p"]
     given, ints = table.select([*k, *o]), lambda v: pa.array(v, pa.int32())
-    parts = []
+    parts, ready = [], {}  # targets with the same training rows share what only depends on their inputs
     for target in targets:
         label = table.column(target).to_numpy().astype(float)
         known = ~np.isnan(label)
@@ -173,7 +214,10 @@ def answers_of(table: pa.Table, k, o, targets, width, learner) -> pa.Table:
             classes, y = np.unique(label[train].astype(int), return_inverse=True)
             if len(classes) < 2:
                 continue
-            p = classes[LEARNERS[learner]().fit(x[train], y, len(classes)).predict(x[test])]
+            model, rows = LEARNERS[learner](), train.tobytes()
+            if rows not in ready:
+                ready[rows] = model.prepared(x[train])
+            p = classes[model.fit_prepared(ready[rows], y, len(classes)).predict(x[test])]
             columns = [*given.take(pa.array(test)).columns, pa.array([target] * len(test))]
             columns += [ints(np.full(len(test), i, int)), ints(label[test].astype(int)), ints(p)]
             parts.append(pa.Table.from_arrays(columns, names=names))

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,48 @@ def test_logistic_is_at_its_optimum_and_equals_the_pooled_learner(spark, classes
     assert np.allclose(theirs, own.w[:, 1:], atol=2e-3)
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_logistic_of_few_rows_solves_small_systems(monkeypatch, classes):
+    """With fewer rows than inputs the systems are as large as the rows, and the optimum is the same."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(12, 40)) * np.logspace(0, 2, 40), np.arange(12) % classes
+    sizes, solve, lstsq = [], np.linalg.solve, np.linalg.lstsq
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: sizes.append(len(a)) or solve(a, b))
+    monkeypatch.setattr(np.linalg, "lstsq", lambda a, b, rcond=None: sizes.append(len(a)) or lstsq(a, b, rcond=rcond))
+    own = B.Logistic().fit(x, y, classes)
+    assert sizes and max(sizes) <= classes * (len(x) + 1)
+    full = np.column_stack([np.ones(len(x)), x - own.centre])
+    p = B.softmax(own.scores(own.w, full))[:, classes - len(own.w) :]
+    slope = (p - np.eye(classes)[y][:, classes - len(own.w) :]).T @ full
+    slope[:, 1:] += own.w[:, 1:]
+    assert np.abs(slope).max() < 1e-5
+
+
+def test_targets_with_the_same_rows_share_their_kernel_map(spark, monkeypatch):
+    made, plain = [], B.KernelMap
+    monkeypatch.setattr(B, "KernelMap", lambda *a: made.append(1) or plain(*a))
+    n, rng = 36, np.random.default_rng(3)
+    x = rng.normal(size=(n, 2))
+    fold = [(i - 6) // 6 if i >= 6 else None for i in range(n)]
+    start = [None if f is None else 6 + 6 * f for f in fold]
+    table = pa.table({"site": ["S"] * n, "_rn": np.arange(n), "fold": pa.array(fold, pa.int32()), "start": pa.array(start, pa.int32()), "x": pa.array(list(x)), "a": np.arange(n) % 2, "b": np.arange(n) % 3})
+    got = B.answers_of(table, ("site",), (), ["a", "b"], 2, "SVM")
+    assert len(made) == 5 and got.num_rows == 60
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_machine_takes_few_steps_to_its_optimum(monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    z, sign = rng.normal(size=(25, 12)), np.where(rng.random(25) < 0.4, 1.0, -1.0)
+    steps, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: steps.append(1) or solve(a, b))
+    w, shift = K.fit_flat(z, K.hinge(sign), 1.0)
+    assert len(steps) <= 60
+    loss = lambda w, shift: w @ w / 2 + np.maximum(1 - sign * (z @ w + shift), 0).sum()
+    for _ in range(200):
+        assert loss(w, shift) <= loss(w + rng.normal(size=12) * 0.01, shift + rng.normal() * 0.01) + 25e-5
+
+
 def plain_tree(x, y, asked):
     """The tree by its definition, split by split."""
     gini = lambda c: 1 - ((np.bincount(c) / len(c)) ** 2).sum()
