@@ -171,3 +171,47 @@ def test_incomplete_inputs_are_refused(spark, parts):
     train, test = parts
     with pytest.raises(Exception, match="complete"):
         class_fit("DecisionTree", (train, test.withColumn("z", F.when(F.col("dt") < DAY + dt.timedelta(days=26), F.col("z")))), {}).collect()
+
+
+def test_targets_and_candidates_share_their_trees(spark, parts, monkeypatch):
+    """Forests of all targets and candidates, grown together, equal those grown alone; the search takes few jobs."""
+    train, test = (materialise(p.withColumn("other", F.when(F.col("x") < 1, F.col("z") - F.col("x")))) for p in parts)
+    learners = [trees.Forest(n, d, False, 42) for n, d in ((5, 3), (5, 30), (3, 4), (1, 4))]
+    targets, edges = ["value", "other"], trees.bin_edges(train, ["x"], trees.BINS)
+    monkeypatch.setattr(trees, "bin_edges", lambda *_: edges)  # bins are cut over the rows of all targets
+
+    def alone():
+        out = {}
+        for t in targets:
+            for c, learner in enumerate(learners):
+                known = train.where(F.col(t).isNotNull()), test.where(F.col(t).isNotNull())
+                out |= {(r.site, r.dt, t, c): r.p for r in learner.answers(*known, ["x"], t).collect()}
+        return out
+
+    def together():
+        return {(r.site, r.dt, r.target, r.candidate): r.p for r in training.forest_answers(train, test, targets, learners, "RandomForest", ["x"]).collect()}
+
+    want = alone()
+    for rows in (trees.LOCAL_ROWS, 40):
+        monkeypatch.setattr(trees, "LOCAL_ROWS", rows)
+        got = together()
+        assert got.keys() == want.keys() and [got[k] for k in want] == pytest.approx(list(want.values()), abs=1e-9)
+    split = materialise(train.withColumn("role", F.lit("train")).unionByName(test.withColumn("role", F.lit("test"))))
+    grids = {"RandomForest": [{"n_estimators": n, "max_depth": d} for n in (5, 10) for d in (2, 3, None)]}
+
+    def search():
+        pred, chosen, failed = training.train_regressors(split, targets, grids, ["x"], expanding=True, n=2)
+        return pred.count(), len(chosen), failed
+
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 100_000)
+    (n, chosen, failed), jobs = jobs_of(spark, search)
+    assert chosen == 2 and not failed and n == 72 + test.where("other is not null").count()
+    assert jobs < 80
+
+
+def test_a_target_that_cannot_be_scored_fails_alone(spark, parts):
+    split = parts[0].withColumn("role", F.lit("train")).unionByName(parts[1].withColumn("role", F.lit("test")))
+    split = materialise(split.withColumn("empty", F.lit(None).cast("double")))
+    grids = {"RandomForest": [{"n_estimators": 3, "max_depth": 3}]}
+    pred, chosen, failed = training.train_regressors(split, ["empty", "value"], grids, ["x", "z"], expanding=True, n=2)
+    assert list(chosen) == [("value", "RandomForest")] and [f[0] for f in failed] == ["empty"] and pred.count() == 72
