@@ -27,6 +27,7 @@ boundary id that is never predicted. Only ``doc_id`` and ``text`` are read.
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, compress, repeat
 from zlib import crc32
 
 import numpy as np
@@ -45,6 +46,7 @@ OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 16
 STEP = 4096  # tokens of one training step
 RATE = 0.2
+LEAST = np.float32(math.log(1e-30))  # logarithm of the least probability of a digit
 COUNTED = 1_000_000  # words counted before a task passes its counts on
 
 
@@ -61,6 +63,13 @@ def digits(distinct: int) -> int:
     return max(DIGIT, math.ceil((IDS_PER_ROOT * distinct**0.5) ** 0.5))
 
 
+class Places(dict):
+    """Id of each word; a word beyond the frequent ones has a shared id, by its hash."""
+
+    def __missing__(self, word):
+        return self.first + crc32(word) % self.shared
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     words: tuple[bytes, ...]  # by rank; id 0 is the boundary
@@ -81,14 +90,15 @@ class Vocabulary:
         return self.ids_of(tokens(texts_))
 
     def ids_of(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        known = {word: i + 1 for i, word in enumerate(self.words)}
-        first, shared = self.first, self.shared
-        parts, owners = [np.zeros(2, np.int32)], [np.full(2, -1)]
-        for place, words in enumerate(split):
-            found = [known.get(w) or first + crc32(w) % shared for w in words]
-            parts += [np.array(found, np.int32), np.zeros(2, np.int32)]
-            owners += [np.full(len(found), place), np.full(2, -1)]
-        return np.concatenate(parts), np.concatenate(owners)
+        known = Places(zip(self.words, range(1, len(self.words) + 1)))
+        known.first, known.shared = self.first, self.shared
+        lengths = np.array([len(words) for words in split], np.int64)
+        place = np.repeat(np.arange(len(split)), lengths)
+        at = np.arange(len(place)) + 2 * place + 2
+        ids, owners = (np.full(len(place) + 2 * len(split) + 2, v, t) for v, t in ((0, np.int32), (-1, np.int64)))
+        ids[at] = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int32, len(place))
+        owners[at] = place
+        return ids, owners
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -150,8 +160,19 @@ def shared_totals(counts: DataFrame, words: Vocabulary) -> np.ndarray:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+    """Chances by column: sums over rows of long columns take far less time than sums of short rows. ``z`` is used up."""
+    z -= z.max(axis=0)
+    np.exp(z, out=z)
+    z /= z.sum(axis=0)
+    return z
+
+
+def log_chance(z: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax at one place of each column, not below that of 1e-30. ``z`` is used up."""
+    z -= z.max(axis=0)
+    own = z[place, np.arange(len(place))]
+    np.exp(z, out=z)
+    return np.maximum(own - np.log(z.sum(axis=0)), LEAST)
 
 
 def shapes(digit: int) -> dict:
@@ -213,21 +234,23 @@ class Network:
         return net
 
     def forward(self, sides: np.ndarray, target: np.ndarray):
-        """Hidden layer and the distributions of both digits."""
+        """Hidden layer, both digits, and the scores of either digit; a token is a column."""
         p = self.p
-        pre = p["hidden"] + p["embed"][0][sides[0]]
+        pre = np.take(p["embed"][0], sides[0], axis=0)
         for k in range(1, len(OFFSETS)):
-            pre += p["embed"][k][sides[k]]
-        h = np.tanh(pre)
+            pre += np.take(p["embed"][k], sides[k], axis=0)
+        pre += p["hidden"]
+        h = np.ascontiguousarray(np.tanh(pre, out=pre).T)
         a, b = np.divmod(target, self.digit)
-        one = softmax(h @ p["first"] + p["first_bias"])
-        two = softmax(h @ p["second"] + p["second_bias"][a])
+        one = p["first"].T @ h
+        one += p["first_bias"][:, None]
+        two = p["second"].T @ h
+        two += np.take(np.ascontiguousarray(p["second_bias"].T), a, axis=1)
         return h, a, b, one, two
 
     def log_probabilities(self, sides, target) -> np.ndarray:
         _, a, b, one, two = self.forward(sides, target)
-        at = np.arange(len(target))
-        return np.log(np.maximum(one[at, a], 1e-30)) + np.log(np.maximum(two[at, b], 1e-30))
+        return log_chance(one, a) + log_chance(two, b)
 
     def learn(self, sides, target, rate=RATE) -> None:
         """One step of AdaGrad on the mean negative log-probability."""
@@ -235,21 +258,24 @@ class Network:
         if self.past is None:
             self.past = self.views(np.full(len(self.flat), 1e-4, np.float32))
         h, a, b, one, two = self.forward(sides, target)
-        at = np.arange(n)
-        one[at, a] -= 1
-        two[at, b] -= 1
+        one, two, at = softmax(one), softmax(two), np.arange(n)
+        one[a, at] -= 1
+        two[b, at] -= 1
         one /= n
         two /= n
-        back = (one @ p["first"].T + two @ p["second"].T) * (1 - h * h)
-        by_digit = np.equal.outer(np.arange(self.digit), a).astype(np.float32) @ two
-        for name, g in (("first", h.T @ one), ("first_bias", one.sum(0)), ("second", h.T @ two), ("second_bias", by_digit), ("hidden", back.sum(0))):
+        back = (p["first"] @ one + p["second"] @ two) * (1 - h * h)
+        by_digit = np.equal.outer(np.arange(self.digit), a).astype(np.float32) @ two.T
+        for name, g in (("first", h @ one.T), ("first_bias", one.sum(1)), ("second", h @ two.T), ("second_bias", by_digit), ("hidden", back.sum(1))):
             past = self.past[name]
             past += g * g
             p[name][...] -= rate * g / np.sqrt(past)
+        back, short = np.ascontiguousarray(back.T), self.digit**2 <= 65_536
         for k, ids in enumerate(sides):
-            order = np.argsort(ids, kind="stable")
-            rows, starts = np.unique(ids[order], return_index=True)
-            g = np.add.reduceat(back[order], starts, axis=0)
+            order = np.argsort(ids.astype(np.uint16) if short else ids, kind="stable")  # short numbers are sorted by their digits
+            own = ids[order]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            rows = own[starts]
+            g = np.add.reduceat(np.take(back, order, axis=0), starts, axis=0)
             past = self.past["embed"][k][rows] + g * g
             self.past["embed"][k][rows] = past
             p["embed"][k][rows] -= rate * g / np.sqrt(past)
@@ -321,20 +347,18 @@ def score_words(docs: DataFrame, words: Vocabulary, net: Network, counts: DataFr
             split = tokens(block)
             ids, owners = words.ids_of(split)
             total, count = sums(own, ids, owners, len(block))
-            at = 2
-            for place, found in enumerate(split):
-                here = ids[at : at + len(found)]
-                at += len(found) + 2
-                late = np.flatnonzero(here >= words.first)
-                total[place] -= logs[here[late] - words.first].sum()
-                rest = Counter()
-                for i in late.tolist():
-                    n = known.get(found[i])
-                    if n is None:
-                        rest[found[i]] += 1
-                    else:
-                        total[place] += n
-                far.append(rest)
+            owned = owners >= 0
+            ids, owners = ids[owned], owners[owned]
+            late = ids >= words.first
+            owner = owners[late]
+            rare = list(compress(chain.from_iterable(split), late.tolist()))
+            share = np.fromiter(map(known.get, rare, repeat(math.nan)), float, len(rare))
+            total += np.bincount(owner, np.nan_to_num(share) - logs[ids[late] - words.first], len(block))
+            rest = [Counter() for _ in block]
+            lost = np.isnan(share)
+            for place, word in zip(owner[lost].tolist(), compress(rare, lost.tolist())):
+                rest[place][word] += 1
+            far += rest
             totals.append(total)
             sizes.append(count)
         offsets = pa.array(np.cumsum([0, *map(len, far)]), pa.int32())

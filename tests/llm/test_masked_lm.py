@@ -1,4 +1,5 @@
 import math
+from zlib import crc32
 
 import numpy as np
 from fixtures_llm import AWKWARD, empty, frame, read
@@ -155,3 +156,21 @@ def test_most_frequent_words_by_count_and_word(spark):
     counts = spark.createDataFrame([(w.encode(), n) for w, n in (("a", 3), ("b", 1), ("c", 3), ("d", 2), ("e", 1), ("f", 1))], "word binary, n long")
     names = lambda k: "".join(bytes(r.word).decode() for r in L.most_frequent(counts, k))
     assert [names(k) for k in (1, 2, 3, 5, 9)] == ["a", "ac", "acd", "acdbe", "acdbef"]
+
+
+def test_ids_and_steps_equal_a_plain_computation():
+    """Ids of all words at once, and scores with a token as a column, equal one word and one token at a time."""
+    words = L.Vocabulary((b"a", b"b"), (5, 3))
+    ids, owners = words.ids_of([[b"a", b"zz", b"b"], [], [b"q"]])
+    shared = [words.first + crc32(w) % words.shared for w in (b"zz", b"q")]
+    assert ids.tolist() == [0, 0, 1, shared[0], 2, 0, 0, 0, 0, shared[1], 0, 0]
+    assert owners.tolist() == [-1, -1, 0, 0, 0, -1, -1, -1, -1, 2, -1, -1] and ids.dtype == np.int32
+    net, rng = noisy(words), np.random.default_rng(1)
+    target, sides = rng.integers(0, L.IDS, 9), [rng.integers(0, L.IDS, 9) for _ in L.OFFSETS]
+    h, a, b, one, two = net.forward(sides, target)
+    assert h.shape == (L.HIDDEN, 9) and one.shape == two.shape == (L.DIGIT, 9)
+    for i, got in enumerate(net.log_probabilities(sides, target)):
+        plain = np.tanh(net.p["hidden"] + sum(net.p["embed"][k][s[i]] for k, s in enumerate(sides)))
+        first, second = plain @ net.p["first"] + net.p["first_bias"], plain @ net.p["second"] + net.p["second_bias"][a[i]]
+        want = sum(z[d] - np.log(np.exp(z - z.max()).sum()) - z.max() for z, d in ((first, a[i]), (second, b[i])))
+        assert abs(got - want) < 1e-3
