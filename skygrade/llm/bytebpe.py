@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from skygrade.llm.common import map_batches, map_slices, texts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SLICE = 1_000_000  # bytes of texts a task holds as strings, ids and words at a time
 BLOCK = 1_000_000  # characters cut into words at once
-REMEMBERED = 200_000  # words and pieces a worker keeps the ids of; beyond that it starts anew
+REMEMBERED = 100_000  # words and pieces a worker keeps the ids of; beyond that it starts anew
 
 _codecs = {}
 
@@ -195,4 +196,4 @@ def round_trip(docs: DataFrame, path=RANKS, pattern=public_tokenizers.PATTERN) -
         counts = pa.array([len(x) // 4 for x in coded], pa.int64())
         return [batch.column("doc_id"), counts, sha(coded), sha(map(own.decode, coded))]
 
-    return map_slices(texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_slices(texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", SLICE)
