@@ -146,6 +146,25 @@ def test_boosted_values_equal_plain_growth(spark, parts):
     assert np.array([r.p for r in pred]) == pytest.approx(want, abs=1e-6)
 
 
+def test_a_pass_of_boosted_values_is_one_job(spark, parts):
+    fit = lambda rounds: training.fit_targets(training.fit_regressor, *parts, ["value", "x"], "GradientBoosting", ["x", "z"], {"n_estimators": rounds, "num_leaves": 4}).collect()
+    few, many = (jobs_of(spark, lambda n=n: fit(n))[1] for n in (2, 8))
+    # Six more trees of two levels, and the values so far are written once.
+    assert many - few <= 6 * 2 + 1
+
+
+def test_shallow_places_are_the_places():
+    rng = np.random.default_rng(3)
+    bins, site = rng.integers(0, trees.BINS, (500, 3)).astype(np.uint8), rng.integers(0, 9, 500)
+    tree = trees.Tree()
+    tree.add(1, 0, 1.0)
+    for at in range(20):  # the second branches end early
+        if at % 3 != 2:
+            tree.split(at, int(rng.integers(0, 4)), int(rng.integers(0, trees.BINS)), int(rng.integers(0, 9)), 0.0)
+    for depth in (0, 2, max(tree.depth)):
+        assert (trees.shallow_places(tree.columns(), bins, site, depth) == trees.places(tree.columns(), bins, site, depth)).all()
+
+
 def test_forest_of_values(spark, parts):
     """One unlimited tree answers its own rows; a forest explains most of unseen rows, in few jobs."""
     train, test = parts
