@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygrade.llm.common import Scratch, as_batches, map_batches, raw, slices, texts
+from skygrade.llm.common import Scratch, as_batches, blocks, map_batches, texts
 from skygrade.llm.shingles import mixed, word_hashes
 
 COMMON = 16_384  # a word that is at least one in so many has a context vector
@@ -37,6 +37,7 @@ WIDTH = 64  # a power of two
 NONZERO = 4
 REACH = (-2, -1, 1, 2)
 BLOCK = 200_000  # words pooled at once
+COUNTED = 500_000  # words counted before a task passes its counts on
 SAMPLE = 20_000  # labelled documents that the network is fitted on, at most
 HIDDEN = 32
 REJECT_BELOW = 0.3
@@ -88,11 +89,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): hash and occurrences of each word over all documents; without a word, the number of all words."""
 
     def run(batches):
+        held = []
         for batch in batches:
-            for block in slices(raw(batch.column("text"))):
-                found, n = np.unique(gathered(block)[0], return_counts=True)
-                words = pa.array(np.append(found.view(np.int64), 0), mask=np.arange(len(n) + 1) == len(n))
-                yield from as_batches([words, np.append(n, n.sum()).astype(np.int64)], ["word", "n"])
+            for block in blocks(batch.column("text")):
+                held.append(gathered(block)[0])
+                if sum(map(len, held)) >= COUNTED:
+                    yield from counted(held)
+                    held = []
+        if held:
+            yield from counted(held)
+
+    def counted(held):
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        words = pa.array(np.append(found.view(np.int64), 0), mask=np.arange(len(n) + 1) == len(n))
+        return as_batches([words, np.append(n, n.sum()).astype(np.int64)], ["word", "n"])
 
     partial = texts(docs).select("text").mapInArrow(run, "word long, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -117,7 +127,7 @@ def context_sums(docs: DataFrame, common: np.ndarray) -> DataFrame:
     def run(batches):
         total = np.zeros(len(common) * WIDTH)
         for batch in batches:
-            for block in slices(raw(batch.column("text"))):
+            for block in blocks(batch.column("text")):
                 found, owner = gathered(block)
                 at, (places, signs) = look_up(found, common), index_vectors(found)
                 for reach in REACH:
@@ -245,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, known: Words, sample=SAMPLE) -> Mo
     found = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", F.col("good").cast("double").alias("good"), apart)
 
     def run(batch):
-        rows = pool(raw(batch.column("text")), known)
+        rows = np.concatenate([pool(block, known) for block in blocks(batch.column("text"))])
         return [pa.array(list(rows), pa.list_(pa.float32())), batch.column("good"), batch.column("apart")]
 
     # Bounded by ``sample`` unless documents repeat an id, so the bound holds for the rows too.
@@ -262,7 +272,7 @@ def scorer(docs: DataFrame, labels: DataFrame, sample=SAMPLE):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        parts = [model.scores(pool(block, known)) for block in slices(raw(text))]
+        parts = [model.scores(pool(block, known)) for block in blocks(text)]
         return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     return score

@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures_llm import AWKWARD, bag, empty, frame, words
 
+from skygrade.llm import common
 from skygrade.llm import quality as Q
 
 SF = "/root/testdata/sf0.1"
@@ -136,3 +138,12 @@ def test_awkward_rows(spark):
     empties = {r.score for r in found if r.doc_id in (7, 8, 11)}
     assert len(empties) == 1
     assert bag(Q.score_quality(empty(spark), labels(spark, marks)), "doc_id") == []
+
+
+def test_texts_are_read_in_small_blocks(monkeypatch):
+    """Whatever the size of an Arrow batch, few of its texts are bytes at a time."""
+    texts, held = [f"{i} " * 200 for i in range(3000)] + [None, "x" * 500_000], []
+    monkeypatch.setattr(common, "raw", lambda column, raw=common.raw: held.append(column.nbytes) or raw(column))
+    found = list(common.blocks(pa.array(texts), 100_000))
+    assert [t for block in found for t in block] == [(t or "").encode() for t in texts]
+    assert max(held) < 900_000 and max(sum(map(len, block)) for block in found) <= 700_000
