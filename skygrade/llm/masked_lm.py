@@ -45,6 +45,7 @@ NEAR = 65_536  # words whose counts travel with the tasks; those of all others a
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 16
 STEP = 4096  # tokens of one training step
+SAFE = 80.0  # single precision holds sums of exponentials of scores up to this
 RATE = 0.2
 LEAST = np.float32(math.log(1e-30))  # logarithm of the least probability of a digit
 COUNTED = 1_000_000  # words counted before a task passes its counts on
@@ -63,13 +64,6 @@ def digits(distinct: int) -> int:
     return max(DIGIT, math.ceil((IDS_PER_ROOT * distinct**0.5) ** 0.5))
 
 
-class Places(dict):
-    """Id of each word; a word beyond the frequent ones has a shared id, by its hash."""
-
-    def __missing__(self, word):
-        return self.first + crc32(word) % self.shared
-
-
 @dataclass(frozen=True)
 class Vocabulary:
     words: tuple[bytes, ...]  # by rank; id 0 is the boundary
@@ -90,15 +84,32 @@ class Vocabulary:
         return self.ids_of(tokens(texts_))
 
     def ids_of(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        known = Places(zip(self.words, range(1, len(self.words) + 1)))
-        known.first, known.shared = self.first, self.shared
-        lengths = np.array([len(words) for words in split], np.int64)
-        place = np.repeat(np.arange(len(split)), lengths)
+        return Known(self).ids(split)[:2]
+
+
+class Known:
+    """Ids of the frequent words and of ``near`` ones; any other word has a shared id, by its hash."""
+
+    def __init__(self, words: Vocabulary, near=()):
+        self.first, self.shared, n = words.first, words.shared, len(words.words) + 1
+        self.codes = dict(zip(chain(words.words, near), range(1, n + len(near))))
+        self.table = np.concatenate([np.arange(n), self.hashed(list(near))]).astype(np.int32)
+
+    def hashed(self, words: list[bytes]) -> np.ndarray:
+        return self.first + np.fromiter(map(crc32, words), np.int64, len(words)) % self.shared
+
+    def ids(self, split: list[list[bytes]]):
+        """As ``Vocabulary.ids``, with the code of each token (-1: neither frequent nor near) and the tokens without one."""
+        place = np.repeat(np.arange(len(split)), np.array([len(words) for words in split], np.int64))
+        codes = np.fromiter(map(self.codes.get, chain.from_iterable(split), repeat(-1)), np.int32, len(place))
+        far = codes < 0
+        others = list(compress(chain.from_iterable(split), far.tolist()))
+        found = self.table[codes]
+        found[far] = self.hashed(others)
         at = np.arange(len(place)) + 2 * place + 2
         ids, owners = (np.full(len(place) + 2 * len(split) + 2, v, t) for v, t in ((0, np.int32), (-1, np.int64)))
-        ids[at] = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int32, len(place))
-        owners[at] = place
-        return ids, owners
+        ids[at], owners[at] = found, place
+        return ids, owners, codes, others
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -159,20 +170,26 @@ def shared_totals(counts: DataFrame, words: Vocabulary) -> np.ndarray:
     return totals
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
+def exponentials(z: np.ndarray, safe: bool) -> np.ndarray:
+    """Exponentials by column, up to a common factor of each; scores that are ``safe``, all within ``SAFE`` of zero, are not moved first. ``z`` is used up."""
+    if not safe:
+        z -= z.max(axis=0)
+    return np.exp(z, out=z)
+
+
+def softmax(z: np.ndarray, safe=False) -> np.ndarray:
     """Chances by column: sums over rows of long columns take far less time than sums of short rows. ``z`` is used up."""
-    z -= z.max(axis=0)
-    np.exp(z, out=z)
-    z /= z.sum(axis=0)
+    z = exponentials(z, safe)
+    z *= 1 / z.sum(axis=0)
     return z
 
 
-def log_chance(z: np.ndarray, place: np.ndarray) -> np.ndarray:
+def log_chance(z: np.ndarray, place: np.ndarray, safe=False) -> np.ndarray:
     """Logarithm of the softmax at one place of each column, not below that of 1e-30. ``z`` is used up."""
-    z -= z.max(axis=0)
+    if not safe:
+        z -= z.max(axis=0)
     own = z[place, np.arange(len(place))]
-    np.exp(z, out=z)
-    return np.maximum(own - np.log(z.sum(axis=0)), LEAST)
+    return np.maximum(own - np.log(exponentials(z, True).sum(axis=0)), LEAST)
 
 
 def shapes(digit: int) -> dict:
@@ -235,6 +252,11 @@ class Network:
 
     def forward(self, sides: np.ndarray, target: np.ndarray):
         """Hidden layer, both digits, and the scores of either digit; a token is a column."""
+        h, a, b, both = self.scored(sides, target)
+        return h, a, b, both[: self.digit], both[self.digit :]
+
+    def scored(self, sides, target):
+        """As ``forward``, the scores of both digits in one array."""
         p = self.p
         pre = np.take(p["embed"][0], sides[0], axis=0)
         for k in range(1, len(OFFSETS)):
@@ -242,36 +264,49 @@ class Network:
         pre += p["hidden"]
         h = np.ascontiguousarray(np.tanh(pre, out=pre).T)
         a, b = np.divmod(target, self.digit)
-        one = p["first"].T @ h
-        one += p["first_bias"][:, None]
-        two = p["second"].T @ h
-        two += np.take(np.ascontiguousarray(p["second_bias"].T), a, axis=1)
-        return h, a, b, one, two
+        both = np.concatenate([p["first"], p["second"]], axis=1).T @ h
+        both[: self.digit] += p["first_bias"][:, None]
+        both[self.digit :] += np.take(np.ascontiguousarray(p["second_bias"].T), a, axis=1)
+        return h, a, b, both
+
+    def safe(self) -> bool:
+        """Whether no score can be further than ``SAFE`` from zero; the hidden layer is within one."""
+        return all(np.abs(self.p[k]).sum(axis=0).max() + np.abs(self.p[f"{k}_bias"]).max() < SAFE for k in ("first", "second"))
 
     def log_probabilities(self, sides, target) -> np.ndarray:
         _, a, b, one, two = self.forward(sides, target)
-        return log_chance(one, a) + log_chance(two, b)
+        safe = self.safe()
+        return log_chance(one, a, safe) + log_chance(two, b, safe)
 
     def learn(self, sides, target, rate=RATE) -> None:
         """One step of AdaGrad on the mean negative log-probability."""
-        p, n = self.p, len(target)
+        p, n, d = self.p, len(target), self.digit
         if self.past is None:
             self.past = self.views(np.full(len(self.flat), 1e-4, np.float32))
-        h, a, b, one, two = self.forward(sides, target)
-        one, two, at = softmax(one), softmax(two), np.arange(n)
-        one[a, at] -= 1
-        two[b, at] -= 1
-        one /= n
-        two /= n
-        back = (p["first"] @ one + p["second"] @ two) * (1 - h * h)
-        by_digit = np.equal.outer(np.arange(self.digit), a).astype(np.float32) @ two.T
-        for name, g in (("first", h @ one.T), ("first_bias", one.sum(1)), ("second", h @ two.T), ("second_bias", by_digit), ("hidden", back.sum(1))):
+        # In the order of their ids, tokens of one first digit are neighbours.
+        short = d * d <= 65_536  # short numbers are sorted by their digits
+        order = np.argsort(target.astype(np.uint16) if short else target, kind="stable")
+        sides, target = [ids[order] for ids in sides], target[order]
+        h, a, b, both = self.scored(sides, target)
+        one, two, safe, at = both[:d], both[d:], self.safe(), np.arange(n)
+        softmax(one, safe)[a, at] -= 1
+        softmax(two, safe)[b, at] -= 1
+        back = np.concatenate([p["first"], p["second"]], axis=1) @ both
+        back *= 1 - h * h
+        back /= n
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        by_digit = np.zeros((d, d), np.float32)
+        by_digit[a[starts]] = np.add.reduceat(two, starts, axis=1).T
+        sums = h @ both.T
+        slopes = {"first": sums[:, :d], "first_bias": one.sum(1), "second": sums[:, d:], "second_bias": by_digit}
+        slopes = {name: g / n for name, g in slopes.items()} | {"hidden": back.sum(1)}
+        for name, g in slopes.items():
             past = self.past[name]
             past += g * g
             p[name][...] -= rate * g / np.sqrt(past)
-        back, short = np.ascontiguousarray(back.T), self.digit**2 <= 65_536
+        back = np.ascontiguousarray(back.T)
         for k, ids in enumerate(sides):
-            order = np.argsort(ids.astype(np.uint16) if short else ids, kind="stable")  # short numbers are sorted by their digits
+            order = np.argsort(ids.astype(np.uint16) if short else ids, kind="stable")
             own = ids[order]
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             rows = own[starts]
@@ -297,10 +332,10 @@ def train(docs: DataFrame, words: Vocabulary, rounds=1) -> Network:
         given = net.flat.copy()
 
         def run(batches):
-            own, n = Network(given), 0
+            own, n, known = Network(given), 0, Known(words)
             for batch in batches:
                 for block in slices(raw(batch.column("text"))):
-                    for sides, target, _ in windows(*words.ids(block)):
+                    for sides, target, _ in windows(*known.ids(tokens(block))[:2]):
                         own.learn(sides, target)
                         n += len(target)
             if n:
@@ -342,22 +377,21 @@ def score_words(docs: DataFrame, words: Vocabulary, net: Network, counts: DataFr
 
     def run(batch):
         own, totals, sizes, far = Network(flat), [], [], []
-        known = {word: math.log(n) for word, n in near.items()}
+        known = Known(words, near)
+        # Of each code: the logarithm of its count, 0 for words with ids of their own.
+        counted = np.concatenate([np.zeros(len(words.words) + 1), np.log(np.fromiter(near.values(), float, len(near)))])
         for block in slices(raw(batch.column("text"))):
-            split = tokens(block)
-            ids, owners = words.ids_of(split)
+            ids, owners, codes, others = known.ids(tokens(block))
             total, count = sums(own, ids, owners, len(block))
             owned = owners >= 0
             ids, owners = ids[owned], owners[owned]
             late = ids >= words.first
-            owner = owners[late]
-            rare = list(compress(chain.from_iterable(split), late.tolist()))
-            share = np.fromiter(map(known.get, rare, repeat(math.nan)), float, len(rare))
-            total += np.bincount(owner, np.nan_to_num(share) - logs[ids[late] - words.first], len(block))
-            rest = [Counter() for _ in block]
-            lost = np.isnan(share)
-            for place, word in zip(owner[lost].tolist(), compress(rare, lost.tolist())):
-                rest[place][word] += 1
+            share = np.where(codes[late] < 0, 0.0, counted[codes[late]])
+            total += np.bincount(owners[late], share - logs[ids[late] - words.first], len(block))
+            rest = [{} for _ in block]
+            for place, word in zip(owners[codes < 0].tolist(), others):
+                times = rest[place]
+                times[word] = times.get(word, 0) + 1
             far += rest
             totals.append(total)
             sizes.append(count)
@@ -371,7 +405,8 @@ def score_words(docs: DataFrame, words: Vocabulary, net: Network, counts: DataFr
     rows = scratch.write(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
     far = rows.select("_row", F.inline(F.arrays_zip("word", "times")))
     added = F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(1)))).alias("_far")
-    shares = far.join(counts, "word", "left").groupBy("_row").agg(added)
+    # A word that was counted once adds nothing.
+    shares = far.join(counts.where("n > 1"), "word", "left").groupBy("_row").agg(added)
     full = rows.drop("word", "times").join(shares, "_row", "left")
     return with_means(full.select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("_far", F.lit(0.0))).alias("pll")))
 

@@ -174,3 +174,26 @@ def test_ids_and_steps_equal_a_plain_computation():
         first, second = plain @ net.p["first"] + net.p["first_bias"], plain @ net.p["second"] + net.p["second_bias"][a[i]]
         want = sum(z[d] - np.log(np.exp(z - z.max()).sum()) - z.max() for z, d in ((first, a[i]), (second, b[i])))
         assert abs(got - want) < 1e-3
+
+
+def test_near_words_are_looked_up_like_others():
+    """Codes of frequent and near words; the ids are those that hashes give."""
+    words = L.Vocabulary((b"a", b"b"), (5, 3))
+    split = [[b"n", b"a", b"far", b"n"], [b"m"]]
+    ids, owners, codes, others = L.Known(words, {b"m": 2, b"n": 2}).ids(split)
+    assert codes.tolist() == [4, 1, -1, 4, 3] and others == [b"far"]
+    assert ids.tolist() == words.ids_of(split)[0].tolist() and owners.tolist() == words.ids_of(split)[1].tolist()
+
+
+def test_scores_far_from_zero_are_moved_first():
+    """Chances are the same whether scores are known to be small or not, and large scores do not overflow."""
+    words, rng = L.Vocabulary((b"a", b"b"), (5, 3)), np.random.default_rng(2)
+    net, z = noisy(words), rng.normal(0, 9, (7, 40)).astype(np.float32)
+    assert net.safe()
+    assert np.allclose(L.softmax(z.copy(), True), L.softmax(z.copy()), atol=1e-6)
+    assert np.allclose(L.log_chance(z.copy(), np.arange(40) % 7, True), L.log_chance(z.copy(), np.arange(40) % 7), atol=1e-4)
+    net.p["first_bias"][:] = np.linspace(-50, 150, L.DIGIT)
+    sides, target = [rng.integers(0, L.IDS, 50) for _ in L.OFFSETS], rng.integers(0, L.IDS, 50)
+    assert not net.safe() and np.isfinite(net.log_probabilities(sides, target)).all()
+    net.learn(sides, target)
+    assert np.isfinite(net.flat).all()
