@@ -234,3 +234,57 @@ def test_a_target_that_cannot_be_scored_fails_alone(spark, parts):
     grids = {"RandomForest": [{"n_estimators": 3, "max_depth": 3}]}
     pred, chosen, failed = training.train_regressors(split, ["empty", "value"], grids, ["x", "z"], expanding=True, n=2)
     assert list(chosen) == [("value", "RandomForest")] and [f[0] for f in failed] == ["empty"] and pred.count() == 72
+
+
+def plain_growth(bins, site, y, times, depth):
+    """Answers of a tree at its own rows, grown with loops over all cuts and sites."""
+    out = np.zeros(len(y))
+
+    def grow(rows, depth):
+        mean, best, chosen = np.average(y[rows], weights=times[rows]), 1e-9, None
+        spread = lambda rows: np.sum(times[rows] * (y[rows] - np.average(y[rows], weights=times[rows])) ** 2)
+        for f, cut in [(f, b) for f in range(bins.shape[1]) for b in range(trees.BINS)] + [(-1, s) for s in np.unique(site[rows])]:
+            left = bins[rows, f] <= cut if f >= 0 else site[rows] == cut
+            if depth and 0 < left.sum() < len(rows) and (gain := spread(rows) - spread(rows[left]) - spread(rows[~left])) > best + 1e-9:
+                best, chosen = gain, left
+        out[rows] = mean
+        if chosen is not None:
+            grow(rows[chosen], depth - 1)
+            grow(rows[~chosen], depth - 1)
+
+    grow(np.arange(len(y)), depth)
+    return out
+
+
+@pytest.mark.parametrize("large", [0, 4, 10**9])
+def test_nodes_added_up_by_bin_and_in_order_grow_the_same(monkeypatch, large):
+    """Large nodes are split on sums by bin, small ones on their rows in order; both are the best splits."""
+    rng = np.random.default_rng(5)
+    bins, site, times = rng.integers(0, trees.BINS, (160, 3)).astype(np.uint8), np.sort(rng.integers(0, 12, 160)), rng.integers(1, 4, 160).astype(float)
+    y = bins[:, 0] / 8 + 5 * (site == 3) + rng.normal(size=160)
+    monkeypatch.setattr(trees, "LARGE_NODE", large)
+    for depth in (1, 4, 30):
+        grown, means = trees.finished(bins, site, y, times, 1, 7, depth, 1.0)
+        assert means[trees.places(grown, bins, site), 0] == pytest.approx(plain_growth(bins, site, y, times, depth), abs=1e-9)
+    # A tree of classes parts all rows that differ.
+    grown, means = trees.finished(bins, site, np.digitize(y, [1, 3]), times, 3, 7, 30, 1.0)
+    assert (means[trees.places(grown, bins, site)].argmax(axis=1) == np.digitize(y, [1, 3])).all()
+
+
+def test_draws_are_the_places_of_chances():
+    ids = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 200_000)
+    assert (trees.draw(ids, 11, True) == np.searchsorted(trees.TIMES, trees.chance(11, ids))).all()
+
+
+def test_packs_skip_splits_by_sites_of_other_packs():
+    rng = np.random.default_rng(6)
+    site = np.sort(rng.integers(0, 40, 300)) * 2
+    pack = trees.Pack(rng.integers(0, trees.BINS, (300, 3)).astype(np.uint8), site, np.arange(300), np.zeros((300, 1)))
+    tree = trees.Tree()
+    tree.add(1, 0, 0.0)
+    for at in range(0, 120, 2):  # mostly sites, few of them in the pack
+        f = 3 if at % 8 else int(rng.integers(0, 3))
+        tree.split(at, f, int(rng.integers(0, trees.BINS)), int(rng.integers(0, 200)), 0.0)
+    want = trees.places(tree.columns(), pack.bins, site)
+    assert (trees.pack_places(tree.columns(), pack) == want).all()
+    assert (trees.pack_places(tree.columns(), pack, np.arange(5, 300, 7)) == want[5::7]).all()
