@@ -288,3 +288,25 @@ def test_packs_skip_splits_by_sites_of_other_packs():
     want = trees.places(tree.columns(), pack.bins, site)
     assert (trees.pack_places(tree.columns(), pack) == want).all()
     assert (trees.pack_places(tree.columns(), pack, np.arange(5, 300, 7)) == want[5::7]).all()
+
+
+def test_passes_read_only_rows_of_sites_that_are_looked_at(spark):
+    """A leaf of a forest of classes looks at few sites: a pass over a known leaf that looks at no other input reads their rows alone."""
+    rng = np.random.default_rng(7)
+    site, classes, seen = np.repeat(np.arange(500), 20), rng.integers(0, 3, 10_000), spark.sparkContext.accumulator(0)
+    pack = trees.Pack(rng.integers(0, trees.BINS, (10_000, 2)).astype(np.uint8), site, np.arange(10_000), np.zeros((10_000, 1)))
+    share = 0.05
+    key = next(k for k in range(10_000) if all(trees.chance(k, f) >= share for f in range(2)))
+
+    def view(pack, job, rows):
+        rows = np.arange(10_000) if rows is None else rows
+        seen.add(len(rows))
+        return np.zeros(len(rows), int), classes[rows], np.ones(len(rows))
+
+    total = np.r_[np.bincount(classes, minlength=3), 10_000].astype(float)
+    ((_, _, whole, gain, feature, _, name, left),) = trees.best_splits(spark.sparkContext.parallelize([pack], 1), 2, view, {0: [(0, key, total)]}, 3, share, False)
+    looked = np.flatnonzero(trees.chance(key, np.arange(500)) < share)
+    assert 0 < seen.value == 20 * len(looked) < 1_000
+    sums = np.array([np.r_[np.bincount(classes[site == s], minlength=3), 20] for s in looked]).astype(float)
+    gains = trees.gains(sums, total)
+    assert feature == 2 and name == looked[gains.argmax()] and gain == gains.max() and (left == sums[gains.argmax()]).all() and (whole == total).all()
